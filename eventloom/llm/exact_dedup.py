@@ -26,6 +26,7 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "192",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no disk ahead of need
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 #: Slots of the size-bounded table that keeps texts without a hit out of the byte check.
