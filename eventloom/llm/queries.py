@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import exact_dedup, simhash
+from eventloom.llm import exact_dedup, language, mixing, quality, simhash, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op1(spark, _table(spark, sf_dir, "documents"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op2(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.op3(spark, _table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op7(spark, _table(spark, sf_dir, "documents"))
 
@@ -19,5 +31,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.op9(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_simhash_near_dedup, op9_exact_dedup)}
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.op10(spark, _table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mix_sources, op2_quality_rules, op3_language_id, op7_simhash_near_dedup, op9_exact_dedup, op10_token_files)
+}
 ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
