@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from eventloom.llm import ranges
 from eventloom.llm.arrow import flat_binary, slices
 from eventloom.llm.tokenise import encoder
 from eventloom.runtime import ship, written
@@ -132,17 +133,14 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, le
     coded = written(rows.mapInArrow(_encode(vocabulary, end_id), "doc_id long, key long, n long, ids binary"), "coded")
     total = coded.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // range_ids))
-    bounds = []
-    if parts > 1:
-        bounds = sorted(set(coded.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 20 * parts)).first()[0]))
-    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
+    lower = ranges.bounds(coded, "key", parts)
+    bucket = ranges.bucket(F.col("key"), lower)
     sums = {r.bucket: r.n for r in coded.select("n", bucket.alias("bucket")).groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     bases, at = {}, 0
     for b in sorted(sums):  # one number a range
         bases[b], at = at, at + sums[b]
     laid = (
-        coded.withColumn("bucket", bucket)
-        .repartition(len(bounds) + 1, "bucket")
+        ranges.dealt(coded.withColumn("bucket", bucket), len(lower) + 1)
         .sortWithinPartitions("bucket", "key", "doc_id", "n", "ids")
     )
     return laid.mapInArrow(_lay(bases, length, size > 1 << 16), ", ".join(f"{c} long" for c in _COLUMNS))

@@ -1,0 +1,37 @@
+"""Range buckets by quantiles, for tables that are dealt out and laid in order."""
+
+from __future__ import annotations
+
+from math import isqrt
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+#: Ranges at most: one number each goes to the driver and into the plan.
+MOST_RANGES = 20_000
+
+
+def bounds(rows: DataFrame, column: str, parts: int) -> list[int]:
+    """Ascending lower bounds of the ranges after the first; fewer than ``parts``."""
+    parts = min(parts, MOST_RANGES)
+    if parts < 2:
+        return []
+    shares = [i / parts for i in range(1, parts)]
+    return sorted(set(rows.agg(F.percentile_approx(column, shares, 20 * parts)).first()[0] or []))
+
+
+def bucket(column: Column, lower: list[int]) -> Column:
+    """Number of bounds that are not above the column, found in two steps of about sqrt(n); null: 0."""
+    if not lower:
+        return F.lit(0)
+    step = max(1, isqrt(len(lower)))
+    groups = [lower[i : i + step] for i in range(0, len(lower), step)]
+    literal = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    heads = literal([g[0] for g in groups])
+    coarse = F.size(F.filter(heads, lambda b: b <= column))
+    fine = F.size(F.filter(F.element_at(F.array(*map(literal, groups)), coarse), lambda b: b <= column))
+    return F.when(column.isNull() | (coarse < 1), 0).otherwise((coarse - 1) * step + fine).cast("int")
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """Each bucket 0..n-1 of the column ``bucket`` in a partition of its own."""
+    return rows.repartitionById(n, F.col("bucket").cast("int"))

@@ -28,6 +28,7 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from eventloom.llm import ranges
 from eventloom.llm.arrow import slices
 from eventloom.llm.tokenise import encoder
 from eventloom.runtime import scratch, ship, written
@@ -38,7 +39,7 @@ LEVEL = 3
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Bytes of text that a file holds, about.
-FILE_BYTES = 32_000_000
+FILE_BYTES = 24_000_000
 
 
 def planes_of(block: np.ndarray, bits: bool) -> np.ndarray:
@@ -171,13 +172,8 @@ def ordered_buckets(docs: DataFrame, bytes_a_bucket: int = FILE_BYTES) -> tuple[
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sums = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()
     parts = max(1, -(-(sums.b or 0) // bytes_a_bucket))
-    bounds = []
-    if parts > 1:
-        shares = [i / parts for i in range(1, parts)]
-        bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 20 * parts)).first()[0] or []))
-    lower = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    bucket = F.size(F.filter(lower, lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    return rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(bucket).cast("int")), len(bounds) + 1
+    lower = ranges.bounds(rows, "doc_id", parts)
+    return rows.withColumn("bucket", ranges.bucket(F.col("doc_id"), lower)), len(lower) + 1
 
 
 def write_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, bits: bool = False) -> DataFrame:
@@ -230,7 +226,7 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_
                 names=["bucket", "path", "ids", "documents"],
             )
 
-    sorted_rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id", "text")
+    sorted_rows = ranges.dealt(rows, n).sortWithinPartitions("bucket", "doc_id", "text")
     manifest = written(sorted_rows.mapInArrow(run, "bucket int, path string, ids long, documents long"), "token-manifest")
     files = sorted(manifest.collect(), key=lambda r: r.bucket)
     starts = np.concatenate([[0], np.cumsum([r.ids for r in files], dtype=np.int64)])
@@ -262,8 +258,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_documents(manifest: DataFrame) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids_crc32) of every document in the files of a manifest."""
     ship(manifest.sparkSession)
-    n = max(1, manifest.count())
-    return manifest.select("bucket", "path", "start").repartition(n, "bucket").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = (manifest.agg(F.max("bucket")).first()[0] or 0) + 1
+    return ranges.dealt(manifest.select("bucket", "path", "start"), n).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10(spark: SparkSession, docs: DataFrame) -> DataFrame:
