@@ -134,7 +134,7 @@ def _features(kind: str, x: Column) -> Column:
         "kind": F.lit(KINDS.index(kind)),
         "digits": F.when(n < 7, 0).when(n < 9, 1).when(n < 12, 2).when(n < 16, 3).otherwise(4),
         "separators": F.when(other == 0, 0).when(other < 4, 1).otherwise(2),
-        "luhn": flag((n > 1) & luhn(digits)) if kind in ("card", "phone") else F.lit(0),
+        "luhn": F.when(n.between(2, 40), flag(luhn(digits))).otherwise(0) if kind in ("card", "phone") else F.lit(0),
         "octets": flag(_octets(m)) if kind == "ip" else F.lit(0),
         "plus": flag(F.startswith(m, F.lit("+"))),
         "at": flag(F.contains(m, F.lit("@"))),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import exact_dedup, language, mixing, quality, simhash, token_files
+from eventloom.llm import chat, curve_packing, exact_dedup, language, licenses, mixing, pii, quality, simhash, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,26 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op3(spark, _table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op4(spark, _table(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op5(spark, _table(spark, sf_dir, "conversations"))
+
+
+def op6_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_packing.op6(spark, _table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op7(spark, _table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op8(spark, _table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.op9(spark, _table(spark, sf_dir, "documents"))
 
@@ -37,6 +53,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_quality_rules, op3_language_id, op7_simhash_near_dedup, op9_exact_dedup, op10_token_files)
-}
-ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
+    for f in (
+        op1_mix_sources, op2_quality_rules, op3_language_id, op4_pii, op5_chat_format,
+        op6_curve_packing, op7_simhash_near_dedup, op8_license_scan, op9_exact_dedup, op10_token_files,
+    )
+}
+ORACLES = {"op5_chat_format": chat.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
