@@ -138,8 +138,8 @@ def _features(kind: str, x: Column) -> Column:
         "octets": flag(_octets(m)) if kind == "ip" else F.lit(0),
         "plus": flag(F.startswith(m, F.lit("+"))),
         "at": flag(F.contains(m, F.lit("@"))),
-        "tail": flag(F.regexp_like(m, F.lit(r"[A-Za-z]{2,}$"))),
-        "grouped": flag(F.regexp_like(m, F.lit(r"[0-9]{3,}[\x20.)-]+[0-9]{3,}"))),
+        "tail": flag(F.regexp_like(m, F.lit(r"[A-Za-z]{2}$"))),
+        "grouped": flag(F.regexp_like(m, F.lit(r"[0-9]{3}[\x20.)-]+[0-9]{3}"))),
         "mention": flag(F.regexp_like(x["before"], F.lit(MENTIONS[kind]))),
         "glued": flag(F.regexp_like(x["before"], F.lit(r"[A-Za-z0-9_=.%-]$")) | F.regexp_like(x["after"], F.lit(r"^[A-Za-z0-9_=%]"))),
         "even": flag(n.between(12, 19)) if kind == "card" else flag(n.between(9, 15)),
