@@ -52,6 +52,8 @@ def _settings(spark: SparkSession, settings: dict[str, str]):
 
 def located(docs: DataFrame) -> DataFrame:
     """``docs`` with a column _at: file and row index of each row (a table is written if it has none)."""
+    if "_at" in docs.columns:
+        return docs
     at = F.concat_ws("#", "_metadata.file_path", "_metadata.row_index")
     hidden = docs._jdf.queryExecution().analyzed().metadataOutput()
     if not any(hidden.apply(i).name() == "_metadata" for i in range(hidden.size())):
@@ -157,6 +159,13 @@ def _contents(docs: DataFrame, hits: DataFrame, digest_bytes: int) -> DataFrame:
     return grouped.join(hits, "digest", "left_semi")
 
 
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: the first of each group of equal texts."""
+    docs = located(docs)
+    stay = deduplicate(docs.select("doc_id", "text", "_at")).filter("_at = keep_at").select("_at")
+    return docs.join(stay, "_at", "left_semi").drop("_at")
+
+
 def op9(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Contract columns: doc_id, keep_id, group_size, kept, text_sha256."""
     return deduplicate(docs.select("doc_id", "text")).select(

@@ -183,6 +183,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     return kept.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose language is known, all columns; without any learned language all rows."""
+    model = learn(docs)
+    return docs if not model[0] else predict(docs, model).filter(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score")
+
+
 def op3(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Contract columns: doc_id, held_out, lang_pred, score for every row of ``docs``.
 

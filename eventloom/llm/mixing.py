@@ -187,11 +187,16 @@ class Mix:
         return taken.join(dealt, ["ix", "block"]).withColumn("order", order)
 
     def documents(self) -> DataFrame:
-        """The mix: documents' columns and shard, order; a document taken again is a row again."""
+        """The mix: documents' columns and shard, order; a document taken again is a row again.
+
+        The last document of a source's quota is cut after its last taken word (its n_chars follows).
+        """
         taken = self.pieces().select("_at", "shard", "order", "words", "size")
         text = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 0), 1, F.col("words").cast("int")), "")
+        lengths = {"n_chars": F.when(F.col("words") < F.col("size"), F.char_length(text)).otherwise(F.col("n_chars"))} if "n_chars" in self.docs.columns else {}
         return (
             self.docs.join(taken, "_at")
+            .withColumns(lengths)
             .withColumn("text", F.when(F.col("words") < F.col("size"), text).otherwise(F.col("text")))
             .drop("_at", "words", "size")
         )

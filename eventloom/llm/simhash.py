@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from eventloom.llm.arrow import raw, slices
 from eventloom.llm.components import components
+from eventloom.llm.exact_dedup import located
 from eventloom.runtime import ship, written
 
 SHINGLE = 3
@@ -156,7 +157,7 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *keep: str, bucket: int = BUCKET) -> DataFrame:
-    """Every row's ``keep`` columns (doc_id among them), fp and component_id.
+    """Every row's ``keep`` columns (doc_id among them), fp, component (its smallest fp) and component_id.
 
     component_id: the smallest doc_id that is reachable over links, the row's own included.
     Null or empty texts have fingerprint 0 and are linked like any other; a null doc_id is
@@ -172,10 +173,19 @@ def near_duplicates(docs: DataFrame, *keep: str, bucket: int = BUCKET) -> DataFr
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
     least = own.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = own.join(least, "component").select("fp", "component_id")
+    of = own.join(least, "component").select("fp", "component", "component_id")
     return rows.join(of, "fp")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: of each component the smallest doc_id (nulls last, ties by place)."""
+    docs = located(docs)
+    rows = near_duplicates(docs.select("doc_id", "text", "_at"), "doc_id", "_at")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_at"))
+    stay = rows.groupBy("component").agg(first.alias("first")).select("first._at")
+    return docs.join(stay, "_at", "left_semi").drop("_at")
+
+
 def op7(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Contract columns doc_id, fingerprint, component_id for every row of ``docs``."""
     return near_duplicates(docs.select("doc_id", "text"), "doc_id").select(
