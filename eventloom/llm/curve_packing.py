@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventloom.llm import ranges
+from eventloom import ranges
 from eventloom.llm.arrow import flat_binary, slices
 from eventloom.llm.tokenise import encoder
 from eventloom.runtime import ship, written

@@ -28,7 +28,7 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventloom.llm import ranges
+from eventloom import ranges
 from eventloom.llm.arrow import slices
 from eventloom.llm.tokenise import encoder
 from eventloom.runtime import scratch, ship, written
