@@ -7,8 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from eventloom.errors import MissingColumnError
 
 
+_TYPES = {"STRING": T.StringType(), "TIMESTAMP_NTZ": T.TimestampNTZType(), "BIGINT": T.LongType(), "BOOLEAN": T.BooleanType(), "INT": T.IntegerType()}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Schema of ``name TYPE, ...`` without a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (x.split() for x in text.split(","))])
 
 
 MEDIA = _struct(
