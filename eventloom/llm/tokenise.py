@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries after which a worker's memo starts anew.
-MEMO_LIMIT = 400_000
+MEMO_LIMIT = 200_000
 #: Bytes of chunk text after which it does.
-MEMO_BYTES = 24_000_000
+MEMO_BYTES = 10_000_000
 
 _ENCODERS: dict = {}
 
