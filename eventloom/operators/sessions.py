@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventloom import ranges
 from eventloom.config import Status
+from eventloom.runtime import written
 from eventloom.schemas import CLUSTERS
 
 GAP = timedelta(minutes=60)
@@ -80,6 +81,7 @@ def _numbers(free: DataFrame, gap: timedelta, first_id: int, date: str) -> DataF
     times = free.groupBy(_us(F.col(date)).alias("_ts")).agg(
         F.min_by(unknown, F.col("file_name")).alias("first_unknown"), F.bool_or(unknown).alias("any_unknown"), F.count("*").alias("rows")
     )
+    times = written(times, "times")
     dated = times.filter("_ts is not null")
     parts = int(free.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = dated.count()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from eventloom.config import Config, Mode, Status
 from eventloom.operators import assign, duplicates, naming, sessions
 from eventloom.plans import file_plan
+from eventloom.runtime import written
 from eventloom.schemas import CLUSTERS, MEDIA, empty
 
 
@@ -39,8 +40,9 @@ def organise(media: DataFrame, library: DataFrame, config: Config, found: DataFr
         media = duplicates.mark(media, found)
     if config.use_existing:
         media, library = assign.attach(media, library, config.gap)
+        media, library = written(media, "attached"), written(library, "extended")
     first = library.agg(F.coalesce(F.max("cluster_id") + 1, F.lit(1))).first()[0]
-    media = sessions.cluster(media, gap=config.gap, first_id=first)
+    media = written(sessions.cluster(media, gap=config.gap, first_id=first), "clustered")
     new = media.filter(F.col("status") == Status.NEW_CLUSTER.name)
     rows = sessions.bounds(media).join(naming.named(new, method=config.representative, seed=config.seed), "cluster_id")
     every = sessions.append(library, sessions.as_clusters(rows))
@@ -50,7 +52,6 @@ def organise(media: DataFrame, library: DataFrame, config: Config, found: DataFr
 
 def run(spark: SparkSession, config: Config, execute: bool = True) -> Result:
     """Import the inbox as configured; a dry run (NOP) changes no file."""
-    from eventloom.runtime import written
     from eventloom.sources import library as lib, media as med
 
     files = med.inbox(spark, config)

@@ -15,6 +15,7 @@ from eventloom.config import Config, Mode, Status
 from eventloom.functions import media as M, names as N
 from eventloom.operators import assign, duplicates, naming, sessions
 from eventloom.plans import file_plan, importing, reports
+from eventloom.runtime import written
 from eventloom.streaming.sessions import session_bounds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,7 +134,7 @@ files AS new_file_count FROM c JOIN k ON c.cluster_id = k.cluster_id AND i = fil
 
 
 def _clustered(spark, sf_dir, duplicate="error"):
-    media = sessions.cluster(_media(spark, sf_dir, duplicate), gap=GAP)
+    media = written(sessions.cluster(_media(spark, sf_dir, duplicate), gap=GAP), "clustered")
     return media, naming.named(media.filter(F.col("status") == Status.NEW_CLUSTER.name))
 
 
@@ -212,7 +213,7 @@ step(i, file_name, cluster_id, grown) AS (
 SELECT file_name, cluster_id FROM step WHERE cluster_id IS NOT NULL"""
 
 
-@query()
+@query(EXPANDING)
 def assign_existing_expanding(spark, sf_dir):
     return assign.match(_media(spark, sf_dir, "error"), _library(spark, sf_dir), SMALL)
 

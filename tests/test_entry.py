@@ -1,0 +1,53 @@
+"""The driver contract; the library without its training-data part."""
+
+import os
+import subprocess
+import sys
+
+import pytest
+
+from tests.conftest import ROOT
+
+SMALL = "/root/testdata/sf0.001"
+needs_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the driver's tables")
+
+
+@needs_data
+def test_entry(spark):
+    import __spark_entry__ as e
+
+    assert set(e.entry(spark).columns) == {"cluster_id", "target_path", "new_file_count"}
+    assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["gap_cluster_dup_bridge", "cluster_names", "assign_existing_expanding", "dup_detect_staged", "resolve_names", "plan_ops", "full_import"])
+def test_queries_match_sql(spark, name):
+    import duckdb
+
+    from eventloom import queries as q
+
+    con = duckdb.connect()
+    for f in os.listdir(SMALL):
+        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SMALL}/{f}'")
+    got = q.QUERIES[name](spark, SMALL)
+    want = con.sql(q.ORACLES[name])
+    columns = sorted(want.columns)
+    rows = lambda df: sorted(map(repr, df))
+    assert sorted(got.columns) == columns
+    assert rows(tuple(r[c] for c in columns) for r in got.collect()) == rows(con.sql(f"SELECT {', '.join(columns)} FROM ({q.ORACLES[name]})").fetchall())
+
+
+def test_imports_without_the_optional_part():
+    code = """
+import importlib.abc, sys
+class Gone(importlib.abc.MetaPathFinder):
+    def find_spec(self, name, path, target=None):
+        if name == "corpus_pipeline" or name.startswith("eventloom.llm"):
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as e
+names = set(e.queries())
+assert "cluster_names" in names and "pipeline" not in names and not any(n.startswith("op") for n in names), names
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
