@@ -51,17 +51,25 @@ def cluster(media: DataFrame, *keys: str, gap: timedelta = GAP, first_id: int =
     if "cluster_id" not in media.columns:
         media = media.withColumn("cluster_id", F.lit(None).cast("long"))
     free = F.col("cluster_id").isNull()
-    if keys:
+    if not keys:
+        numbered = _numbers(media.filter(free), [], gap, first_id, date)
+        out = _same(media.withColumn("_ts", _us(F.col(date))), numbered, ["_ts"])
+    else:
+        hot = _hot_keys(media.filter(free), keys)
+        out = None
+        if hot is not None:
+            large = _same(media, hot, list(keys), "left_semi")
+            numbered = _numbers(large.filter(free), list(keys), gap, first_id, date)
+            out = _same(large.withColumn("_ts", _us(F.col(date))), numbered, [*keys, "_ts"])
+            media = _same(media, hot, list(keys), "left_anti")
         order = [F.col(date).asc_nulls_last(), F.col("file_name")]
-        gapped = media.withColumn("_d", F.when(free, _us(F.col(date)) - F.lag(_us(F.col(date))).over(Window.partitionBy(*keys, free).orderBy(*order))))
+        since = _us(F.col(date)) - F.lag(_us(F.col(date))).over(Window.partitionBy(*keys, free).orderBy(*order))
         running = Window.partitionBy(*keys, unknown).orderBy(*order)
         opens = (F.row_number().over(running) == 1) | F.coalesce(F.col("_d") > micros(gap), F.lit(False))
-        gapped = gapped.withColumn("_o", opens)
         number = F.sum(F.col("_o").cast("int")).over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + first_id - 1
-        out = gapped.withColumn("_n", number)
-    else:
-        numbers = _numbers(media.filter(free), gap, first_id, date)
-        out = media.join(numbers.withColumnRenamed("_ts", "_k"), _us(F.col(date)).eqNullSafe(F.col("_k")), "left").drop("_k")
+        rest = media.withColumn("_d", F.when(free, since)).withColumn("_o", opens).withColumn("_n", number)
+        columns = [*media.columns, "_n"]
+        out = rest.select(*columns) if out is None else out.select(*columns).unionByName(rest.select(*columns))
     return out.select(
         *[c for c in media.columns if c not in ("cluster_id", "status")],
         F.when(unknown, F.col("_n").cast("long")).otherwise(F.col("cluster_id")).alias("cluster_id"),
@@ -69,46 +77,63 @@ def cluster(media: DataFrame, *keys: str, gap: timedelta = GAP, first_id: int =
     )
 
 
-def _numbers(free: DataFrame, gap: timedelta, first_id: int, date: str) -> DataFrame:
-    """(_ts, _n): the event number at each distinct time (null time: the last event's, or the first).
+def _same(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join on equal values of ``on``, nulls equal to one another; the left table's columns and the right one's others."""
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for c in on:
+        same = same & left[c].eqNullSafe(renamed[f"_r_{c}"])
+    return left.join(renamed, same, how).drop(*[f"_r_{c}" for c in on])
+
+
+def _hot_keys(free: DataFrame, keys) -> DataFrame | None:
+    """Keys with more rows than one window should hold; None if there is none."""
+    hot = free.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > SINGLE_WINDOW_ROWS).select(*keys)
+    hot = written(hot, "hot-keys")
+    return None if hot.isEmpty() else hot
+
+
+def _numbers(free: DataFrame, keys: list[str], gap: timedelta, first_id: int, date: str) -> DataFrame:
+    """(keys, _ts, _n): the event number at each distinct time (null time: the last event's, or the first).
 
     Rows of one time collapse before anything is ordered: only its first row by name can carry
     a gap, and the number changes there if that row is an unknown file.  Times are dealt to
     ranges by quantiles; each range counts its openings, and what ranges before it hold (one
-    row a range) is added on.
+    row a key and range) is added on.
     """
     unknown = F.col("status") == Status.UNKNOWN.name
-    times = free.groupBy(_us(F.col(date)).alias("_ts")).agg(
-        F.min_by(unknown, F.col("file_name")).alias("first_unknown"), F.bool_or(unknown).alias("any_unknown"), F.count("*").alias("rows")
+    times = free.groupBy(*keys, _us(F.col(date)).alias("_ts")).agg(
+        F.min_by(unknown, F.col("file_name")).alias("first_unknown"), F.bool_or(unknown).alias("any_unknown")
     )
     times = written(times, "times")
     dated = times.filter("_ts is not null")
     parts = int(free.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = dated.count()
-    lower = ranges.bounds(dated, "_ts", min(parts, -(-n // SINGLE_WINDOW_ROWS)))
-    bucketed = dated.withColumn("_b", ranges.bucket(F.col("_ts"), lower))
-    inside = Window.partitionBy("_b").orderBy("_ts")
-    bucketed = bucketed.withColumn("_p", F.lag("_ts").over(inside))
-    ends = bucketed.groupBy("_b").agg(F.max("_ts").alias("_last"))
-    # one row a range, at most ranges.MOST_RANGES of them
-    heads = ends.select((F.col("_b")).alias("_b"), F.lag("_last").over(Window.orderBy("_b")).alias("_carry"))
-    bucketed = bucketed.join(F.broadcast(heads), "_b").withColumn("_p", F.coalesce("_p", "_carry"))
-    opens = F.coalesce(F.col("_ts") - F.col("_p") > micros(gap), F.lit(False)) & F.col("first_unknown")
-    bucketed = bucketed.withColumn("_o", opens)
-    sums = bucketed.groupBy("_b").agg(F.sum(F.col("_o").cast("int")).alias("_s"), F.min(F.when(F.col("any_unknown"), F.col("_ts"))).alias("_first"))
-    every = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sums = sums.select("_b", F.coalesce(F.sum("_s").over(every), F.lit(0)).alias("_before"), F.min("_first").over(whole).alias("_start"))
-    count = F.sum(F.col("_o").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_before")
-    placed = bucketed.join(F.broadcast(sums), "_b").select("_ts", "_start", count.alias("_c"))
-    # the first unknown file opens an event whatever its gap: count from what its own time has counted
-    base = placed.filter("_ts = _start").agg(F.max("_c").alias("_base"))
-    tops = placed.agg(F.max("_c").alias("_top"))
-    numbered = placed.crossJoin(F.broadcast(base)).select("_ts", (F.col("_c") - F.coalesce("_base", F.lit(0)) + first_id).cast("long").alias("_n"))
-    undated = times.filter("_ts is null").crossJoin(F.broadcast(tops.crossJoin(base))).select(
-        "_ts", F.coalesce(F.col("_top") - F.col("_base") + first_id, F.lit(first_id)).cast("long").alias("_n")
-    )
-    return numbered.unionByName(undated)
+    lower = ranges.bounds(dated, "_ts", min(parts, -(-dated.count() // SINGLE_WINDOW_ROWS)))
+    rows = dated.withColumn("_b", ranges.bucket(F.col("_ts"), lower))
+    spot = [*keys, "_b"]
+    inside = Window.partitionBy(*spot).orderBy("_ts")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_range = Window.partitionBy(*keys).orderBy("_b")
+    ahead = by_range.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = rows.groupBy(*spot).agg(F.max("_ts").alias("_last"), F.min(F.when(F.col("any_unknown"), F.col("_ts"))).alias("_u"))
+    heads = heads.select(*spot, F.lag("_last").over(by_range).alias("_carry"), F.min("_u").over(whole).alias("_start"))
+    rows = _same(rows.withColumn("_p", F.lag("_ts").over(inside)), heads, spot)
+    wide = F.coalesce(F.col("_ts") - F.coalesce("_p", "_carry") > micros(gap), F.lit(False))
+    rows = rows.withColumn("_o", (wide & F.col("first_unknown")).cast("int"))
+    # the first unknown file opens an event whatever its gap: openings up to its time don't count
+    rows = rows.withColumn("_o", F.when(F.col("_ts") > F.col("_start"), F.col("_o")).otherwise(0))
+    sums = rows.groupBy(*spot).agg(F.sum("_o").alias("_s"))
+    sums = sums.select(*spot, F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_before"), F.sum("_s").over(whole).alias("_all"))
+    numbered = _same(rows.withColumn("_c", F.sum("_o").over(upto)), sums, spot)
+    numbered = numbered.select(*keys, "_ts", (F.col("_c") + F.col("_before") + first_id).cast("long").alias("_n"))
+    undated = times.filter("_ts is null").select(*keys, "_ts")
+    if keys:
+        tops = sums.groupBy(*keys).agg(F.max("_all").alias("_all"))
+        undated = _same(undated, tops, keys)
+    else:
+        undated = undated.withColumn("_all", F.lit(sums.agg(F.max("_all")).first()[0]).cast("long"))
+    return numbered.unionByName(undated.select(*keys, "_ts", (F.coalesce("_all", F.lit(0)) + first_id).cast("long").alias("_n")))
 
 
 def bounds(media: DataFrame, *keys: str, date: str = "date") -> DataFrame:

@@ -96,8 +96,16 @@ def test_random_against_model(spark, keyed, monkeypatch):
         df = spark.createDataFrame([(n, d, True, None, s) for n, d, s in rows], MEDIA)
         gap = timedelta(minutes=12)
         if keyed:
-            df = df.withColumn("k", F.lit(1))
-            got = ids(sessions.cluster(df, "k", gap=gap, first_id=5))
+            hot = F.when(F.xxhash64("file_name") % 4 == 0, F.lit(None).cast("string"))  # a null key that is hot too
+            got = {}
+            df = df.withColumn("k", F.when(F.xxhash64("file_name") % 4 == 0, hot).when(F.xxhash64("file_name") % 16 == 1, "cold").otherwise("hot"))
+            done = sessions.cluster(df, "k", gap=gap, first_id=5).collect()
+            assert len(done) == len(rows)
+            keys = {r.file_name: r.k for r in done}
+            for key in set(keys.values()):
+                want = model([r for r in rows if keys[r[0]] == key], gap, 5)
+                assert {r.file_name: r.cluster_id for r in done if r.k == key and r.cluster_id is not None} == want
+            continue
         else:
             got = ids(sessions.cluster(df, gap=gap, first_id=5))
         assert {k: v for k, v in got.items() if v is not None} == model(rows, gap, 5)
