@@ -250,10 +250,15 @@ def _listed(spans: list[tuple[str, Column]]) -> Column:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, the base spans by kind, and for each kind ``KIND_added``: candidates that the trees accept."""
+    """doc_id, the base spans by kind, and for each kind ``KIND_added``: accepted candidates that touch no base span."""
     proposed = written(propose(docs), "pii-candidates")
     model = fit(proposed)
-    added = [F.transform(F.filter(F.col(f"{k}_more"), lambda c: model.accepts(c["f"])), lambda c: F.struct(c["start"], c["end"])).alias(f"{k}_added") for k in KINDS]
+    base = F.concat(*map(F.col, KINDS))
+
+    def apart(c: Column) -> Column:
+        return ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+
+    added = [F.transform(F.filter(F.col(f"{k}_more"), lambda c: model.accepts(c["f"]) & apart(c)), lambda c: F.struct(c["start"], c["end"])).alias(f"{k}_added") for k in KINDS]
     return proposed.select("doc_id", *KINDS, *added)
 
 
