@@ -26,6 +26,14 @@ def parser() -> argparse.ArgumentParser:
     r = commands.add_parser("refresh", help="write libraries' event summaries")
     r.add_argument("-l", "--library", action="append", required=True, help="library folder (repeat for several)")
     r.add_argument("-f", "--force", action="store_true", help="also where a summary exists")
+    c = commands.add_parser("catalogue", help="write date;name lines of a library's events")
+    c.add_argument("-l", "--library", required=True)
+    c.add_argument("-o", "--output", required=True)
+    y = commands.add_parser("sample", help="copy one photo of each event of a year")
+    y.add_argument("-l", "--library", required=True)
+    y.add_argument("-y", "--year", required=True)
+    y.add_argument("-o", "--output", required=True)
+    y.add_argument("-k", "--count", type=int, default=10)
     return p
 
 
@@ -55,6 +63,14 @@ def main(argv: list[str] | None = None) -> int:
         done = refresh(spark, conf.library_arguments(args.library), conf.load(), args.force)
         print(f"{done.count()} event folders")
         return 0
+    if args.command in ("catalogue", "sample"):
+        from eventloom.plans import reports
+
+        if args.command == "catalogue":
+            reports.library_catalogue(spark, args.library).write.mode("overwrite").text(args.output)
+        else:
+            reports.export_sample(reports.year_sample(spark, args.library, args.year, args.count), args.output)
+        return 0
     from eventloom.plans.importing import run
 
     print(run(spark, configured(args)).summary())

@@ -114,6 +114,22 @@ def test_whole_import(spark, world):
     assert "1 duplicate" in result.summary()
 
 
+def test_year_reports(spark, world, tmp_path):
+    from eventloom.plans import reports
+
+    shelf = world[2]
+    put(shelf / "2020" / "[2020_05_05]_two" / "a.jpg", b"again", datetime(2020, 5, 5))
+    put(shelf / "2020" / "[2020_06_06]_x_y" / "c.HEIC", b"heic", datetime(2020, 6, 6))
+    lines = {r.line for r in reports.library_catalogue(spark, str(shelf)).collect()}
+    assert lines == {"2020-01-10;ev", "2020-02-02;bare", "2020-03-03;doc", "2020-05-05;two", "2020-06-06;x y"}
+    sample = reports.year_sample(spark, str(shelf), 2020)
+    rows = sample.collect()
+    assert {r.name for r in rows} <= {"a.jpg", "b.jpg", "c.HEIC"} and len({r.name for r in rows}) == len(rows) >= 2
+    assert reports.year_sample(spark, str(shelf), 2020, cap=1).count() == 1
+    reports.export_sample(sample, str(tmp_path / "sample"))
+    assert {p.name for p in (tmp_path / "sample").iterdir()} == {r.name for r in rows}
+
+
 def test_dry_run_and_empty_inbox(spark, world, tmp_path):
     result = importing.run(spark, configured(world, no_operation=True))
     assert result.plan.filter("op = 'skip'").count() == 6 and not world[1].exists()
