@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries after which a worker's memo starts anew.
-MEMO_LIMIT = 200_000
-#: Bytes of chunk text after which it does.
-MEMO_BYTES = 10_000_000
+#: Entries after which a worker's memo forgets all but the KEPT that were used most.
+MEMO_LIMIT, KEPT = 260_000, 130_000
+#: Bytes of chunk text after which it forgets everything (very long chunks).
+MEMO_BYTES = 24_000_000
 
 _ENCODERS: dict = {}
 
@@ -82,6 +82,16 @@ class ChunkEncoder:
         self.flat = np.zeros(0, np.uint32)
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the entries that were used most; what is kept counts for less the next time."""
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[:KEPT])
+        length = self.length[keep]
+        at = np.cumsum(length) - length
+        self.flat = self.flat[np.repeat(self.start[keep] - at, length) + np.arange(int(length.sum()))]
+        self.known = self.known.take(pa.array(keep))
+        self.start, self.length, self.uses = at, length, self.uses[keep] // 2
 
     def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and lengths of chunks without white space; a leading newline counts as one."""
@@ -129,6 +139,7 @@ class ChunkEncoder:
             self.length = np.concatenate([self.length, lengths])
             self.flat = np.concatenate([self.flat, flat])
             self.known = pa.concat_arrays([self.known, new])
+            self.uses = np.concatenate([self.uses, np.zeros(len(missing), np.int64)])
         return places
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -138,8 +149,10 @@ class ChunkEncoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        if len(self.known) > MEMO_LIMIT or self.known.nbytes > MEMO_BYTES:
+        if self.known.nbytes > MEMO_BYTES:
             self._clear()
+        elif len(self.known) > MEMO_LIMIT:
+            self._forget()
         whole = np.zeros(0, np.int64)
         if self.drops_space:
             pieces = pc.ascii_split_whitespace(texts)
@@ -152,6 +165,7 @@ class ChunkEncoder:
         bounds = pieces.offsets.to_numpy().astype(np.int64)
         coded = pieces.flatten().dictionary_encode()
         places = self._places(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        self.uses += np.bincount(places, minlength=len(self.uses))
         start, length = self.start[places], self.length[places]
         flat = self.flat
         if not self.drops_space:
