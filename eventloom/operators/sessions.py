@@ -110,30 +110,35 @@ def _numbers(free: DataFrame, keys: list[str], gap: timedelta, first_id: int, da
     parts = int(free.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lower = ranges.bounds(dated, "_ts", min(parts, -(-dated.count() // SINGLE_WINDOW_ROWS)))
     rows = dated.withColumn("_b", ranges.bucket(F.col("_ts"), lower))
-    spot = [*keys, "_b"]
+    spot = [*keys, "_b"] if lower else keys
     inside = Window.partitionBy(*spot).orderBy("_ts")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by_range = Window.partitionBy(*keys).orderBy("_b")
-    ahead = by_range.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = rows.groupBy(*spot).agg(F.max("_ts").alias("_last"), F.min(F.when(F.col("any_unknown"), F.col("_ts"))).alias("_u"))
-    heads = heads.select(*spot, F.lag("_last").over(by_range).alias("_carry"), F.min("_u").over(whole).alias("_start"))
-    rows = _same(rows.withColumn("_p", F.lag("_ts").over(inside)), heads, spot)
-    wide = F.coalesce(F.col("_ts") - F.coalesce("_p", "_carry") > micros(gap), F.lit(False))
-    rows = rows.withColumn("_o", (wide & F.col("first_unknown")).cast("int"))
+    first_of = F.min(F.when(F.col("any_unknown"), F.col("_ts")))
+    rows = rows.withColumn("_p", F.lag("_ts").over(inside))
+    if lower:
+        by_range = Window.partitionBy(*keys).orderBy("_b")
+        heads = rows.groupBy(*spot).agg(F.max("_ts").alias("_last"), first_of.alias("_u"))
+        heads = heads.select(*spot, F.lag("_last").over(by_range).alias("_carry"), F.min("_u").over(whole).alias("_start"))
+        rows = _same(rows, heads, spot).withColumn("_p", F.coalesce("_p", "_carry"))
+    else:
+        rows = rows.withColumn("_start", first_of.over(whole))
+    opens = (F.col("_ts") - F.col("_p") > micros(gap)) & F.col("first_unknown")
     # the first unknown file opens an event whatever its gap: openings up to its time don't count
-    rows = rows.withColumn("_o", F.when(F.col("_ts") > F.col("_start"), F.col("_o")).otherwise(0))
-    sums = rows.groupBy(*spot).agg(F.sum("_o").alias("_s"))
-    sums = sums.select(*spot, F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_before"), F.sum("_s").over(whole).alias("_all"))
-    numbered = _same(rows.withColumn("_c", F.sum("_o").over(upto)), sums, spot)
-    numbered = numbered.select(*keys, "_ts", (F.col("_c") + F.col("_before") + first_id).cast("long").alias("_n"))
+    rows = rows.withColumn("_o", F.when((F.col("_ts") > F.col("_start")) & opens, 1).otherwise(0))
+    rows = rows.withColumn("_c", F.sum("_o").over(upto))
+    if lower:
+        sums = rows.groupBy(*spot).agg(F.sum("_o").alias("_s"))
+        ahead = by_range.rowsBetween(Window.unboundedPreceding, -1)
+        rows = _same(rows, sums.select(*spot, F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_before")), spot)
+        rows = rows.withColumn("_c", F.col("_c") + F.col("_before"))
+    numbered = rows.select(*keys, "_ts", (F.col("_c") + first_id).cast("long").alias("_n"))
     undated = times.filter("_ts is null").select(*keys, "_ts")
-    if keys:
-        tops = sums.groupBy(*keys).agg(F.max("_all").alias("_all"))
-        undated = _same(undated, tops, keys)
-    else:
-        undated = undated.withColumn("_all", F.lit(sums.agg(F.max("_all")).first()[0]).cast("long"))
-    return numbered.unionByName(undated.select(*keys, "_ts", (F.coalesce("_all", F.lit(0)) + first_id).cast("long").alias("_n")))
+    if undated.isEmpty():
+        return numbered
+    last = numbered.groupBy(*keys).agg(F.max("_n").alias("_n"))
+    undated = _same(undated, last, keys) if keys else undated.withColumn("_n", F.lit(last.first()[0]).cast("long"))
+    return numbered.unionByName(undated.select(*keys, "_ts", F.coalesce("_n", F.lit(first_id)).cast("long").alias("_n")))
 
 
 def bounds(media: DataFrame, *keys: str, date: str = "date") -> DataFrame:
