@@ -138,3 +138,32 @@ def op8(spark: SparkSession, docs: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.array_union(labels, F.coalesce("added", none))), ",").alias("labels"),
         F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )
+
+
+def _oracle() -> str:
+    """DuckDB SQL for op8: every line against every template, without filters."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    split = lambda c: f"regexp_extract_all(translate({c}, '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    templates = ", ".join(f"({k}, '{label}', {quoted(sorted(set(t.split())))})" for k, (label, t) in enumerate(TEMPLATES))
+    phrases = ", ".join(f"('{label}', {quoted(p.split())}, {len(p.split())})" for p, label in PHRASES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, {split('text')} AS words FROM d),
+p(label, phrase, k) AS (VALUES {phrases}),
+hits AS (SELECT r, label, i FROM (SELECT r, words, label, phrase, k, unnest(range(0, len(words))) AS i FROM w, p
+  WHERE list_contains(words, phrase[1]) AND list_contains(words, phrase[2])) WHERE words[i + 1:i + k] = phrase),
+base AS (SELECT r, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM hits GROUP BY r),
+t(k, label, words) AS (VALUES {templates}),
+lines AS (SELECT r, {split('line')} AS words FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
+met AS (SELECT r, t.label, len(list_intersect(t.words, lines.words)) AS shared, len(t.words) AS n FROM lines, t),
+added AS (SELECT r, list(label) AS labels, max(shared / n) AS best FROM met WHERE shared >= ceil({THRESHOLD} * n - 1e-9) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(added.labels, [])))), ','), '') AS labels,
+  CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+FROM w LEFT JOIN base USING (r) LEFT JOIN added USING (r)
+"""
+
+
+ORACLE = _oracle()

@@ -58,4 +58,4 @@ QUERIES = {
         op6_curve_packing, op7_simhash_near_dedup, op8_license_scan, op9_exact_dedup, op10_token_files,
     )
 }
-ORACLES = {"op5_chat_format": chat.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op5_chat_format": chat.ORACLE, "op8_license_scan": licenses.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
