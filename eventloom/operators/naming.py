@@ -65,6 +65,7 @@ def resolved_names(media: DataFrame, restore: bool, taken: DataFrame | None = No
         return rows.withColumn("dst_name", F.col("file_name"))
     rows = rows.withColumn("_want", strip_copy_suffix(F.col("file_name"))).withColumn("_copy", F.col("_want") != F.col("file_name"))
     key = ["target_path", F.lower("_want")]
+    plain = rows
     first = F.row_number().over(Window.partitionBy(*key).orderBy("_copy", "file_name")) == 1
     rows = rows.withColumn("_first", first)
     if taken is not None:
@@ -73,7 +74,9 @@ def resolved_names(media: DataFrame, restore: bool, taken: DataFrame | None = No
     else:
         rows = rows.withColumn("_free", F.lit(True))
     rows = rows.withColumn("dst_name", F.when(F.col("_copy") & F.col("_first") & F.col("_free"), F.col("_want")).otherwise(F.col("file_name")))
-    for _ in range(3):  # nested suffixes: each step gives back one level
+    # only a plain name that has a copy suffix itself can be another copy's kept name
+    nested = not plain.filter(strip_copy_suffix(F.col("_want")) != F.col("_want")).isEmpty()
+    for _ in range(3 if nested else 0):  # each step gives back one level
         same = F.count("*").over(Window.partitionBy("target_path", F.lower("dst_name")))
         rows = rows.withColumn("_same", same).withColumn(
             "dst_name", F.when((F.col("_same") > 1) & (F.col("dst_name") != F.col("file_name")), F.col("file_name")).otherwise(F.col("dst_name"))

@@ -218,7 +218,13 @@ def assign_existing_expanding(spark, sf_dir):
     return assign.match(_media(spark, sf_dir, "error"), _library(spark, sf_dir), SMALL)
 
 
-@query()
+ATTACHED = f"""WITH {LIBRARY}, m AS ({MEDIA}), a AS ({EXPANDING}),
+g AS (SELECT a.cluster_id, min(date) AS s, max(date) AS e, count(*) AS n FROM a JOIN m USING (file_name) GROUP BY 1)
+SELECT l.cluster_id, least(start_date, s) AS start_date, greatest(end_date, e) AS end_date, CAST(NULL AS TIMESTAMP) AS median, is_continuous, path,
+CASE WHEN n IS NOT NULL THEN 'existing/' || regexp_extract(path, '[^/]+$') END AS target_path, file_count, n AS new_file_count FROM l LEFT JOIN g USING (cluster_id)"""
+
+
+@query(ATTACHED)
 def attach_existing(spark, sf_dir):
     return assign.attach(_media(spark, sf_dir, "error"), _library(spark, sf_dir), SMALL)[1]
 
@@ -437,13 +443,23 @@ def full_import(spark, sf_dir):
     return media.select("file_name", "cluster_id", "target_path")
 
 
-@query()
+IMPORTED = f"""WITH {LIBRARY}, m AS ({MEDIA}), a AS ({EXPANDING}),
+free AS (SELECT m.* FROM m LEFT JOIN a USING (file_name) WHERE a.cluster_id IS NULL),
+d AS (SELECT *, date - lag(date) OVER (ORDER BY date NULLS LAST, file_name) AS delta FROM free),
+f AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY date NULLS LAST, file_name) = 1 OR delta > INTERVAL 2 MINUTE THEN 1 ELSE 0 END AS opens FROM d WHERE event_type <> 'error'),
+n AS (SELECT *, CAST((SELECT max(cluster_id) FROM l) + sum(opens) OVER (ORDER BY date NULLS LAST, file_name ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster_id FROM f), {NAMED}
+SELECT file_name, cluster_id, 'EXISTING_CLUSTER' AS status, 'existing/' || regexp_extract(path, '[^/]+$') AS target_path FROM a JOIN l USING (cluster_id)
+UNION ALL SELECT file_name, cluster_id, 'NEW_CLUSTER', target_path FROM n JOIN named USING (cluster_id)
+UNION ALL SELECT file_name, NULL, 'DUPLICATE', NULL FROM m WHERE event_type = 'error'"""
+
+
+@query(IMPORTED)
 def full_import_with_library(spark, sf_dir):
     """A whole import over tables that also extends library events."""
     from dataclasses import replace
 
     config = replace(CONFIG, use_existing=True, libraries=("/lib",), gap=SMALL)
-    media, _ = importing.organise(_media(spark, sf_dir), _library(spark, sf_dir), config)
+    media, _ = importing.organise(_media(spark, sf_dir, "error"), _library(spark, sf_dir), config)
     return media.select("file_name", "cluster_id", "status", "target_path")
 
 
