@@ -1,0 +1,71 @@
+"""Properties of the pure parts, on generated inputs."""
+
+import io
+
+import numpy as np
+import pyarrow as pa
+from hypothesis import given, settings, strategies as st
+
+from eventloom.llm import curve_packing, mixing, quality, simhash, token_files
+from eventloom.llm.tokenise import encoder
+
+FEW = settings(max_examples=120, deadline=None)
+TEXT = st.text(st.one_of(st.sampled_from(" \n\t'abAB1.!é 　"), st.characters(exclude_categories=["Cs"])), max_size=60)
+
+
+@FEW
+@given(st.lists(st.one_of(st.none(), TEXT), max_size=6), st.sampled_from(["byte_bpe_50k.json", "word_bpe_49k.json"]))
+def test_encoder_agrees_with_the_library(texts, name):
+    e = encoder(name)
+    ids, at = e.encode(pa.array(texts, pa.string()))
+    for j, t in enumerate(texts):
+        assert ids[at[j] : at[j + 1]].tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+@FEW
+@given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=20), max_size=8), st.integers(1, 9), st.booleans())
+def test_planes(docs, block, bits):
+    sink = io.BytesIO()
+    w = token_files.PlaneWriter(sink, block=block, bits=bits)
+    for i, d in enumerate(docs):
+        w.add(np.array([i]), np.array([len(d)]), np.array(d, np.uint32))
+    w.close()
+    r = token_files.PlaneReader(pa.BufferReader(sink.getvalue()))
+    assert [ids.tolist() for _, ids in r.documents()] == docs
+
+
+@FEW
+@given(st.lists(st.tuples(*[st.integers(0, 31)] * 2), min_size=1, max_size=50, unique=True))
+def test_hilbert_keys_are_distinct(cells):
+    keys = curve_packing.hilbert(np.array(cells), 5)
+    assert len(set(keys.tolist())) == len(cells) and keys.min() >= 0 and keys.max() < 1 << 10
+
+
+@FEW
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=8), st.integers(1, 20), st.integers(0, 5))
+def test_tree_keeps_all_blocks(counts, shards, seed):
+    leaves = list(mixing._descend(1, 0, shards, np.array(counts), np.zeros(len(counts), np.int64), seed, 1))
+    assert [leaf[1] for leaf in leaves] == list(range(shards))
+    at = np.zeros(len(counts), np.int64)
+    for _, _, n, part, offsets in leaves:
+        assert n == 1 and (offsets == at).all() and (part >= 0).all()
+        at = at + part
+    assert at.tolist() == counts
+    sizes = [int(leaf[3].sum()) for leaf in leaves]
+    assert max(sizes) - min(sizes) <= 1
+
+
+@FEW
+@given(st.lists(st.sampled_from("abc"), max_size=30))
+def test_repeat_words(words):
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    covered = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + 3)}
+    assert quality.repeat_words(words) == (len(covered), len(set(words)))
+
+
+@FEW
+@given(TEXT)
+def test_fingerprint_depends_on_words_only(text):
+    data = text.encode()
+    again = b"  " + b"\n".join(data.split()) + b"\t"
+    assert simhash.fingerprint(data) == simhash.fingerprint(again) == simhash.fingerprint(data.upper() if data.isascii() else data)
