@@ -173,12 +173,21 @@ def folder_stats(media: DataFrame, *keys: str, gap: timedelta = GAP, date: str =
 
     Consistent: no gap above ``gap``, and not some dates missing while others are there.
     """
-    order = Window.partitionBy(*keys).orderBy(F.col(date).asc_nulls_last())
-    rows = media.withColumn("_d", _us(F.col(date)) - F.lag(_us(F.col(date))).over(order))
+    # equal dates collapse to counts first; medians are read off running counts, in no one's memory
+    counts = media.groupBy(*keys, F.col(date).alias("_t")).agg(F.count("*").alias("_n")).withColumn("_u", _us(F.col("_t")))
+    order = Window.partitionBy(*keys).orderBy(F.col("_u").asc_nulls_last())
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = counts.withColumns({
+        "_d": F.col("_u") - F.lag("_u").over(order),
+        "_upto": F.sum("_n").over(upto),
+        "_dated": F.sum(F.when(F.col("_u").isNotNull(), F.col("_n"))).over(Window.partitionBy(*keys)),
+    })
+    reached = lambda place: F.min(F.when(F.col("_u").isNotNull() & (F.col("_upto") > F.expr(place)), F.col("_u")))
     wide = F.coalesce(F.bool_or(F.col("_d") > micros(gap)), F.lit(False))
-    mixed = (F.count_if(F.col(date).isNull()) > 0) & (F.count(date) > 0)
-    middle = F.timestamp_micros(F.median(_us(F.col(date))).cast("long")).cast("timestamp_ntz")
-    return rows.groupBy(*keys).agg(
-        F.min(date).alias("date_start"), F.max(date).alias("date_stop"), middle.alias("median"),
-        F.count("*").alias("file_count"), (~(wide | mixed)).alias("is_time_consistent"),
+    mixed = (F.count_if(F.col("_u").isNull()) > 0) & (F.count("_u") > 0)
+    stats = rows.groupBy(*keys).agg(
+        F.min("_t").alias("date_start"), F.max("_t").alias("date_stop"), reached("(_dated - 1) div 2").alias("_low"), reached("_dated div 2").alias("_high"),
+        F.sum("_n").alias("file_count"), (~(wide | mixed)).alias("is_time_consistent"),
     )
+    middle = F.timestamp_micros(F.expr("_low + (_high - _low) div 2")).cast("timestamp_ntz")
+    return stats.select(*keys, "date_start", "date_stop", middle.alias("median"), "file_count", "is_time_consistent")
