@@ -1,11 +1,14 @@
 """License scans by an exact set-similarity join, in DataFrame functions only.
 
-A block (line) matches a template when it holds at least ``THRESHOLD`` of the template's
-distinct words.  Template words are ordered by how many documents of the corpus hold them,
+A block matches a template when it holds at least ``THRESHOLD`` of the template's distinct
+words.  Blocks are lines, and for notices that are wrapped over lines all windows of ``REACH``
+times the template's words over the whole text, where the words must also stand in the
+template's order (longest common subsequence, at least ``THRESHOLD`` of it).  Template words are ordered by how many documents of the corpus hold them,
 rarest first.  A template of n words that needs o of them must share one of its first
 n - o + 1 words with the block (prefix filter); the block must hold o template words (length
 filter); a shared word at places i and j leaves at most 1 + min(rest of either) words in
-common (positional filter).  What is left is verified exactly.
+common (positional filter).  What is left is verified exactly.  A window that matches holds a
+prefix word, so only windows around places of prefix words are looked at.
 
 One scan of the texts gives word counts, base phrases and each document's template words;
 only documents whose words could meet some template go on to the join.  The index, and the
@@ -23,6 +26,8 @@ from eventloom.llm.exact_dedup import located
 from eventloom.runtime import written
 
 THRESHOLD = 0.8
+#: Words of a window by words of the template: room for what stands before each line of a comment.
+REACH = 1.25
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose places are counted, with their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -89,6 +94,54 @@ def _scanned(docs: DataFrame, templates, threshold: float) -> DataFrame:
     return rows.withColumn("text", F.when(could, F.col("text")))
 
 
+def _wrapped(rows: DataFrame, templates, order: dict[str, int], index: list[tuple], threshold: float) -> DataFrame:
+    """Matches of windows, as those of ``scan``; block is the place of the prefix word that led there."""
+    spark = rows.sparkSession
+    forms = []
+    for k, (label, text) in enumerate(templates):
+        words = [order[w] for w in text.split()]
+        masks = [sum(1 << i for i, w in enumerate(words) if w == rank) for rank in range(len(order))]
+        forms.append((k, label, sorted(set(words)), len(words), _need(len(words), threshold), ceil(REACH * len(words)), masks, (1 << len(words)) - 1))
+    span = max(f[5] for f in forms)
+    prefix = {rank for rank, *_ in index}
+    rank_of = F.create_map(*[x for w, i in order.items() for x in (F.lit(w), F.lit(i))])
+    docs = rows.filter("text is not null").select("_at", words_of(F.col("text")).alias("words"))
+    numbered = F.transform("words", lambda w, i: F.struct(i.alias("place"), w.alias("w")))
+    hits = F.filter(numbered, lambda x: x["w"].isin([w for w, i in order.items() if i in prefix]))
+
+    def around(x: Column) -> Column:
+        first = F.greatest(x["place"] - (span - 1), F.lit(0))
+        near = F.slice("words", first + 1, x["place"] - first + span)
+        return F.struct(x["place"].alias("block"), (x["place"] - first).alias("c"), F.transform(near, lambda w: F.coalesce(rank_of[w], F.lit(-1))).alias("near"))
+
+    tokens = docs.select("_at", F.explode(F.transform(hits, around)).alias("x")).select("_at", "x.*")
+    tokens = tokens.withColumn("rank", F.get("near", F.col("c"))).withColumn("ranks", F.array_sort(F.array_remove(F.array_distinct("near"), -1)))
+    prefixes = F.broadcast(spark.createDataFrame(index, "rank int, template int, i int, size int, need int"))
+    bound = 1 + F.least(F.col("size") - F.col("i"), F.size("ranks") - F.array_position("ranks", F.col("rank")) + 1) - 1
+    met = tokens.join(prefixes, "rank").filter((F.size("ranks") >= F.col("need")) & (bound >= F.col("need")))
+    columns = "template int, label string, full array<int>, n_words int, ordered int, reach int, masks array<bigint>, whole bigint"
+    full = F.broadcast(spark.createDataFrame(forms, columns))
+
+    def in_order(window: Column) -> Column:
+        """Longest common subsequence with the template: a bit stays set for each of its words that is left out."""
+
+        def step(v: Column, rank: Column) -> Column:
+            u = v.bitwiseAND(F.coalesce(F.get("masks", rank), F.lit(0).cast("long")))
+            return (v + u).bitwiseOR(v - u).bitwiseAND(F.col("whole"))
+
+        return F.col("n_words") - F.bit_count(F.aggregate(window, F.col("whole"), step))
+
+    def held(at: Column) -> Column:
+        window = F.slice("near", at + 1, F.col("reach"))
+        shared = F.size(F.array_intersect("full", window))
+        return F.when((shared >= F.col("need")) & (in_order(window) >= F.col("ordered")), shared)
+
+    starts = F.sequence(F.greatest(F.col("c") - F.col("reach") + 1, F.lit(0)), F.col("c"))
+    near_enough = met.join(full, "template").filter(F.size(F.array_intersect("full", "ranks")) >= F.col("need"))
+    verified = near_enough.withColumn("shared", F.array_max(F.transform(starts, held))).filter("shared is not null")
+    return verified.select("_at", "block", "template", "label", (F.col("shared") / F.size("full")).alias("containment"))
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(documents with _at, matches): matches are (_at, block, template, label, containment), all that meet the threshold."""
     spark = docs.sparkSession
@@ -116,8 +169,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     verified = (
         met.select("_at", "block", "ranks", "template", "need").join(full, "template").withColumn("shared", shared).filter("shared >= need")
     )
-    matches = verified.select("_at", "block", "template", "label", (F.col("shared") / F.size("full")).alias("containment")).distinct()
-    return rows, matches
+    matches = verified.select("_at", "block", "template", "label", (F.col("shared") / F.size("full")).alias("containment"))
+    return rows, matches.unionByName(_wrapped(rows, templates, order, index, threshold)).distinct()
 
 
 def op8(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -80,6 +80,26 @@ def test_licenses(spark):
     assert licenses.op8(spark, spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("lead", ["", " * ", "REM "])
+def test_wrapped_licenses(spark, lead):
+    import textwrap
+
+    wrap = lambda t, n: "\n".join(lead + x for x in textwrap.wrap(t, n - len(lead)))
+    prose = "some other words stand here and say nothing of it\n" * 40
+    rows, want = [], {}
+    for label, t in licenses.TEMPLATES:
+        for width in (40, 72):
+            want[len(rows)] = label
+            rows.append((len(rows), prose + wrap(t.capitalize(), width) + "\n" + prose))
+    words_apart = " \n".join(w + " and so on and so forth" for w in licenses.TEMPLATES[1][1].split())
+    backwards = wrap(" ".join(reversed(licenses.TEMPLATES[1][1].split())), 40)
+    rows += [(900, words_apart), (901, backwards)]
+    got = {r.doc_id: r for r in licenses.op8(spark, spark.createDataFrame(rows, DOCS)).collect()}
+    for i, label in want.items():
+        assert label in got[i].labels.split(",") and got[i].score == 1.0, rows[i]
+    assert (got[900].labels, got[901].labels, got[900].score, got[901].score) == ("", "", 0.0, 0.0)
+
+
 RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
