@@ -3,8 +3,8 @@
 One pass over whole texts gives the rule statistics of each document.  Random splits isolate
 a document in few steps when its statistics are unusual; the mean path length over the trees
 becomes an anomaly score between 0 and 1.  The forest is grown on a bounded sample of the
-documents that are labelled good, and the score's threshold is calibrated on a bounded
-sample of all labelled documents.  Documents that fail the base rules are never kept.
+documents that are labelled good; the score's threshold is calibrated on all labelled
+documents, by a histogram of their scores.  Documents that fail the base rules are never kept.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from eventloom.llm.arrow import slices, strings
 from eventloom.runtime import ship, written
 
-#: Labelled rows that the forest and its threshold are fitted on, about (chosen by a hash of doc_id).
+#: Labelled rows that the forest is grown on, about (chosen by a hash of doc_id).
 FIT_ROWS = 12_000
 TREES, SUBSAMPLE = 200, 256
 SEED = 11
 LEAST_WORDS = 50
 #: Good labelled rows that calibration may lose at most, as a share.
 MOST_LOST = 0.01
+#: Bins of the scores' histogram: a power of two, so that no score changes its side of an edge.
+BINS = 1 << 14
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _SYMBOLS = b"#*$%&|<>"
 _STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -166,30 +168,50 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / max(_norm(self.size), 1e-9))
 
 
-def calibrate(score: np.ndarray, good: np.ndarray) -> float:
-    """Threshold that catches the most bad rows less lost good ones, losing at most MOST_LOST of the good."""
-    if good.all() or not good.any():
-        return float(np.quantile(score[good], 1 - MOST_LOST)) if good.any() else 1.0
-    cuts = np.unique(np.quantile(score, np.linspace(0, 1, 801)))
-    lost = np.array([(score[good] > c).mean() for c in cuts])
-    caught = np.array([(score[~good] > c).mean() for c in cuts])
-    value = np.where(lost <= MOST_LOST, caught - 10 * lost, -np.inf)
-    return float(cuts[int(value.argmax())]) if np.isfinite(value).any() else float(cuts[-1])
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in (*_STATISTICS, *_MORE)]).reshape(-1, 11)
+
+
+def calibrate(bins: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """Threshold that catches the most bad rows less lost good ones, losing at most MOST_LOST of the good.
+
+    ``bins`` (ascending) are numbers of score bins, ``good`` and ``bad`` the rows in each; bin b ends with score b / BINS.
+    """
+    if not good.sum():
+        return 1.0
+    above = lambda n: 1 - np.cumsum(n) / max(1, n.sum())
+    lost = np.round(above(good), 12)
+    value = np.where(lost <= MOST_LOST, above(bad) - 10 * lost, -np.inf) if bad.sum() else -1.0 * (lost > MOST_LOST)
+    return float(bins[int(value.argmax())]) / BINS
+
+
+def histogram(known: DataFrame, forest: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score bins of all rows of ``known`` (quality and statistics), ascending, and their good and bad rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = forest.score(features(_matrix(batch))) if len(batch) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(np.ceil(score * BINS).astype(np.int32))], names=["quality", "bin"])
+
+    binned = known.select("quality", *_STATISTICS, *_MORE).mapInArrow(run, f"quality {known.schema['quality'].dataType.simpleString()}, bin int")
+    rows = binned.groupBy("bin").agg(F.count_if(F.col("quality") > 0).alias("good"), F.count_if(F.col("quality") <= 0).alias("bad")).orderBy("bin").collect()
+    return tuple(np.array([r[c] for r in rows], np.int64) for c in ("bin", "good", "bad"))
 
 
 def fit(measured: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[Forest | None, float]:
-    """Forest and threshold from about ``rows`` labelled rows that the base rules let through."""
+    """Forest from about ``rows`` labelled rows that the base rules let through, threshold from all of them."""
+    ship(measured.sparkSession)
     chosen = labels.filter("quality is not null").select("doc_id", "quality")
     share = min(1.0, rows / max(1, chosen.count()))
     some = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    chosen = chosen.filter(some).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = measured.filter(some & ~base_failed()).join(chosen, "doc_id")
-    table = known.select("doc_id", "quality", *_STATISTICS, *_MORE).orderBy("doc_id").toPandas()
-    x, good = features(table[[*_STATISTICS, *_MORE]].to_numpy()), table["quality"].to_numpy() > 0
-    if good.sum() < 2:
+    chosen = chosen.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = measured.filter(~base_failed()).join(chosen, "doc_id").select("doc_id", "quality", *_STATISTICS, *_MORE)
+    known = written(known, "labelled-statistics")
+    table = known.filter(some & (F.col("quality") > 0)).orderBy("doc_id").toPandas()
+    if len(table) < 2:
         return None, 1.0
-    forest = Forest(x[good])
-    return forest, calibrate(forest.score(x), good)
+    forest = Forest(features(table[[*_STATISTICS, *_MORE]].to_numpy()))
+    return forest, calibrate(*histogram(known, forest))
 
 
 def judge(measured: DataFrame, model: tuple[Forest | None, float]) -> DataFrame:
@@ -198,8 +220,7 @@ def judge(measured: DataFrame, model: tuple[Forest | None, float]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in (*_STATISTICS, *_MORE)]).reshape(-1, 11)
-            score = forest.score(features(x)) if forest and len(x) else np.zeros(len(x))
+            score = forest.score(features(_matrix(batch))) if forest and len(batch) else np.zeros(len(batch))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "anomaly"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in measured.schema.fields)

@@ -157,6 +157,23 @@ def test_quality(spark):
     assert (unlabelled.kept == ~unlabelled.base_failed).all()
 
 
+def test_quality_threshold_covers_all_labels(spark):
+    rnd = random.Random(7)
+    texts = []
+    for i in range(1200):  # a few good ones are far from the others
+        odd = 0.0 if i % 40 else rnd.random() * 0.6
+        texts.append(" ".join(("X!" if rnd.random() < odd else "lorem") + "ab" * rnd.randrange(4) + str(rnd.randrange(99)) for _ in range(60 + rnd.randrange(90))))
+    texts += [" ".join("X" * rnd.randrange(1, 9) + "!!***" + str(i) for i in range(100)) for _ in range(12)]
+    labels = spark.createDataFrame([(i, int(i < 1200)) for i in range(len(texts))], "doc_id long, quality int")
+    measured = quality.measure(docs(spark, texts), "doc_id")
+    for rows in (40, 90, 300, 5000):
+        judged = quality.judge(measured, quality.fit(measured, labels, rows)).toPandas().set_index("doc_id")
+        passed = judged[~judged.base_failed]
+        lost = 1 - passed.kept[passed.index < 1200].mean()
+        assert lost <= quality.MOST_LOST, (rows, lost)
+    assert not passed.kept[passed.index >= 1200].any()
+
+
 def test_long_documents_number_pairs():
     words = [f"w{i}" for i in range(50)] * 2
     a = quality.repeat_words(words)
