@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventloom.config import Representative
 from eventloom.functions.names import event_name, existing_target, new_target, strip_copy_suffix
+from eventloom.runtime import written
 
 
 def representative(media: DataFrame, *keys: str, method: Representative = Representative.MEDIAN, date: str = "date", seed: int = 0) -> DataFrame:
@@ -74,14 +75,15 @@ def resolved_names(media: DataFrame, restore: bool, taken: DataFrame | None = No
     else:
         rows = rows.withColumn("_free", F.lit(True))
     rows = rows.withColumn("dst_name", F.when(F.col("_copy") & F.col("_first") & F.col("_free"), F.col("_want")).otherwise(F.col("file_name")))
+    rows = rows.select("file_name", "target_path", "dst_name")
     # only a plain name that has a copy suffix itself can be another copy's kept name
-    nested = not plain.filter(strip_copy_suffix(F.col("_want")) != F.col("_want")).isEmpty()
-    for _ in range(3 if nested else 0):  # each step gives back one level
+    back = not plain.filter(strip_copy_suffix(F.col("_want")) != F.col("_want")).isEmpty()
+    while back:  # each step gives back one level of suffixes, until no restored name is taken
         same = F.count("*").over(Window.partitionBy("target_path", F.lower("dst_name")))
-        rows = rows.withColumn("_same", same).withColumn(
-            "dst_name", F.when((F.col("_same") > 1) & (F.col("dst_name") != F.col("file_name")), F.col("file_name")).otherwise(F.col("dst_name"))
-        )
-    return rows.select("file_name", "target_path", "dst_name")
+        rows = written(rows.withColumn("_back", (same > 1) & (F.col("dst_name") != F.col("file_name"))), "names")
+        back = not rows.filter("_back").isEmpty()
+        rows = rows.select("file_name", "target_path", F.when(F.col("_back"), F.col("file_name")).otherwise(F.col("dst_name")).alias("dst_name"))
+    return rows
 
 
 def one_per_group(items: DataFrame, group: str, name: Column, cap: int = 10, seed: int = 0) -> DataFrame:

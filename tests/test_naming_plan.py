@@ -39,6 +39,17 @@ def test_nested_suffixes_stay_unique(spark):
         assert max(Counter(x.lower() for x in got.values()).values()) == 1
 
 
+@pytest.mark.parametrize("levels", [4, 6, 8])
+def test_deep_suffixes_stay_unique(spark, levels):
+    chain = ["a" + " (1)" * i + ".jpg" for i in range(levels + 1)]
+    assert resolve(spark, chain) == {n: n for n in chain}
+    # without the plain name all move down one level
+    assert resolve(spark, chain[1:]) == {n: chain[i] for i, n in enumerate(chain[1:])}
+    # below a gap the level above it is free
+    got = resolve(spark, chain[:2] + chain[3:])
+    assert got == {n: n for n in chain[:2]} | {n: chain[i] for i, n in enumerate(chain[3:], 2)}
+
+
 def test_random_names_against_model(spark):
     import re
 
