@@ -25,7 +25,7 @@ def _decoded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if name.lower().endswith("mov"):
                         seconds = decode.quicktime_seconds(f)
                     else:
-                        date = decode.exif_date(f.read(decode.HEAD_BYTES))
+                        date = decode.exif_date(f)
             except OSError:
                 pass
             exif.append(date)

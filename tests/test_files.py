@@ -40,6 +40,42 @@ def test_decoders():
     assert decode.image_tag(None) is None and decode.image_tag(b"x").startswith("<img src=")
 
 
+def box(kind, content):
+    return struct.pack(">I4s", len(content) + 8, kind) + content
+
+
+def heic(tiff, gap, version=0):
+    """A HEIC skeleton whose Exif item stands ``gap`` bytes behind the item tables."""
+    infe = box(b"infe", struct.pack(">IHH4s", 2 << 24, 1, 0, b"hvc1")) + box(b"infe", struct.pack(">IHH4s", 2 << 24, 2, 0, b"Exif"))
+    iinf = box(b"iinf", struct.pack(">IH", 0, 2) + infe)
+    item = struct.pack(">I", 6) + b"Exif\x00\x00" + tiff
+    method = struct.pack(">H", 0) if version else b""
+    ftyp = box(b"ftyp", b"heic" + bytes(8))
+
+    def meta(at):
+        rows = b"".join(struct.pack(">H", i) + method + struct.pack(">HHII", 0, 1, a, n) for i, a, n in ((1, 9, 9), (2, at, len(item))))
+        return box(b"meta", bytes(4) + iinf + box(b"iloc", struct.pack(">IBBH", version << 24, 0x44, 0, 2) + rows))
+
+    return ftyp + meta(len(ftyp) + len(meta(0)) + 8 + gap) + box(b"mdat", bytes(gap) + item)
+
+
+@pytest.mark.parametrize("gap", [0, 3 << 20])
+def test_dates_far_into_a_file(spark, tmp_path, gap):
+    date = b"2018:05:06 07:08:09\x00"
+    for order, name in (("<", "a.dng"), (">", "b.tif")):
+        at = 8 + gap
+        tiff = (b"II*\x00" if order == "<" else b"MM\x00*") + struct.pack(order + "I", at) + bytes(gap)
+        tiff += struct.pack(order + "HHHIII", 1, 0x8769, 4, 1, at + 18, 0) + struct.pack(order + "HHHIII", 1, 0x9003, 2, len(date), at + 36, 0) + date
+        (tmp_path / name).write_bytes(tiff)
+    (tmp_path / "c.heic").write_bytes(heic(jpeg()[1], gap))
+    (tmp_path / "d.HEIC").write_bytes(heic(jpeg(order=">")[1], gap, version=1))
+    more = (b"\xff\xe2" + struct.pack(">H", 65_000) + bytes(64_998)) * (gap // 65_000)
+    (tmp_path / "e.jpg").write_bytes(b"\xff\xd8" + more + jpeg()[0][2:])
+    (tmp_path / "f.heic").write_bytes(heic(jpeg()[1], gap)[:-150])
+    got = {r["name"]: r.exif_date for r in med.with_dates(listing(spark, [str(tmp_path)])).collect()}
+    assert got == {n: datetime(2018, 5, 6, 7, 8, 9) for n in ("a.dng", "b.tif", "c.heic", "d.HEIC", "e.jpg")} | {"f.heic": None}
+
+
 def put(path, data, when):
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_bytes(data)
