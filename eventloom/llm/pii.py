@@ -3,9 +3,11 @@
 Base rules find spans that are always redacted.  Wider generators propose candidate spans of
 every kind with high recall; candidates may overlap one another and base spans.  Boosted trees
 score a candidate by its format (digits, separators, checks) and context (what stands before
-and after).  They learn from the corpus itself: a candidate that is a valid base span is a
-positive, any other a negative.  A threshold per kind, calibrated on the same candidates,
-selects the spans that are added to the base ones.
+and after), never by the marks of the base rule.  Positives are the corpus's base spans with
+those marks hidden and a mention before them, and generated formats; negatives are candidates
+outside the base rule that nothing mentions, and generated formats with a flaw.  Others are left
+out: they may be either.  Each of the four groups weighs the same in a kind, so it doesn't
+matter how common a kind is.  A threshold per kind selects the spans that are added.
 
 All features are small integers, so all candidates of the corpus collapse to counts of at
 most ``COMBINATIONS`` feature rows; those counts, over all data, are what the trees are grown
@@ -16,6 +18,7 @@ the pieces between its matches.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -45,7 +48,9 @@ BEFORE, AFTER = 24, 4
 #: Feature rows at most: the product of the features' ranges (see _features).
 COMBINATIONS = 4 * 5 * 3 * 2**9
 ROUNDS, RATE = 24, 0.4
-#: Share of a kind's accepted candidates that must be base spans.
+#: Weight of each group of training rows in a kind.
+GROUP_WEIGHT = 1000.0
+#: Share of a kind's accepted weight that must be positives.
 PRECISION = 0.95
 MENTIONS = {
     "email": r"(?i)(?:mail|contact|write to|@)[^A-Za-z0-9]*$",
@@ -220,7 +225,52 @@ class Boosted:
             return F.lit(False)
         raw = reduce(lambda a, b: a + b, [self._expression(t, f) for t in self.trees])
         least = F.element_at(F.array(*map(F.lit, self.thresholds)), f["kind"] + 1)
-        return 1 / (1 + F.exp(-raw)) >= least
+        sound = F.array(f["tail"] == 1, f["octets"] == 1, (f["luhn"] == 1) & (f["even"] == 1), f["even"] == 1)
+        return F.element_at(sound, f["kind"] + 1) & (1 / (1 + F.exp(-raw)) >= least)
+
+
+def _generated(kind: int) -> tuple[list[tuple], list[tuple]]:
+    """Feature rows of a kind that are private (sound, mentioned, not glued), and the same ones with one flaw."""
+    free = {"digits": range(5), "separators": range(3), "grouped": (0, 1), "luhn": (0, 1)}
+    must = {"tail": 1} if KINDS[kind] == "email" else {"octets": 1} if KINDS[kind] == "ip" else {"even": 1}
+    if KINDS[kind] == "card":
+        must |= {"luhn": 1}
+        free["digits"] = (3, 4)
+    elif KINDS[kind] == "phone":
+        free["digits"] = (2, 3)
+    else:
+        free["luhn"] = (0,)
+    right = []
+    for values in product(*free.values()):
+        row = dict.fromkeys(FEATURES, 0) | {"kind": kind, "mention": 1} | dict(zip(free, values)) | must
+        right.append(row)
+    wrong = [r | flaw for r in right for flaw in ({"mention": 0}, {"glued": 1}, *({m: 0} for m in must))]
+    unique = lambda rows: sorted({tuple(r[f] for f in FEATURES) for r in rows})
+    return unique(right), unique(wrong)
+
+
+def _training(x: np.ndarray, positive: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, positives and totals to learn from, of counted feature rows (see the module's text)."""
+    at = {f: i for i, f in enumerate(FEATURES)}
+    hidden = x.copy()
+    hidden[:, [at["plus"], at["at"]]] = 0
+    shown = hidden.copy()
+    shown[:, at["mention"]], shown[:, at["glued"]] = 1, 0
+    found = []
+    for kind in range(len(KINDS)):
+        mine = x[:, 0] == kind
+        alone = mine & (x[:, at["mention"]] == 0)
+        right, wrong = (np.array(rows, float) for rows in _generated(kind))
+        groups = [
+            (shown[mine], positive[mine], 1), (right, np.ones(len(right)), 1),
+            (hidden[alone], (total - positive)[alone], 0), (wrong, np.ones(len(wrong)), 0),
+        ]
+        for rows, weight, y in groups:
+            if weight.sum() > 0:
+                weight = GROUP_WEIGHT * weight / weight.sum()
+                found.append(np.column_stack([rows, y * weight, weight]))
+    table = np.concatenate(found)
+    return table[:, :-2], table[:, -2], table[:, -1]
 
 
 def fit(proposed: DataFrame) -> Boosted:
@@ -234,7 +284,7 @@ def fit(proposed: DataFrame) -> Boosted:
     rows = proposed.select(F.explode(each).alias("c")).select("c.f.*", "c.y")
     counts = rows.groupBy(*FEATURES).agg(F.sum("y").alias("positive"), F.count("*").alias("total")).orderBy(*FEATURES).collect()
     table = np.array([[r[f] for f in FEATURES] + [r.positive, r.total] for r in counts], float).reshape(-1, len(FEATURES) + 2)
-    return Boosted(table[:, :-2], table[:, -2], table[:, -1])
+    return Boosted(*_training(table[:, :-2], table[:, -2], table[:, -1]))
 
 
 def _listed(spans: list[tuple[str, Column]]) -> Column:

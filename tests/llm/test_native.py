@@ -147,3 +147,17 @@ def test_luhn(spark, n):
     rows = [("".join(rnd.choice("0123456789") for _ in range(n)),) for _ in range(30)]
     for r in spark.createDataFrame(rows, "d string").select("d", pii.luhn(F.col("d")).alias("v")).collect():
         assert r.v == (sum(int(c) if i % 2 == 0 else 2 * int(c) - 9 * (int(c) > 4) for i, c in enumerate(reversed(r.d))) % 10 == 0)
+
+
+@pytest.mark.parametrize("genuine, base, junk", [(1, 0, 0), (1, 30, 600), (300, 30, 20), (300, 0, 0)])
+def test_pii_outside_the_base_rules(spark, genuine, base, junk):
+    private = ["please call (555) 123-4567 now", "tel: 022 123 45 67 ok", "mail: jane.doe [at] example [dot] org bye", "contact jo at mail dot example dot com"]
+    kinds = ["phone", "phone", "email", "email"]
+    rows = [(i * 4 + j, t) for i in range(genuine) for j, t in enumerate(private)]
+    rows += [(100_000 + i, f"+1 (555) 123-{4000 + i} and a.b{i}@c.org") for i in range(base)]
+    noise = ["order 555 123 4567 came", "call 12 34 56 7 times", "id call=a5551234567b", "we met at home dot and went", "in 2020-01-02 12:30"]
+    rows += [(200_000 + i * 5 + j, t) for i in range(max(1, junk)) for j, t in enumerate(noise)]
+    got = {r.doc_id: r.spans for r in pii.op4(spark, spark.createDataFrame(rows, DOCS)).collect()}
+    for i, t in rows[: genuine * 4]:
+        assert [s.split(":")[0] for s in got[i].split(",")] == [kinds[i % 4]], (t, got[i])
+    assert not any(v for k, v in got.items() if k >= 200_000), {v for k, v in got.items() if k >= 200_000}
