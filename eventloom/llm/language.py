@@ -22,8 +22,10 @@ from eventloom.llm.arrow import slices, strings
 from eventloom.runtime import ship
 
 DIMENSIONS = 1024
-#: Labelled rows that are learned from, about (chosen by a hash of doc_id; of less all are taken).
+#: Labelled rows that are learned from, about, in equal parts by language (chosen by a hash of doc_id; of less all are taken).
 TRAIN_ROWS = 6_000
+#: A language's part at least, however many languages there are.
+LEAST_ROWS = 100
 SEED = 3
 #: The share of the labelled rows that is never learned from.
 FOLDS, HELD_OUT = 4, 2
@@ -140,8 +142,11 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarra
     """Languages and their unit prototypes, from text and non-null lang of rows that aren't held out."""
     ship(docs.sparkSession)
     labelled = docs.filter(F.col("lang").isNotNull() & ~held_out())
-    share = min(1.0, rows / max(1, labelled.select("lang").count()))
-    sample = labelled.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    part = max(LEAST_ROWS, rows // max(1, len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, part / r.n) * (1 << 30))) for r in counts], "lang string, share long")
+    drawn = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < F.col("share")
+    sample = labelled.join(F.broadcast(shares), "lang").filter(drawn)
     parts = sample.select("lang", "text").mapInArrow(_learn, "lang string, v array<double>")
     # one row a language and task, added up by component before anything goes to the driver
     summed = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))

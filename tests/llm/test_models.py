@@ -117,6 +117,15 @@ def test_language(spark):
     assert set(none.lang_pred) == {"und"} and language.identified(df.withColumn("lang", F.lit(None).cast("string"))).count() == len(rows)
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the thing and other things " * 3, "en") for i in range(3000)] + [(5000 + i, "über ein schöner schuh " * 3, "de") for i in range(4)]
+    rows += [(6000, "über ein schöner schuh", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(df, 200)
+    assert model[0] == ["de", "en"]
+    assert language.predict(df.filter("doc_id = 6000"), model).first().lang_pred == "de"
+
+
 def test_language_vectors_by_hand():
     n = language.DIMENSIONS
     letters = [language.letter_vector(ord(c)).astype(int) if c != " " else language.letter_vector(0).astype(int) for c in " ab "]
