@@ -5,6 +5,12 @@ a document in few steps when its statistics are unusual; the mean path length ov
 becomes an anomaly score between 0 and 1.  The forest is grown on a bounded sample of the
 documents that are labelled good; the score's threshold is calibrated on all labelled
 documents, by a histogram of their scores.  Documents that fail the base rules are never kept.
+
+A split is drawn from the range of the rows in its node widened by a margin on both sides, on
+the scale that the statistic has over all labelled rows.  A cut in the margin leaves one side
+without rows: what lies beyond the rows that the tree knows is isolated there, after the
+splits that led to it, sooner the further it lies out.  Without the margin a document beyond
+the range would take the path of the outermost known row.
 """
 
 from __future__ import annotations
@@ -18,9 +24,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from eventloom.llm.arrow import slices, strings
 from eventloom.runtime import ship, written
 
-#: Labelled rows that the forest is grown on, about (chosen by a hash of doc_id).
+#: Labelled good rows that the forest is grown on, at most (the first by a hash of doc_id and statistics).
 FIT_ROWS = 12_000
 TREES, SUBSAMPLE = 200, 256
+#: Width of the margin of a split in standard deviations; levels of a tree beyond those that halving its rows needs.
+MARGIN, MORE_LEVELS = 2.0, 4
+#: Rates are compared by the logarithm of 1 + STRETCH times the rate.
+STRETCH = 50.0
 SEED = 11
 LEAST_WORDS = 50
 #: Good labelled rows that calibration may lose at most, as a share.
@@ -32,6 +42,8 @@ _SYMBOLS = b"#*$%&|<>"
 _STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _MORE = ("n_upper", "n_letters", "n_marks", "n_digits", "n_lines", "n_distinct")
 _UPPER = bytes(range(65, 91))
+#: Columns of ``features``.
+_FEATURES = 8
 _MARKS = b"!?;:()[]{}=_~^\\/\"+"
 
 
@@ -96,19 +108,14 @@ def base_failed():
 
 
 def features(x: np.ndarray) -> np.ndarray:
-    """Rule statistics (rows of _STATISTICS and _MORE) to the rates that the trees split."""
+    """Rule statistics (rows of _STATISTICS and _MORE) to what the trees split: word length, logarithms of rates, variety."""
     w = np.maximum(x[:, 0], 1).astype(float)
     chars = np.maximum(x[:, 1], 1).astype(float)
-    return np.column_stack([
-        x[:, 1] / w,
-        x[:, 2] / w,
-        x[:, 3] / np.maximum(x[:, 9], 1),
-        x[:, 4] / w,
-        x[:, 5] / np.maximum(x[:, 6], 1),
-        x[:, 7] / w,
-        np.minimum(x[:, 8] / chars, 0.2),
-        np.log1p(x[:, 10]) - np.log1p(x[:, 0]),
+    rates = np.column_stack([
+        x[:, 2] / w, x[:, 3] / np.maximum(x[:, 9], 1), x[:, 4] / w,
+        x[:, 5] / np.maximum(x[:, 6], 1), x[:, 7] / w, x[:, 8] / chars,
     ])
+    return np.column_stack([x[:, 1] / w, np.log1p(STRETCH * rates), np.log1p(x[:, 10]) - np.log1p(x[:, 0])])
 
 
 def _norm(n: float) -> float:
@@ -117,12 +124,17 @@ def _norm(n: float) -> float:
 
 
 class Forest:
-    """Isolation trees as flat arrays: feature (-1: leaf), cut, children, path length at leaves."""
+    """Isolation trees as flat arrays: feature (-1: leaf), cut, children, path length at leaves.
+
+    ``scale``: a width for each feature (of the rows' own spread if it isn't given); a split is
+    drawn from the node's range and ``MARGIN`` widths on both sides.
+    """
 
-    def __init__(self, x: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED):
+    def __init__(self, x: np.ndarray, scale: np.ndarray | None = None, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED):
         draw = np.random.default_rng(seed)
         self.size = min(subsample, len(x))
-        depth = int(np.ceil(np.log2(max(self.size, 2)))) + 2
+        self.margin = MARGIN * np.maximum(x.std(axis=0) if scale is None else scale, 1e-9)
+        depth = int(np.ceil(np.log2(max(self.size, 2)))) + MORE_LEVELS
         self.trees = [self._grow(x[draw.choice(len(x), self.size, replace=False)], depth, draw) for _ in range(trees)]
 
     def _grow(self, x: np.ndarray, depth: int, draw) -> tuple[np.ndarray, ...]:
@@ -132,30 +144,25 @@ class Forest:
             k = len(feature)
             for values, v in ((feature, -1), (cut, 0.0), (left, 0), (right, 0), (length, level + _norm(len(rows)))):
                 values.append(v)
-            low, high = rows.min(axis=0), rows.max(axis=0)
-            open_to = np.flatnonzero(high > low)
-            if level >= depth or len(rows) < 2 or not len(open_to):
-                return k
-            f = int(draw.choice(open_to))
-            c = float(draw.uniform(low[f], high[f]))
-            if not (below := rows[:, f] < c).any():
+            if level >= depth or len(rows) < 2:
                 return k
+            f = int(draw.integers(x.shape[1]))
+            c = float(draw.uniform(rows[:, f].min() - self.margin[f], rows[:, f].max() + self.margin[f]))
+            below = rows[:, f] < c
             feature[k], cut[k] = f, c
             left[k] = node(rows[below], level + 1)
             right[k] = node(rows[~below], level + 1)
             return k
 
         node(x, 0)
-        return (np.array(feature), np.array(cut), np.array(left), np.array(right), np.array(length), x.min(axis=0), x.max(axis=0))
+        return (np.array(feature), np.array(cut), np.array(left), np.array(right), np.array(length))
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """Anomaly score of each row, 0 to 1; a value outside a tree's range ends that tree's path at once."""
+    def paths(self, x: np.ndarray) -> np.ndarray:
+        """Mean path length of each row over the trees."""
         total = np.zeros(len(x))
-        for feature, cut, left, right, length, low, high in self.trees:
-            span = np.maximum(high - low, 1e-3)
-            outside = ((x < low - 0.5 * span) | (x > high + 0.5 * span)).any(axis=1)
+        for feature, cut, left, right, length in self.trees:
             at = np.zeros(len(x), np.int64)
-            moving = np.flatnonzero(~outside)
+            moving = np.arange(len(x))
             while len(moving):
                 f = feature[at[moving]]
                 moving = moving[f >= 0]
@@ -164,8 +171,12 @@ class Forest:
                     break
                 here = at[moving]
                 at[moving] = np.where(x[moving, f] < cut[here], left[here], right[here])
-            total += np.where(outside, 1.0, length[at])
-        return 2.0 ** (-total / len(self.trees) / max(_norm(self.size), 1e-9))
+            total += length[at]
+        return total / len(self.trees)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Anomaly score of each row, 0 to 1: the shorter its paths, the higher."""
+        return 2.0 ** (-self.paths(x) / max(_norm(self.size), 1e-9))
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -199,21 +210,42 @@ def histogram(known: DataFrame, forest: Forest) -> tuple[np.ndarray, np.ndarray,
 
 
 def fit(measured: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[Forest | None, float]:
-    """Forest from about ``rows`` labelled rows that the base rules let through, threshold from all of them."""
+    """Forest from at most ``rows`` good labelled rows that the base rules let through, threshold from all labelled ones.
+
+    A doc_id with several labels has the lowest quality. Labelled documents that stand several
+    times count as often in the threshold; the sample's bound holds whatever repeats.
+    """
     ship(measured.sparkSession)
-    chosen = labels.filter("quality is not null").select("doc_id", "quality")
-    share = min(1.0, rows / max(1, chosen.count()))
-    some = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    chosen = chosen.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = measured.filter(~base_failed()).join(chosen, "doc_id").select("doc_id", "quality", *_STATISTICS, *_MORE)
-    known = written(known, "labelled-statistics")
-    table = known.filter(some & (F.col("quality") > 0)).orderBy("doc_id").toPandas()
+    columns = ["doc_id", "quality", *_STATISTICS, *_MORE]
+    chosen = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = written(measured.filter(~base_failed()).join(chosen, "doc_id").select(*columns), "labelled-statistics")
+    x = [F.col(c) for c in columns]
+    good = known.filter("quality > 0")
+    share = min(1.0, 2 * rows / max(1, good.count()))  # about twice the rows by hash, of those the first by hash
+    place = F.pmod(F.xxhash64(F.lit(SEED), *x), F.lit(1 << 30))
+    some = good.filter(place < int(share * (1 << 30))).orderBy(place, *x).limit(rows)
+    table = some.toPandas()
     if len(table) < 2:
         return None, 1.0
-    forest = Forest(features(table[[*_STATISTICS, *_MORE]].to_numpy()))
+    forest = Forest(features(table[[*_STATISTICS, *_MORE]].to_numpy()), spread(known))
     return forest, calibrate(*histogram(known, forest))
 
 
+def spread(known: DataFrame) -> np.ndarray:
+    """Standard deviation of each feature over all rows of ``known``, from sums that tasks send."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = features(_matrix(batch)) if len(batch) else np.zeros((0, _FEATURES))
+            sums = [[float(len(x))], x.sum(axis=0), (x**2).sum(axis=0)]
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(sums).tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    parts = known.select(*_STATISTICS, *_MORE).mapInArrow(run, "sums array<double>")
+    total = [r.x or 0.0 for r in parts.select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()]
+    n, first, second = total[0], np.array(total[1 : 1 + _FEATURES]), np.array(total[1 + _FEATURES :])
+    return np.round(np.sqrt(np.maximum(second / n - (first / n) ** 2, 0)), 9)  # rounded: sums arrive in any order
+
+
 def judge(measured: DataFrame, model: tuple[Forest | None, float]) -> DataFrame:
     """``measured`` with base_failed, anomaly (0 to 1) and kept."""
     forest, threshold = model
