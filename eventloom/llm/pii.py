@@ -5,14 +5,16 @@ every kind with high recall; candidates may overlap one another and base spans.
 score a candidate by its format (digits, separators, checks) and context (what stands before
 and after), never by the marks of the base rule.  Positives are the corpus's base spans with
 those marks hidden and a mention before them, and generated formats; negatives are candidates
-outside the base rule that nothing mentions, and generated formats with a flaw.  Others are left
+outside the base rule that nothing mentions or disguises, and generated formats with a flaw.  Others are left
 out: they may be either.  Each of the four groups weighs the same in a kind, so it doesn't
-matter how common a kind is.  A threshold per kind selects the spans that are added.
+matter how common a kind is.  Trees are grown on one half of the corpus; on the other half a
+threshold per kind is calibrated, which selects the spans that are added.  Of spans that touch,
+base ones stay, then those of the kind that is listed first.
 
 All features are small integers, so all candidates of the corpus collapse to counts of at
-most ``COMBINATIONS`` feature rows; those counts, over all data, are what the trees are grown
-on.  The trees become SQL expressions.  A base pattern's position comes from the lengths of
-the pieces between its matches.
+most ``COMBINATIONS`` feature rows a half; those counts, over all data, are what is learned
+from.  The trees become SQL expressions.  A match's place is a running sum of the lengths of
+the pieces and matches before it, as rows of one document.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from functools import reduce
 from itertools import product
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from eventloom.runtime import written
 
@@ -46,45 +48,38 @@ GUARDS = {"email": "@", "phone": "+"}
 OCTET = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$"
 BEFORE, AFTER = 24, 4
 #: Feature rows at most: the product of the features' ranges (see _features).
-COMBINATIONS = 4 * 5 * 3 * 2**9
+COMBINATIONS = 4 * 5 * 3 * 2**10
 ROUNDS, RATE = 24, 0.4
+SEED = 4
 #: Weight of each group of training rows in a kind.
 GROUP_WEIGHT = 1000.0
 #: Share of a kind's accepted weight that must be positives.
 PRECISION = 0.95
 MENTIONS = {
     "email": r"(?i)(?:mail|contact|write to|@)[^A-Za-z0-9]*$",
-    "ip": r"(?i)(?:ip|host|address|server)[^A-Za-z0-9]*$",
-    "card": r"(?i)(?:card|visa|credit|payment|iban)[^A-Za-z0-9]*$",
-    "phone": r"(?i)(?:phone|call|tel|mobile|fax|dial)[^A-Za-z0-9]*$",
+    "ip": r"(?i)\b(?:ip|host|address|server)\b[^0-9\n]*$",
+    "card": r"(?i)\b(?:card|visa|credit|payment|iban)\b[^0-9\n]*$",
+    "phone": r"(?i)(?:phone|\bcall|\btel|\bmobile|\bfax|\bdial)\b[^0-9\n]*$",
 }
 
 
-def _found(text: Column, pattern: str, guard: Column | None) -> Column:
-    """Array of (start, end, m, before, after): leftmost non-overlapping matches with their surroundings."""
+def _let(value: Column, use) -> Column:
+    """``use`` of ``value``, which is evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _found(text: Column, pattern: str, guard: Column | None, made) -> Column:
+    """Array of ``made(x)``, in order, for the leftmost non-overlapping matches x of ``pattern``.
+
+    x: m, and b and a, the pieces before and after it. A match's place is the sum of the pieces'
+    and matches' lengths before it; ``_placed`` adds them up.
+    """
     hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
     parts = F.split(text, pattern, -1)
-    both = F.arrays_zip(hits.alias("m"), F.slice(parts, 1, F.size(hits)).alias("b"), F.slice(parts, 2, F.size(hits)).alias("a"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    starts = F.aggregate(
-        both, start,
-        lambda s, x: F.struct(
-            (s["at"] + F.char_length(x["b"]) + F.char_length(x["m"])).alias("at"),
-            F.concat(s["out"], F.array(s["at"] + F.char_length(x["b"]))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    spans = F.transform(
-        F.arrays_zip(both.alias("x"), starts.alias("s")),
-        lambda z: F.struct(
-            z["s"].alias("start"), (z["s"] + F.char_length(z["x"]["m"])).alias("end"), z["x"]["m"].alias("m"),
-            F.right(z["x"]["b"], F.lit(BEFORE)).alias("before"), F.left(z["x"]["a"], F.lit(AFTER)).alias("after"),
-        ),
-    )
+    both = _let(parts, lambda p: F.arrays_zip(hits.alias("m"), p.alias("b"), F.slice(p, 2, 1 << 30).alias("a")))
+    spans = F.transform(F.filter(both, lambda x: x["m"].isNotNull()), made)
     some = F.regexp_like(text, F.lit(pattern))
-    some = some if guard is None else guard & some
-    none = F.array().cast("array<struct<start: int, end: int, m: string, before: string, after: string>>")
-    return F.when(some, spans).otherwise(none)
+    return F.when(some if guard is None else guard & some, spans)
 
 
 def _digits(m: Column) -> Column:
@@ -118,19 +113,11 @@ def _valid(kind: str, m: Column) -> Column:
     return n.between(12, 19) & luhn(_digits(m))
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """Array of (start, end) of the base rule; failing matches are dropped."""
-    guard = F.contains(text, F.lit(GUARDS[kind])) if kind in GUARDS else None
-    valid = F.filter(_found(text, PATTERNS[kind], guard), lambda x: _valid(kind, x["m"]))
-    return F.transform(valid, lambda x: F.struct(x["start"], x["end"]))
-
-
-FEATURES = ("kind", "digits", "separators", "luhn", "octets", "plus", "at", "tail", "grouped", "mention", "glued", "even")
+FEATURES = ("kind", "digits", "separators", "luhn", "octets", "plus", "at", "tail", "grouped", "mention", "glued", "even", "disguised")
 
 
-def _features(kind: str, x: Column) -> Column:
-    """Format and context of a candidate: kind (4), digits (5), separators (3) and nine flags."""
-    m = x["m"]
+def _features(kind: str, m: Column, before: Column, after: Column) -> Column:
+    """Format and context of a candidate: kind (4), digits (5), separators (3) and ten flags."""
     digits = _digits(m)
     n = F.char_length(digits)
     other = F.char_length(m) - n
@@ -145,32 +132,66 @@ def _features(kind: str, x: Column) -> Column:
         "at": flag(F.contains(m, F.lit("@"))),
         "tail": flag(F.regexp_like(m, F.lit(r"[A-Za-z]{2}$"))),
         "grouped": flag(F.regexp_like(m, F.lit(r"[0-9]{3}[\x20.)-]+[0-9]{3}"))),
-        "mention": flag(F.regexp_like(x["before"], F.lit(MENTIONS[kind]))),
-        "glued": flag(F.regexp_like(x["before"], F.lit(r"[A-Za-z0-9_=.%-]$")) | F.regexp_like(x["after"], F.lit(r"^[A-Za-z0-9_=%]"))),
+        "mention": flag(F.regexp_like(before, F.lit(MENTIONS[kind]))),
+        "glued": flag(F.regexp_like(before, F.lit(r"[A-Za-z0-9_=.%-]$")) | F.regexp_like(after, F.lit(r"^[A-Za-z0-9_=%]"))),
+        "disguised": flag(F.regexp_like(m, F.lit(r"[\[(](?:at|dot)[\])]"))) if kind == "email" else F.lit(0),
         "even": flag(n.between(12, 19)) if kind == "card" else flag(n.between(9, 15)),
     }
     return F.struct(*[values[f].alias(f) for f in FEATURES])
 
 
-def _candidates(text: Column, kind: str) -> Column:
-    """Array of (start, end, f): what the kind's generator proposes."""
-    return F.transform(_found(text, GENERATORS[kind], None), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _features(kind, x).alias("f")))
+_HIT = "struct<k: int, base: boolean, i: int, lead: int, n: int, f: struct<{}>>".format(", ".join(f"{f}: int" for f in FEATURES))
 
 
-def propose(docs: DataFrame) -> DataFrame:
-    """doc_id, and for each kind its base spans (array of start, end) and candidates (array of start, end, f)."""
+def _hits(text: Column, kind: str, base: bool) -> Column:
+    """Array of _HIT: matches of the kind's base pattern or generator; a base match that fails has n < 0."""
+    none = F.lit(None).cast(_HIT.split("f: ", 1)[1][:-1])
+
+    def made(x: Column, i: Column) -> Column:
+        n = F.char_length(x["m"])
+        if base:
+            n, f = F.when(_valid(kind, x["m"]), n).otherwise(-n), none
+        else:
+            f = _features(kind, x["m"], F.right(x["b"], F.lit(BEFORE)), F.left(x["a"], F.lit(AFTER)))
+        return F.struct(F.lit(KINDS.index(kind)).alias("k"), F.lit(base).alias("base"), i.alias("i"), F.char_length(x["b"]).alias("lead"), n.alias("n"), f.alias("f"))
+
+    guard = F.contains(text, F.lit(GUARDS[kind])) if base and kind in GUARDS else None
+    found = _found(text, (PATTERNS if base else GENERATORS)[kind], guard, made)
+    return F.coalesce(found.cast(f"array<{_HIT}>"), F.array().cast(f"array<{_HIT}>"))
+
+
+def propose(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents: row, doc_id; spans: row, fold, k, start, end, base, f).
+
+    A span stands once: base says whether the base rule has it, f (null if no generator proposes
+    it) are its features. fold: half of the corpus, by a hash of the text. One pass over the texts
+    writes lengths and features of what matches; places are running sums within a document.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    found = []
-    for kind in KINDS:
-        found += [base_spans(F.col("text"), kind).alias(kind), _candidates(F.col("text"), kind).alias(f"{kind}_more")]
-    return rows.select("doc_id", *found)
+    every = F.concat(*[_hits(F.col("text"), kind, base) for kind in KINDS for base in (True, False)])
+    fold = F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(2)).cast("int")
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", fold.alias("fold"), every.alias("hits"))
+    rows = written(rows, "pii-matches")
+    return rows.select("row", "doc_id"), written(_placed(rows), "pii-spans")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """The spans of the documents in ``rows`` (see propose)."""
+    hits = rows.filter(F.size("hits") > 0).select("row", "fold", F.explode("hits").alias("h")).select("row", "fold", "h.*").repartition("row")
+    upto = Window.partitionBy("row", "k", "base").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    length = F.abs("n")
+    placed = hits.withColumn("end", F.sum(F.col("lead") + length).over(upto)).withColumn("start", F.col("end") - length).filter("n >= 0")
+    return placed.groupBy("row", "fold", "k", "start", "end").agg(F.bool_or("base").alias("base"), F.max("f").alias("f"))
 
 
 class Boosted:
-    """Depth-two trees of a logistic loss over counted feature rows, and thresholds by kind."""
+    """Depth-two trees of a logistic loss over counted feature rows, and thresholds by kind.
+
+    held: (x, positive, total) of rows that the trees aren't grown on, for the thresholds.
+    """
 
-    def __init__(self, x: np.ndarray, positive: np.ndarray, total: np.ndarray):
+    def __init__(self, x: np.ndarray, positive: np.ndarray, total: np.ndarray, held: tuple | None = None):
         self.trees: list[tuple] = []
         raw = np.zeros(len(x))
         for _ in range(ROUNDS if len(x) else 0):
@@ -178,6 +199,9 @@ class Boosted:
             tree = self._tree(x, positive - total * p, np.maximum(total * p * (1 - p), 1e-9))
             self.trees.append(tree)
             raw += self._value(tree, x)
+        if held is not None:
+            x, positive, total = held
+            raw = sum((self._value(t, x) for t in self.trees), np.zeros(len(x)))
         p = 1 / (1 + np.exp(-raw))
         self.thresholds = [self._threshold(p[x[:, 0] == k], positive[x[:, 0] == k], total[x[:, 0] == k]) if len(x) else 2.0 for k in range(len(KINDS))]
 
@@ -230,7 +254,7 @@ class Boosted:
 
 
 def _generated(kind: int) -> tuple[list[tuple], list[tuple]]:
-    """Feature rows of a kind that are private (sound, mentioned, not glued), and the same ones with one flaw."""
+    """Feature rows of a kind that are private (sound, mentioned or disguised, not glued), and the same ones with one flaw."""
     free = {"digits": range(5), "separators": range(3), "grouped": (0, 1), "luhn": (0, 1)}
     must = {"tail": 1} if KINDS[kind] == "email" else {"octets": 1} if KINDS[kind] == "ip" else {"even": 1}
     if KINDS[kind] == "card":
@@ -240,11 +264,14 @@ def _generated(kind: int) -> tuple[list[tuple], list[tuple]]:
         free["digits"] = (2, 3)
     else:
         free["luhn"] = (0,)
+    if KINDS[kind] == "email":
+        free["disguised"] = (0, 1)
     right = []
     for values in product(*free.values()):
         row = dict.fromkeys(FEATURES, 0) | {"kind": kind, "mention": 1} | dict(zip(free, values)) | must
         right.append(row)
-    wrong = [r | flaw for r in right for flaw in ({"mention": 0}, {"glued": 1}, *({m: 0} for m in must))]
+    wrong = [r | flaw for r in right for flaw in ({"mention": 0}, {"glued": 1}, *({m: 0} for m in must)) if not (r["disguised"] and "mention" in flaw)]
+    right += [r | {"mention": 0} for r in right if r["disguised"]]
     unique = lambda rows: sorted({tuple(r[f] for f in FEATURES) for r in rows})
     return unique(right), unique(wrong)
 
@@ -259,7 +286,7 @@ def _training(x: np.ndarray, positive: np.ndarray, total: np.ndarray) -> tuple[n
     found = []
     for kind in range(len(KINDS)):
         mine = x[:, 0] == kind
-        alone = mine & (x[:, at["mention"]] == 0)
+        alone = mine & (x[:, at["mention"]] == 0) & (x[:, at["disguised"]] == 0)
         right, wrong = (np.array(rows, float) for rows in _generated(kind))
         groups = [
             (shown[mine], positive[mine], 1), (right, np.ones(len(right)), 1),
@@ -273,55 +300,51 @@ def _training(x: np.ndarray, positive: np.ndarray, total: np.ndarray) -> tuple[n
     return table[:, :-2], table[:, -2], table[:, -1]
 
 
-def fit(proposed: DataFrame) -> Boosted:
-    """Trees and thresholds from the counts of all candidates' features."""
-
-    def marked(kind: str) -> Column:
-        same = lambda c: F.array_contains(kind, F.struct(c["start"].alias("start"), c["end"].alias("end")))
-        return F.transform(f"{kind}_more", lambda c: F.struct(c["f"].alias("f"), same(c).cast("int").alias("y")))
-
-    each = F.concat(*map(marked, KINDS))
-    rows = proposed.select(F.explode(each).alias("c")).select("c.f.*", "c.y")
-    counts = rows.groupBy(*FEATURES).agg(F.sum("y").alias("positive"), F.count("*").alias("total")).orderBy(*FEATURES).collect()
-    table = np.array([[r[f] for f in FEATURES] + [r.positive, r.total] for r in counts], float).reshape(-1, len(FEATURES) + 2)
-    return Boosted(*_training(table[:, :-2], table[:, -2], table[:, -1]))
-
+def fit(spans: DataFrame) -> Boosted:
+    """Trees from the counts of one half's candidates by features, thresholds from the other half's."""
+    rows = spans.filter("f is not null").select("fold", "base", "f.*")
+    counts = rows.groupBy("fold", *FEATURES).agg(F.count_if("base").alias("positive"), F.count("*").alias("total")).orderBy("fold", *FEATURES).collect()
+    table = np.array([[r.fold] + [r[f] for f in FEATURES] + [r.positive, r.total] for r in counts], float).reshape(-1, len(FEATURES) + 3)
+    grown, held = (_training(t[:, 1:-2], t[:, -2], t[:, -1]) for t in (table[table[:, 0] == 0], table[table[:, 0] == 1]))
+    return Boosted(*grown, held)
 
-def _listed(spans: list[tuple[str, Column]]) -> Column:
-    """kind:start:end of all spans, by start, then kind as listed, then end; equal ones once."""
 
-    def typed_as(kind: str, spans: Column) -> Column:
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("k"), s["end"].alias("end")))
-
-    typed = [typed_as(kind, c) for kind, c in spans]
-    names = F.array(*map(F.lit, KINDS))
-    ordered = F.array_sort(F.array_distinct(F.concat(*typed)))
-    return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.element_at(names, s["k"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+def chosen(spans: DataFrame, model: Boosted) -> DataFrame:
+    """Base spans, and the accepted candidates that touch none of them nor one another (kinds first as listed): row, k, start, end, base."""
+    rows = spans.select("row", "k", "start", "end", "base", F.coalesce(model.accepts(F.col("f")), F.lit(False)).alias("good")).filter("base or good")
+    before = Window.partitionBy("row").orderBy("start", "end", "k").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("end"), F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("kept", F.col("base"))
+    for k in range(len(KINDS)):  # spans of one kind never touch
+        rows = rows.withColumn("_e", F.max(F.when(F.col("kept"), F.col("end"))).over(before)).withColumn("_s", F.min(F.when(F.col("kept"), F.col("start"))).over(after))
+        touched = F.coalesce(F.col("_e") > F.col("start"), F.lit(False)) | F.coalesce(F.col("_s") < F.col("end"), F.lit(False))
+        rows = rows.withColumn("kept", F.col("kept") | ((F.col("k") == k) & ~touched)).drop("_e", "_s")
+    return rows.filter("kept").drop("good", "kept")
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, the base spans by kind, and for each kind ``KIND_added``: accepted candidates that touch no base span."""
-    proposed = written(propose(docs), "pii-candidates")
-    model = fit(proposed)
-    base = F.concat(*map(F.col, KINDS))
+    """doc_id and spans (array of start, k, end, base, in order; k: place in KINDS) for every row of ``docs``.
 
-    def apart(c: Column) -> Column:
-        return ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    Base spans always stay. Null and empty texts have no span; repeated rows stay; an empty table
+    gives no row; other columns are not looked at. Long texts take time in proportion to their
+    length and matches.
+    """
+    rows, spans = propose(docs)
+    one = F.struct("start", "k", "end", "base")
+    lists = chosen(spans, fit(spans)).groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("spans"))
+    none = F.array().cast("array<struct<start: bigint, k: int, end: bigint, base: boolean>>")
+    return rows.join(lists, "row", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
 
-    added = [F.transform(F.filter(F.col(f"{k}_more"), lambda c: model.accepts(c["f"]) & apart(c)), lambda c: F.struct(c["start"], c["end"])).alias(f"{k}_added") for k in KINDS]
-    return proposed.select("doc_id", *KINDS, *added)
 
+def _listed(spans: Column) -> Column:
+    names = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["k"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-def op4(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Contract columns for every row of ``docs``.
 
-    Null and empty texts have no span; repeated rows stay; an empty table gives no row; other
-    columns are not looked at.
-    """
-    found = detect(docs.select("doc_id", "text"))
-    base = _listed([(k, F.col(k)) for k in KINDS])
-    every = _listed([(k, F.col(c)) for k in KINDS for c in (k, f"{k}_added")])
+def op4(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Contract columns for every row of ``docs``: base counts and digest, all spans (see detect)."""
+    found = detect(docs.select("doc_id", "text")).withColumn("base", F.filter("spans", lambda s: s["base"]))
     return found.select(
-        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
-        F.sha2(base.cast("binary"), 256).alias("base_sha256"), every.alias("spans"),
+        "doc_id", *[F.size(F.filter("base", lambda s: s["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
+        F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"),
     )

@@ -161,3 +161,52 @@ def test_pii_outside_the_base_rules(spark, genuine, base, junk):
     for i, t in rows[: genuine * 4]:
         assert [s.split(":")[0] for s in got[i].split(",")] == [kinds[i % 4]], (t, got[i])
     assert not any(v for k, v in got.items() if k >= 200_000), {v for k, v in got.items() if k >= 200_000}
+
+
+def test_pii_planted_spans(spark):
+    """Spans that the base rules miss are added in their extent; a look-alike is no span; of spans that touch one stays."""
+    texts = {
+        "please call me at (555) 123-4567 now": "phone:18:32", "mail john [at] example [dot] com": "email:5:32", "john (at) example (dot) com": "email:0:27",
+        "phone 555-123-4567": "phone:6:18", "card 4111.1111.1111.1111 here": "card:5:24", "card 4111.1111.1111.1112 here": "", "no 555-123-4567": "",
+        "version 4.1.2.300.7 of it": "", "call 12 then 345": "", "": "", "sum 4111.1111.1111.1111 here": "",
+        "ip 10.1.2.3 and tel +1 (555) 123-4567": "ip:3:11,phone:20:37",
+    }
+    texts |= {f"tel: +1 555 {100 + i} 4567, a{i}@b.org, card 4111 1111 1111 1111, host 10.0.0.{i}": None for i in range(12)}
+    got = {r.doc_id: r.spans for r in pii.op4(spark, spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert {t: got[i] for i, (t, want) in enumerate(texts.items()) if want is not None} == {t: w for t, w in texts.items() if w is not None}
+
+
+def test_pii_choice_against_brute_force(spark):
+    rnd = random.Random(2)
+    rows, want = [], set()
+    fields = {f: 0 for f in pii.FEATURES}
+    for row in range(40):
+        spans = []
+        for k in range(4):
+            at = 0
+            while at < 60:  # spans of one kind never touch
+                at += rnd.randrange(9)
+                end = at + rnd.randrange(1, 12)
+                spans.append((k, at, end, rnd.random() < 0.2, rnd.random() < 0.6))
+                at = end
+        rows += [(row, 0, k, a, b, base, fields | {"digits": int(good)}) for k, a, b, base, good in spans]
+        kept = [s for s in spans if s[3]]
+        for s in sorted(spans):
+            if not s[3] and s[4] and not any(x[1] < s[2] and s[1] < x[2] for x in kept):
+                kept.append(s)
+        want |= {(row, *s[:4]) for s in kept}
+    schema = f"row long, fold int, k int, start long, end long, base boolean, f struct<{', '.join(f'{f}: int' for f in pii.FEATURES)}>"
+
+    class Digits:
+        def accepts(self, f):
+            return f["digits"] == 1
+
+    got = pii.chosen(spark.createDataFrame(rows, schema), Digits()).select("row", "k", "start", "end", "base").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_pii_long_text(spark):
+    text = "10.20.30.40 x 4111 1111 1111 1111," * 3000 + "é a@b.c"
+    got = pii.op4(spark, spark.createDataFrame([(1, text)], DOCS)).first()
+    counts, digest, joined = pii_model(text)
+    assert (got.n_email, got.n_ip, got.n_card, got.n_phone) == counts == (1, 3000, 3000, 0) and got.base_sha256 == digest and got.spans == joined
