@@ -240,3 +240,87 @@ def test_mix(spark):
     mixed = mixing.Mix(df.select("doc_id", "text", "source"), block_words=50, shard_blocks=4).documents()
     assert mixed.agg(F.sum(mixing.size_of(F.col("text")))).first()[0] == got.taken.sum() and mixed.select("shard").distinct().count() > 5
     assert mixing.op1(spark, df.limit(0)).count() == 0
+
+
+def mix_model(rows, h, block_words, shard_blocks, seed=mixing.SEED):
+    """{place of row: (taken, shards)} by the module's rules, for rows (doc_id, text, source), and each shard's blocks by source."""
+    size = [len((t or "").split()) for _, t, _ in rows]
+    names = sorted({r[2] for r in rows}, key=lambda s: (s is None, (s or "").encode()))
+    ix = {s: i for i, s in enumerate(names)}
+    total = {i: sum(n for n, r in zip(size, rows) if ix[r[2]] == i) for i in ix.values()}
+    weight, fixed = {i: (1, 2, 3)[i % 3] for i in total}, {}
+    while True:
+        rest = [i for i in total if i not in fixed]
+        left = sum(total.values()) - sum(fixed.values())
+        share = {i: left * weight[i] / sum(weight[x] for x in rest) for i in rest}
+        if not (over := [i for i in rest if share[i] > 3 * total[i]]):
+            break
+        fixed |= {i: 3 * total[i] for i in over}
+    quota = {i: min(int(t + 0.5), 3 * total[i]) for i, t in (share | fixed).items()}
+    buckets = max(64, len(rows) // mixing.BUCKET_ROWS)
+    order = sorted(range(len(rows)), key=lambda j: (h[j] % buckets, h[j], rows[j][0], size[j]))
+    at, place = dict.fromkeys(total, 0), {}
+    for j in order:
+        place[j] = at[ix[rows[j][2]]]
+        at[ix[rows[j][2]]] += size[j]
+    blocks = {i: -(-n // block_words) for i, n in total.items()}
+    rule = {i: (mixing._multiplier(n, seed), (i * 7919 + seed) % n) for i, n in blocks.items() if n}
+    block_at = lambda i, p: (rule[i][0] * (p % blocks[i]) + rule[i][1] + p // blocks[i] * mixing.SHIFT) % blocks[i]
+    places, cut = dict.fromkeys(total, 0), {}
+    for i in rule:
+        left, p = quota[i], 0
+        while left > 0:
+            mine = [j for j in order if size[j] and ix[rows[j][2]] == i and place[j] // block_words == block_at(i, p)]
+            left, p = left - sum(size[j] for j in mine), p + 1
+            places[i], cut[i] = p, (p - 1, left)
+
+    def split(node, first, shards, counts, offsets):
+        if shards == 1:
+            return {first: (counts, offsets)}
+        half = shards // 2
+        left = np.random.default_rng([seed, node]).multivariate_hypergeometric(counts, int(counts.sum()) * half // shards, method="marginals")
+        return split(2 * node, first, half, left, offsets) | split(2 * node + 1, first + half, shards - half, counts - left, offsets + left)
+
+    vector = np.array([places[i] for i in range(len(names))])
+    leaves = split(1, 0, max(1, -(-int(vector.sum()) // shard_blocks)), vector, np.zeros(len(names), np.int64))
+    out = {j: (0, []) for j in range(len(rows))}
+    for shard, (counts, offsets) in leaves.items():
+        for i in rule:
+            for p in range(offsets[i], offsets[i] + counts[i]):
+                mine = [j for j in order if size[j] and ix[rows[j][2]] == i and place[j] // block_words == block_at(i, p)]
+                allowed = sum(size[j] for j in mine) + (cut[i][1] if cut[i][0] == p else 0)
+                for j in mine:
+                    n = min(size[j], allowed)
+                    allowed -= n
+                    out[j] = (out[j][0] + n, out[j][1] + ([(p // blocks[i], shard)] if n else []))
+    return {j: (n, ",".join(str(s) for _, s in sorted(d))) for j, (n, d) in out.items()}
+
+
+def test_mix_against_brute_force(spark, monkeypatch):
+    rnd = random.Random(12)
+    rows = [(i, " ".join(["w"] * int(rnd.expovariate(0.03))) if i % 23 else None, None if i % 13 == 0 else f"s{min(5, rnd.randrange(40))}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    h = [r.h for r in df.select(F.xxhash64(F.lit(mixing.SEED), "doc_id", "text").alias("h")).collect()]
+    taken = lambda mix: {r.doc_id: (sum(d.words for d in r.draws), ",".join(str(d.shard) for d in r.draws)) for r in mix.rows.collect()}
+    want = mix_model(rows, h, 120, 6)
+    assert taken(mixing.Mix(df, block_words=120, shard_blocks=6)) == want
+    assert len({s for _, x in want.values() for s in x.split(",")}) > 10 and {n for n, _ in want.values()} > {0}
+
+    def in_order(spark, blocks, seed, shard_blocks, places, rules):  # what the tree doesn't draw
+        return spark.createDataFrame([(0, i, p // blocks[i], p % blocks[i]) for i in range(len(blocks)) for p in range(places[i])], "shard long, ix long, round long, block long") if sum(places) else None
+
+    monkeypatch.setattr(mixing, "deal", lambda *a: in_order(a[0], *[x.tolist() if hasattr(x, "tolist") else x for x in a[1:]]))
+    other = taken(mixing.Mix(df, block_words=120, shard_blocks=6))
+    assert sum(other[i][0] != want[i][0] for i in other) > 50
+
+
+def test_mix_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SAME_ROWS", 20)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
+    rows = [(None, "a b c d", "s0")] * 300 + [(7, None, "s1")] * 50 + [(i, "x y " * (i % 5), f"s{i % 3}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, again = (sorted(map(repr, mixing.op1(spark, df.repartition(n)).drop("shards").collect())) for n in (3, 5))
+    assert one == again and len(one) == len(rows)
+    mix = mixing.Mix(df, block_words=16, shard_blocks=3)
+    per = mix.rows.join(mix.sources, "ix").selectExpr("ix", "target", "aggregate(draws, 0L, (s, d) -> s + d.words) t").groupBy("ix", "target").sum("t").collect()
+    assert all(abs(r["sum(t)"] - r.target) <= 1 for r in per)
