@@ -210,3 +210,13 @@ def test_pii_long_text(spark):
     got = pii.op4(spark, spark.createDataFrame([(1, text)], DOCS)).first()
     counts, digest, joined = pii_model(text)
     assert (got.n_email, got.n_ip, got.n_card, got.n_phone) == counts == (1, 3000, 3000, 0) and got.base_sha256 == digest and got.spans == joined
+
+
+def test_chat_long_roles_and_texts(spark):
+    rnd = random.Random(11)
+    roles = ["\\" + "a" * 300_000, "\\" * 70_001 + "/\n" * 9, "<|" * 20_000, *("".join(rnd.choice("\\/|<\na") for _ in range(60)) for _ in range(60))]
+    rows = [(i, 0, r, r * 3) for i, r in enumerate(roles)] + [(900, 0, "assistant", "x\\<|im_end|>" * 400_000)]
+    made = chat.format_conversations(spark.createDataFrame(rows, CHAT).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
+    for r in made.select("conv_id", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("l")).collect():
+        role, text = next(x[2:] for x in rows if x[0] == r.conv_id)
+        assert [tuple(x) for x in r.t] == [(role, text)] and r.l == (text if r.conv_id == 900 else "")
