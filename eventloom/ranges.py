@@ -19,6 +19,26 @@ def bounds(rows: DataFrame, column: str, parts: int) -> list[int]:
     return sorted(set(rows.agg(F.percentile_approx(column, shares, 20 * parts)).first()[0] or []))
 
 
+def even_bounds(rows: DataFrame, column: str, weight: str, parts: int, fineness: int = 8) -> list[int]:
+    """As ``bounds``, for ranges of about even sums of ``weight``: finer ranges are added up and put together."""
+    parts = min(parts, MOST_RANGES)
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first() if parts > 1 else (0, 0)
+    if not n:
+        return []
+    # a row counts once and once more for every mean weight in it, up to a whole range's worth
+    times = 1 + F.least(F.expr(f"coalesce({weight}, 0)") * n / max(1, total), F.lit(1 + n // parts)).cast("int")
+    fine = bounds(rows.select(F.explode(F.array_repeat(column, times)).alias(column)), column, min(parts * fineness, MOST_RANGES))
+    sums = rows.groupBy(bucket(F.col(column), fine).alias("_b")).agg(F.sum(weight).alias("_w")).collect()
+    held = dict.fromkeys(range(len(fine) + 1), 0) | {r["_b"]: r["_w"] or 0 for r in sums}
+    total, before, lower, now = max(1, total), 0, [], 0
+    for b in range(len(fine) + 1):
+        part = min(parts - 1, (2 * before + held[b]) * parts // (2 * total))  # where the middle of it lies
+        if b and part > now:
+            lower.append(fine[b - 1])
+        now, before = max(now, part), before + held[b]
+    return lower
+
+
 def bucket(column: Column, lower: list[int]) -> Column:
     """Number of bounds that are not above the column, found in two steps of about sqrt(n); null: 0."""
     if not lower:

@@ -37,3 +37,11 @@ def test_ranges(spark):
     dealt = ranges.dealt(df.withColumn("bucket", ranges.bucket(F.col("x"), lower)), len(lower) + 1)
     parts = dealt.select("bucket", F.spark_partition_id().alias("p")).distinct().collect()
     assert len(parts) == len({r.bucket for r in parts}) == len({r.p for r in parts})
+
+
+def test_even_ranges(spark):
+    df = spark.range(4000).select(F.col("id").alias("x"), F.when(F.col("id") % 4000 < 100, 390).otherwise(10).alias("w"))
+    lower = ranges.even_bounds(df, "x", "w", 8)
+    sums = [r.w for r in df.groupBy(ranges.bucket(F.col("x"), lower).alias("b")).agg(F.sum("w").alias("w")).collect()]
+    assert len(sums) == len(lower) + 1 <= 8 and max(sums) <= 1.6 * sum(sums) / 8
+    assert ranges.even_bounds(df, "x", "w", 1) == [] and ranges.even_bounds(df.limit(0), "x", "w", 5) == []
