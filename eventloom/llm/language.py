@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from eventloom.llm.arrow import slices, strings
+from eventloom.llm.rows import free_name
 from eventloom.runtime import ship
 
 DIMENSIONS = 1024
-#: Labelled rows that are learned from, about, in equal parts by language (chosen by a hash of doc_id; of less all are taken).
+#: Labelled rows that are learned from, about, in equal parts by language (by a hash of doc_id and row; of less all are taken).
 TRAIN_ROWS = 6_000
 #: A language's part at least, however many languages there are.
 LEAST_ROWS = 100
@@ -145,8 +146,8 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarra
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
     part = max(LEAST_ROWS, rows // max(1, len(counts)))
     shares = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, part / r.n) * (1 << 30))) for r in counts], "lang string, share long")
-    drawn = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < F.col("share")
-    sample = labelled.join(F.broadcast(shares), "lang").filter(drawn)
+    drawn = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", F.monotonically_increasing_id()), F.lit(1 << 30))  # of each row, whatever repeats
+    sample = labelled.withColumn("drawn", drawn).join(F.broadcast(shares), "lang").filter("drawn < share")
     parts = sample.select("lang", "text").mapInArrow(_learn, "lang string, v array<double>")
     # one row a language and task, added up by component before anything goes to the driver
     summed = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
@@ -158,8 +159,11 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarra
     return names, np.round(prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12), 9)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """``docs`` with lang_pred (a learned value; UNKNOWN without a letter or model) and score (cosine, 0 to 1)."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with ``label`` (a learned value; UNKNOWN without a letter or model) and ``score`` (cosine, 0 to 1).
+
+    Columns of ``docs`` with these names are replaced. Of prototypes that are equally near the first by name counts.
+    """
     ship(docs.sparkSession)
     names, prototypes = model
     matrix = prototypes.astype(np.float32)
@@ -180,25 +184,27 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             columns = [c.cast(pa.string()) if pa.types.is_large_string(c.type) else c for c in batch.columns]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(labels, pa.string()), pa.array(np.concatenate(scores).astype(np.float64))],
-                names=[*batch.schema.names, "lang_pred", "score"],
+                names=[*batch.schema.names, label, score],
             )
 
-    kept = docs.drop("lang_pred", "score")
+    kept = docs.drop(label, score)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return kept.mapInArrow(run, f"{fields}, `{label}` string, `{score}` double")
 
 
 def identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is known, all columns; without any learned language all rows."""
-    model = learn(docs)
-    return docs if not model[0] else predict(docs, model).filter(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score")
+    model = learn(docs.select("doc_id", "text", "lang"))
+    label, score = free_name(docs.columns, "lang_pred"), free_name(docs.columns, "score")
+    return docs if not model[0] else predict(docs, model, label, score).filter(F.col(label) != UNKNOWN).drop(label, score)
 
 
 def op3(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Contract columns: doc_id, held_out, lang_pred, score for every row of ``docs``.
 
     Null, empty and letterless texts are ``und`` with score 0, as is everything when no row can be
-    learned from; repeated rows stay; an empty table gives no row; other columns are not looked at.
+    learned from; texts of any length count whole; repeated rows stay; an empty table gives no row;
+    other columns, whatever their names, are not looked at.
     """
     found = predict(docs.select("doc_id", "text"), learn(docs.select("doc_id", "text", "lang")))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -22,7 +22,7 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from eventloom.llm.exact_dedup import located
+from eventloom.llm.rows import located
 from eventloom.runtime import written
 
 THRESHOLD = 0.8
@@ -145,7 +145,7 @@ def _wrapped(rows: DataFrame, templates, order: dict[str, int], index: list[tupl
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(documents with _at, matches): matches are (_at, block, template, label, containment), all that meet the threshold."""
     spark = docs.sparkSession
-    rows = located(written(_scanned(docs, templates, threshold), "license-scan"))
+    rows, _ = located(written(_scanned(docs, templates, threshold), "license-scan"))  # it has no column _at of its own
     counts = {r.w: r.n for r in rows.select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     order = {w: i for i, w in enumerate(sorted(_vocabulary(templates), key=lambda w: (counts.get(w, 0), w)))}
     index, whole = [], []
@@ -176,8 +176,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
 def op8(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Contract columns for every row of ``docs``.
 
-    Null and empty texts have no word and no label; repeated rows stay; an empty table gives no
-    row. score: the best containment of a matched template; 1 where a base phrase stands; else 0.
+    Null and empty texts have no word and no label; texts of any length count whole; repeated rows
+    stay; of templates that match equally all give their labels; an empty table gives no row; other
+    columns, whatever their names, are not looked at. score: the best containment of a matched template; 1 where a base phrase stands; else 0.
     """
     rows, matches = scan(docs.select("doc_id", "text"))
     found = matches.groupBy("_at").agg(F.collect_set("label").alias("added"), F.max("containment").alias("best"))

@@ -263,8 +263,10 @@ def judge(measured: DataFrame, model: tuple[Forest | None, float]) -> DataFrame:
 def op2(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Contract columns for every row of ``docs``: doc_id, the base statistics, base_failed, kept.
 
-    Null and empty texts have no word and fail the base rules; repeated rows stay; without
-    labelled good rows every row that the base rules let through is kept.
+    Null and empty texts have no word and fail the base rules; texts of any length count whole;
+    repeated rows stay, rows of equal statistics are judged alike; without labelled good rows every
+    row that the base rules let through is kept; an empty table gives no row; other columns,
+    whatever their names, are not looked at.
     """
     measured = written(measure(docs, "doc_id"), "statistics")
     return judge(measured, fit(measured, labels)).select("doc_id", *_STATISTICS, "base_failed", "kept", "anomaly")
