@@ -18,6 +18,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from eventloom.llm.rows import join_one, located, slot_table, that_may_be
 from eventloom.runtime import scratch, written
 
 #: Settings under which the stateful query runs.
@@ -30,8 +31,6 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no disk ahead of need
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
-#: Slots of the size-bounded table that keeps texts without a hit out of the byte check.
-SLOTS = 1 << 18
 
 
 def normalised(text: Column) -> Column:
@@ -51,17 +50,6 @@ def _settings(spark: SparkSession, settings: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column _at: file and row index of each row (a table is written if it has none)."""
-    if "_at" in docs.columns:
-        return docs
-    at = F.concat_ws("#", "_metadata.file_path", "_metadata.row_index")
-    hidden = docs._jdf.queryExecution().analyzed().metadataOutput()
-    if not any(hidden.apply(i).name() == "_metadata" for i in range(hidden.size())):
-        docs = written(docs, "contents")
-    return docs.withColumn("_at", at)
-
-
 def digests(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     """Rows (doc_id, _at, sha, digest); digest: the first ``digest_bytes`` of the SHA-256 of the normalised text."""
     sha = F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256))
@@ -109,11 +97,17 @@ def deduplicate(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     """One row per row of ``docs``: doc_id, _at, sha, keep_id, keep_at, group_size.
 
     The row whose _at is keep_at stays: the smallest doc_id of equal texts (nulls last, of
-    repeated rows the first by place). Null and empty texts are equal to one another; an empty
-    table gives no row; other columns are not looked at.
+    repeated rows the first by place, one of them). Null and empty texts are equal to one another;
+    texts of any length count whole; an empty table gives no row; other columns, whatever their
+    names, are not looked at.
     """
+    docs, at = located(docs.select("doc_id", "text"))
+    return _deduplicate(docs.withColumnRenamed(at, "_at"), digest_bytes)
+
+
+def _deduplicate(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
+    """``deduplicate`` of rows (doc_id, text, _at)."""
     spark = docs.sparkSession
-    docs = located(docs)
     folder = scratch(spark, "digests")
     digests(docs, digest_bytes).write.parquet(folder)
     rows = spark.read.schema("doc_id long, _at string, sha binary, digest binary").parquet(folder)
@@ -121,8 +115,9 @@ def deduplicate(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
         return rows.select("doc_id", "_at", "sha", F.lit(None).cast("long").alias("keep_id"), F.lit(None).cast("string").alias("keep_at"), F.lit(None).cast("long").alias("group_size"))
     state = written(StreamingDeduplicator(spark, folder, scratch(spark, "dedup-state")).run(), "dedup-groups")
     contents = written(_contents(docs, state.filter("n > 1").select("digest"), digest_bytes), "contents-of-hits")
+    total = rows.count()
     several = contents.groupBy("digest").agg(F.count("*").alias("k")).filter("k > 1").select("digest")
-    whole = rows.join(state, "digest", "left").select(
+    whole = join_one(rows, state, "digest", "n", total).select(
         "doc_id", "_at", "sha", "digest", "keep_id", "keep_at", F.col("n").alias("group_size")
     )
     if several.isEmpty():
@@ -149,27 +144,26 @@ def _with_digest(docs: DataFrame, digest_bytes: int) -> DataFrame:
 def _contents(docs: DataFrame, hits: DataFrame, digest_bytes: int) -> DataFrame:
     """Rows (digest, norm, first, n) of every distinct full text under a digest that was hit.
 
-    Texts without a hit are mostly kept out by a table of at most SLOTS hash slots, which is
-    what is broadcast; copies within a task meet before anything is sent.
+    Texts without a hit are kept out before anything is sent, by a slot table that grows with the
+    hits (see rows.slot_table); copies within a task meet before they are sent.
     """
-    slot = F.pmod(F.xxhash64("digest"), F.lit(SLOTS))
-    slots = F.broadcast(hits.select(slot.alias("slot")).distinct())
-    texts = _with_digest(docs, digest_bytes).withColumn("slot", slot).join(slots, "slot", "left_semi")
+    texts = that_may_be(_with_digest(docs, digest_bytes), slot_table(hits, "digest", hits.count()), "digest")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_at"))
     grouped = texts.groupBy("digest", "norm").agg(first.alias("first"), F.count("*").alias("n"))
     return grouped.join(hits, "digest", "left_semi")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: the first of each group of equal texts."""
-    docs = located(docs)
-    stay = deduplicate(docs.select("doc_id", "text", "_at")).filter("_at = keep_at").select("_at")
-    return docs.join(stay, "_at", "left_semi").drop("_at")
+    """The rows of ``docs`` that stay, all columns: the first of each group of equal texts (see deduplicate)."""
+    docs, at = located(docs)
+    rows = docs.select("doc_id", "text", F.col(at).alias("_at"))
+    stay = _deduplicate(rows).filter("_at = keep_at").select(F.col("_at").alias(at))
+    return docs.join(stay, at, "left_semi").drop(at)
 
 
 def op9(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Contract columns: doc_id, keep_id, group_size, kept, text_sha256."""
-    return deduplicate(docs.select("doc_id", "text")).select(
+    """Contract columns for every row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (see deduplicate)."""
+    return deduplicate(docs).select(
         "doc_id", "keep_id", "group_size", (F.col("_at") == F.col("keep_at")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
 
