@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from eventloom.llm.arrow import raw, slices
 from eventloom.llm.components import components
-from eventloom.llm.exact_dedup import located
+from eventloom.llm.rows import join_one, located, slot_table, that_may_be
 from eventloom.runtime import ship, written
 
 SHINGLE = 3
@@ -32,6 +32,8 @@ SEED = 42
 DISTANCE = 3
 #: Fingerprints of a variant that are compared with one another at once.
 BUCKET = 256
+#: Fingerprints whose variants are made in one task.
+EXPLODED = 20_000
 
 
 def fingerprint(data: bytes) -> int:
@@ -142,16 +144,19 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     ship(fps.sparkSession)
     out = None
     keys = ["key"]
+    fps = fps.repartition(max(1, -(-fps.count() // EXPLODED)), "fp")  # each row becomes 64
     rows = _first_keys(fps)
     for level in (1, 2, 3):
         sizes = written(rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-        limit = bucket if level < 3 else 1 << 12
-        found = _compare(rows.join(sizes.filter(F.col("n") <= limit), keys), keys)
+        limit = bucket if level < 3 else 1 << 12  # at level 3, 13 bits are open, so no bucket is larger
+        # keys are made a second time rather than kept; what is alone under its key isn't sent again
+        met = that_may_be(rows, slot_table(sizes, keys[-1], sizes.count()), keys[-1])
+        found = _compare(met.join(sizes.filter(F.col("n") <= limit), keys), keys)
         out = found if out is None else out.unionByName(found)
         large = sizes.filter(F.col("n") > limit)
         if level == 3 or large.isEmpty():
             return out
-        rows = _finer_keys(rows.join(large.drop("n"), keys), level)
+        rows = _finer_keys(met.join(large.drop("n"), keys), level)
         keys = keys + ["sub" if level == 1 else "sub2"]
     return out
 
@@ -161,33 +166,35 @@ def near_duplicates(docs: DataFrame, *keep: str, bucket: int = BUCKET) -> DataFr
 
     component_id: the smallest doc_id that is reachable over links, the row's own included.
     Null or empty texts have fingerprint 0 and are linked like any other; a null doc_id is
-    never a component_id unless its whole component has none; repeated rows stay; an empty
-    table gives none.
+    never a component_id unless its whole component has none; repeated rows and ties stay, one
+    row each; texts of any length count whole; other columns than ``keep`` are not looked at; an
+    empty table gives none.
     """
     if "doc_id" not in keep:
         keep = ("doc_id", *keep)
     rows = written(fingerprints(docs, *keep), "fingerprints")
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
+    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fps")
     joined = written(components(links(fps.select("fp"), bucket)), "components")
     own = fps.join(joined, fps.fp == joined.node, "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
+        "fp", "least", "n", F.coalesce("component", "fp").alias("component")
     )
-    least = own.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = own.join(least, "component").select("fp", "component", "component_id")
-    return rows.join(of, "fp")
+    own = written(own, "fps-by-component")
+    least = own.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("k"))
+    of = join_one(own.select("component", "fp", "n"), least, "component", "k", own.count()).select("fp", "n", "component", "component_id")
+    return join_one(rows, of, "fp", "n", rows.count()).select(*keep, "fp", "component", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: of each component the smallest doc_id (nulls last, ties by place)."""
-    docs = located(docs)
-    rows = near_duplicates(docs.select("doc_id", "text", "_at"), "doc_id", "_at")
+    docs, at = located(docs)
+    rows = near_duplicates(docs.select("doc_id", "text", F.col(at).alias("_at")), "doc_id", "_at")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_at"))
-    stay = rows.groupBy("component").agg(first.alias("first")).select("first._at")
-    return docs.join(stay, "_at", "left_semi").drop("_at")
+    stay = rows.groupBy("component").agg(first.alias("first")).select(F.col("first._at").alias(at))
+    return docs.join(stay, at, "left_semi").drop(at)
 
 
 def op7(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Contract columns doc_id, fingerprint, component_id for every row of ``docs``."""
+    """Contract columns doc_id, fingerprint, component_id for every row of ``docs`` (see near_duplicates)."""
     return near_duplicates(docs.select("doc_id", "text"), "doc_id").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

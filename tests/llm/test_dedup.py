@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eventloom.llm import components, exact_dedup, simhash
+from eventloom.llm import components, exact_dedup, rows, simhash
 from eventloom.runtime import scratch
 
 DOCS = "doc_id long, text string"
@@ -136,3 +136,25 @@ def test_pipeline_stages(spark):
     assert kept[0] == sorted([*clean, 0]) and kept[1] == sorted(set(clean) - {90, 93}) and kept[2] == kept[1]
     assert set(kept[3]) <= set(kept[2]) and set(kept[4]) == set(kept[3])
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mix_sources", "packing"]
+
+
+def test_joins_of_hot_keys(spark, monkeypatch):
+    rnd = random.Random(3)
+    keys = [7] * 900 + [8] * 300 + [rnd.randrange(100, 400) for _ in range(500)]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    per = df.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top")).filter("k % 5 <> 0")
+    for how in ("inner", "left"):
+        want = sorted(map(repr, df.join(per, "k", how).select("k", "i", "n", "top").collect()))
+        for most in (1, 20_000):
+            monkeypatch.setattr(rows, "HOT_KEYS", most)
+            assert sorted(map(repr, rows.join_one(df, per, "k", "n", len(keys), how).select("k", "i", "n", "top").collect())) == want
+
+
+def test_slots_keep_every_key(spark, monkeypatch):
+    df = spark.range(5000).withColumn("_w", F.lit("own"))
+    some = df.filter("id % 50 = 0")
+    for most in (rows.MOST_SLOTS, 1024):
+        monkeypatch.setattr(rows, "MOST_SLOTS", most)
+        met = rows.that_may_be(df, rows.slot_table(some, "id", 100), "id")
+        assert met.columns == df.columns and met.filter("id % 50 = 0").count() == 100 and met.count() < (200 if most > 1024 else 1500)
+    assert rows.that_may_be(df, rows.slot_table(df.limit(0), "id", 0), "id").count() == 0
