@@ -6,8 +6,8 @@ curve is the document's key.  Documents are range-sorted by key and their ids la
 along the curve, so that a sequence holds neighbouring documents; sequences are cut every
 ``LENGTH`` ids, and only the very last one is not full.
 
-Ranges are bounded by quantiles of (key, 15 bits of a hash of doc_id), so that a group of
-equal documents of any size is spread over ranges.  Ids are encoded once and moved once; a
+Ranges of about even numbers of ids are bounded by keys, which end with 15 bits of a hash of
+the row's doc_id and place, so that a group of equal documents of any size is spread over ranges.  Ids are encoded once and moved once; a
 task streams its range and holds one batch.
 """
 
@@ -122,18 +122,19 @@ _COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, length: int = LENGTH, range_ids: int = RANGE_IDS) -> DataFrame:
     """Rows _COLUMNS (long): the pieces of every document's ids, each id in exactly one.
 
-    A null text is empty and has the end id only; repeated rows are documents of their own; an
-    empty table gives no piece; columns other than doc_id and text are not looked at.
+    A null text is empty and has the end id only; texts of any length are packed whole; repeated
+    rows and ties are documents of their own, in the order of their rows; an empty table gives no
+    piece; columns other than doc_id and text, whatever their names, are not looked at.
     """
     spark = docs.sparkSession
     ship(spark)
     size = encoder(vocabulary).tokenizer.get_vocab_size()
-    salt = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << SALT_BITS))
+    salt = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", F.monotonically_increasing_id()), F.lit(1 << SALT_BITS))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("salt", salt)
     coded = written(rows.mapInArrow(_encode(vocabulary, end_id), "doc_id long, key long, n long, ids binary"), "coded")
     total = coded.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // range_ids))
-    lower = ranges.bounds(coded, "key", parts)
+    lower = ranges.even_bounds(coded, "key", "n", parts)
     bucket = ranges.bucket(F.col("key"), lower)
     sums = {r.bucket: r.n for r in coded.select("n", bucket.alias("bucket")).groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     bases, at = {}, 0
@@ -147,5 +148,5 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, le
 
 
 def op6(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Contract columns of every piece of ``docs``."""
+    """Contract columns of every piece of ``docs`` (see pack)."""
     return pack(docs.select("doc_id", "text"))
