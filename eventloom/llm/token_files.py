@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,24 +164,43 @@ def _open(uri: str):
     return found, path
 
 
+#: A null doc_id in files.
+NULL_ID = -(1 << 63)
+
+
 def ordered_buckets(docs: DataFrame, bytes_a_bucket: int = FILE_BYTES) -> tuple[DataFrame, int]:
-    """(doc_id, text) with bucket: ranges of ascending doc_id (nulls first), of about even text size.
+    """(doc_id, text) with bucket, and the number of buckets: ascending doc_id (nulls first), about even text sizes.
 
-    The bounds are quantiles of doc_id (one number a bucket); texts are moved once, when the
-    buckets are dealt out.
+    An id whose rows hold more than a bucket's bytes has buckets of its own, over which its rows
+    are spread. The bounds are one number a bucket; texts are moved once, when the buckets are dealt out.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sums = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()
-    parts = max(1, -(-(sums.b or 0) // bytes_a_bucket))
-    lower = ranges.bounds(rows, "doc_id", parts)
-    return rows.withColumn("bucket", ranges.bucket(F.col("doc_id"), lower)), len(lower) + 1
+    key = F.coalesce("doc_id", F.lit(NULL_ID))
+    sizes = written(rows.select(key.alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("b")), "text-sizes")
+    total = sizes.agg(F.sum("b")).first()[0] or 0
+    parts = max(1, -(-total // bytes_a_bucket))
+    most = max(bytes_a_bucket, total // ranges.MOST_RANGES)  # so that few ids have more
+    hot = sizes.groupBy("key").agg(F.sum("b").alias("b"), F.count("*").alias("n")).filter((F.col("b") > most) & (F.col("n") > 1)).collect()
+    lower = set(ranges.even_bounds(sizes, "key", "b", parts))
+    for r in hot:
+        lower |= {k for k in (r.key, r.key + 1) if NULL_ID < k < 1 << 63}
+    lower = sorted(lower)
+    width = [1] * (len(lower) + 1)
+    for r in hot:
+        width[bisect_right(lower, r.key)] = -(-r.b // most)
+    first = np.cumsum([0, *width]).tolist()
+    bucket = ranges.bucket(key, lower)
+    if hot:
+        at = lambda xs: F.element_at(F.array(*map(F.lit, xs)), bucket + 1)
+        bucket = at(first[:-1]) + F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), at(width)).cast("int")
+    return rows.withColumn("bucket", bucket), first[-1]
 
 
 def write_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, bits: bool = False) -> DataFrame:
     """Encode every text (null: empty), append ``end_id``, write one file a bucket; the manifest.
 
     Manifest rows: bucket, path, ids, documents, start (ids in all files before). Documents are
-    in ascending doc_id order over the files, ties by text.
+    in ascending doc_id order over the files, ties by text within a file.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -236,10 +256,6 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_
     )
 
 
-#: A null doc_id in files.
-NULL_ID = -(1 << 63)
-
-
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
@@ -265,7 +281,8 @@ def read_documents(manifest: DataFrame) -> DataFrame:
 def op10(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Contract columns doc_id, start, n_tokens, ids_crc32, from the files written for ``docs``.
 
-    A null or empty text has the end id only; repeated rows are documents of their own; null
-    doc_ids come first; an empty table gives no file and no row.
+    A null or empty text has the end id only; texts of any length are written whole; repeated rows
+    are documents of their own; null doc_ids come first; an empty table gives no file and no row;
+    other columns, whatever their names, are not looked at.
     """
     return read_documents(write_files(docs.select("doc_id", "text"), scratch(spark, "token-files")))

@@ -324,3 +324,45 @@ def test_mix_of_many_equal_rows(spark, monkeypatch):
     mix = mixing.Mix(df, block_words=16, shard_blocks=3)
     per = mix.rows.join(mix.sources, "ix").selectExpr("ix", "target", "aggregate(draws, 0L, (s, d) -> s + d.words) t").groupBy("ix", "target").sum("t").collect()
     assert all(abs(r["sum(t)"] - r.target) <= 1 for r in per)
+
+
+def test_token_files_spread_an_id(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_BYTES", 1000)
+    rows = [(5, "some words " * 9) for _ in range(60)] + [(None, "none at all " * 8) for _ in range(40)] + [(i, "x" * (i % 40)) for i in range(-30, 90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dealt, n = token_files.ordered_buckets(df, 1000)
+    per = dealt.groupBy("bucket").agg(F.sum(F.octet_length("text")).alias("b"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).orderBy("bucket").collect()
+    assert max(r.bucket for r in per) < n and max(r.b for r in per) < 3000 and sum(r.low == r.high == 5 for r in per) > 3 and sum(r.low is None for r in per) > 2
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.op10(spark, df).collect())
+    ids = [r[1] if r[1] is not None else -(1 << 62) for r in got]
+    assert ids == sorted(ids) and [r[0] for r in got] == (np.cumsum([0, *[r[2] for r in got]])[:-1]).tolist()
+    tk = encoder(token_files.VOCABULARY).tokenizer
+    code = lambda t: np.array([*tk.encode(t, add_special_tokens=False).ids, 0], "<u4")
+    assert Counter(r[1:] for r in got) == Counter((i, len(code(t)), zlib.crc32(code(t).tobytes())) for i, t in rows)
+
+
+def test_language_sample_of_one_id(spark):
+    df = spark.createDataFrame([(3, "the thing and other things", "en")] * 300 + [(None, "über ein schöner schuh", "de")] * 300, "doc_id long, text string, lang string")
+    names, _ = language.learn(df, 20)
+    assert names == ["de", "en"]
+
+
+def test_paths_against_brute_force():
+    """Path lengths by walking each tree node by node; and bad rows are found by them alone."""
+    rng = np.random.default_rng(4)
+    good, bad = rng.normal(0, 1, (600, quality._FEATURES)), rng.normal(0, 1, (40, quality._FEATURES))
+    bad[:, 2] += 9
+    forest = quality.Forest(good, trees=60)
+    x = np.concatenate([good[:30], bad])
+
+    def length(tree, row):
+        feature, cut, left, right, at_leaf = tree
+        k, steps = 0, 0
+        while feature[k] >= 0:
+            k, steps = (left if row[feature[k]] < cut[k] else right)[k], steps + 1
+        return at_leaf[k], steps
+
+    want = [np.mean([length(t, row)[0] for t in forest.trees]) for row in x]
+    assert np.allclose(forest.paths(x), want)
+    normal = 2.0 ** (-np.array(want) / quality._norm(forest.size))
+    assert np.allclose(forest.score(x), normal) and normal[30:].min() > np.quantile(normal[:30], 0.9)
