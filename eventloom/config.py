@@ -85,6 +85,10 @@ class Config:
             raise KeyError(name)
         return getattr(self, name)
 
+    def __setitem__(self, name: str, value: Any) -> None:
+        self[name]
+        object.__setattr__(self, name, value)
+
     def as_dict(self) -> dict[str, Any]:
         return asdict(self)
 
@@ -188,3 +192,27 @@ def library_arguments(value: None | list | tuple) -> list[str]:
     if not isinstance(value, (list, tuple)):
         raise TypeError(f"library folders must be a list, not {type(value).__name__}")
     return list(value)
+
+
+def get_default_config() -> Config:
+    return load(False)
+
+
+def get_development_config(os_name: str = os.name) -> Config:
+    return load(True, os_name)
+
+
+def get_proper_mode_config(is_development_mode: bool) -> Config:
+    return load(is_development_mode)
+
+
+#: Parameters of override_config_with_cli_params that ``override`` names otherwise.
+_OTHER_NAMES = {
+    "inbox_dir": "inbox", "output_dir": "outbox", "watch_dir_list": "libraries", "force_deep_scan": "deep_scan", "copy_mode": "copy",
+    "drop_duplicates": "skip_duplicates", "use_existing_clusters": "use_existing", "restore_original_names": "restore_names",
+}
+
+
+def override_config_with_cli_params(config: Config, **values: Any) -> Config:
+    """``override`` by the older names of its parameters."""
+    return override(config, **{_OTHER_NAMES.get(name, name): value for name, value in values.items()})

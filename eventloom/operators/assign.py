@@ -16,8 +16,6 @@ from eventloom.operators.sessions import GAP, SINGLE_WINDOW_ROWS, _us, micros
 from eventloom.runtime import ship
 from eventloom.schemas import require_columns
 
-_DAY = 86_400_000_000
-
 
 def _open_clusters(clusters: DataFrame) -> DataFrame:
     """Continuous events with both bounds: the only ones that take files."""
@@ -33,14 +31,15 @@ def _files(media: DataFrame, date: str) -> DataFrame:
 def match_static(media: DataFrame, clusters: DataFrame, gap: timedelta = GAP, date: str = "date") -> DataFrame:
     """(file_name, cluster_id): the lowest event whose bounds, widened by ``gap`` on both sides, hold the date.
 
-    Bounds don't grow here.  Events are cut into time slots at least as wide as their margins,
-    so the join is on equal slots.
+    Bounds don't grow here.  Events are cut into time slots as wide as they are in the mean, so
+    the join is on equal slots and there are at most three rows an event, in the mean.
     """
     g = micros(gap)
-    width = max(_DAY, 2 * g)
     low, high = F.col("s") - g, F.col("e") + g
-    slots = F.sequence(F.floor(low / F.lit(width)), F.floor(high / F.lit(width)))
-    wide = _open_clusters(clusters).select("cluster_id", low.alias("low"), high.alias("high"), F.explode(slots).alias("slot"))
+    events = _open_clusters(clusters).select("cluster_id", low.alias("low"), high.alias("high")).filter("low <= high")
+    width = max(1, int(events.agg(F.avg(F.col("high") - F.col("low"))).first()[0] or 1))
+    slots = F.sequence(F.floor(F.col("low") / F.lit(width)), F.floor(F.col("high") / F.lit(width)))
+    wide = events.withColumn("slot", F.explode(slots))
     files = _files(media, date).withColumn("slot", F.floor(F.col("t") / F.lit(width)))
     met = files.join(wide, "slot").filter("t >= low and t <= high")
     return met.groupBy("file_name").agg(F.min("cluster_id").alias("cluster_id"))

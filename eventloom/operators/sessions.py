@@ -29,10 +29,37 @@ def gaps(media: DataFrame, *keys: str, date: str = "date", delta: str = "date_de
 
     Only rows without a cluster take part; others have none.  Duplicates do take part: a
     duplicate between two files bridges, or takes over, their gap.
+
+    Of the rows of one time the first by name has the gap since the time before, the others none
+    at all; so times are what is ordered, in ranges, and no task holds a key or the whole table.
     """
     free = F.col("cluster_id").isNull() if "cluster_id" in media.columns else F.lit(True)
-    order = Window.partitionBy(*keys, free).orderBy(F.col(date).asc_nulls_last(), "file_name")
-    return media.withColumn(delta, F.when(free, F.col(date) - F.lag(date).over(order)))
+    open_rows = media.filter(free & F.col(date).isNotNull())
+    times = written(open_rows.groupBy(*keys, _us(F.col(date)).alias("_ts")).agg(F.min("file_name").alias("_first"), F.min(date).alias("_date")), "times")
+    rows, _ = _after_the_last(times, list(keys))
+    before = rows.select(*keys, "_ts", "_first", "_date", F.timestamp_micros("_p").cast(media.schema[date].dataType).alias("_before"))
+    out = _same(media.withColumn("_ts", F.when(free, _us(F.col(date)))), before, [*keys, "_ts"])
+    same = Window.partitionBy(*keys, "_ts", "file_name").orderBy("file_name")  # one row, but for repeated names
+    leads = (F.col("file_name").eqNullSafe(F.col("_first"))) & (F.row_number().over(same) == 1)
+    since = F.when(leads, F.col("_date") - F.col("_before")).otherwise(F.col("_date") - F.col("_date"))
+    return out.withColumn(delta, F.when(F.col("_date").isNotNull(), since)).select(*media.columns, delta)
+
+
+def _after_the_last(times: DataFrame, keys: list[str]) -> tuple[DataFrame, list[int]]:
+    """Distinct times (keys, _ts, ...) with _b (range of the time) and _p (the key's time before); the ranges' bounds.
+
+    A key's last time in a range comes to its next range as one row.
+    """
+    parts = int(times.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lower = ranges.bounds(times, "_ts", min(parts, -(-times.count() // SINGLE_WINDOW_ROWS)))
+    rows = times.withColumn("_b", ranges.bucket(F.col("_ts"), lower))
+    spot = [*keys, "_b"] if lower else keys
+    rows = rows.withColumn("_p", F.lag("_ts").over(Window.partitionBy(*spot).orderBy("_ts")))
+    if lower:
+        lasts = rows.groupBy(*spot).agg(F.max("_ts").alias("_last"))
+        lasts = lasts.select(*spot, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")).alias("_carry"))
+        rows = _same(rows, lasts, spot).withColumn("_p", F.coalesce("_p", "_carry")).drop("_carry")
+    return rows, lower
 
 
 def next_id(clusters: DataFrame) -> DataFrame:
@@ -106,21 +133,16 @@ def _numbers(free: DataFrame, keys: list[str], gap: timedelta, first_id: int, da
         F.min_by(unknown, F.col("file_name")).alias("first_unknown"), F.bool_or(unknown).alias("any_unknown")
     )
     times = written(times, "times")
-    dated = times.filter("_ts is not null")
-    parts = int(free.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lower = ranges.bounds(dated, "_ts", min(parts, -(-dated.count() // SINGLE_WINDOW_ROWS)))
-    rows = dated.withColumn("_b", ranges.bucket(F.col("_ts"), lower))
+    rows, lower = _after_the_last(times.filter("_ts is not null"), keys)
     spot = [*keys, "_b"] if lower else keys
     inside = Window.partitionBy(*spot).orderBy("_ts")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first_of = F.min(F.when(F.col("any_unknown"), F.col("_ts")))
-    rows = rows.withColumn("_p", F.lag("_ts").over(inside))
     if lower:
         by_range = Window.partitionBy(*keys).orderBy("_b")
-        heads = rows.groupBy(*spot).agg(F.max("_ts").alias("_last"), first_of.alias("_u"))
-        heads = heads.select(*spot, F.lag("_last").over(by_range).alias("_carry"), F.min("_u").over(whole).alias("_start"))
-        rows = _same(rows, heads, spot).withColumn("_p", F.coalesce("_p", "_carry"))
+        heads = rows.groupBy(*spot).agg(first_of.alias("_u"))
+        rows = _same(rows, heads.select(*spot, F.min("_u").over(whole).alias("_start")), spot)
     else:
         rows = rows.withColumn("_start", first_of.over(whole))
     opens = (F.col("_ts") - F.col("_p") > micros(gap)) & F.col("first_unknown")
@@ -173,15 +195,18 @@ def folder_stats(media: DataFrame, *keys: str, gap: timedelta = GAP, date: str =
 
     Consistent: no gap above ``gap``, and not some dates missing while others are there.
     """
-    # equal dates collapse to counts first; medians are read off running counts, in no one's memory
-    counts = media.groupBy(*keys, F.col(date).alias("_t")).agg(F.count("*").alias("_n")).withColumn("_u", _us(F.col("_t")))
-    order = Window.partitionBy(*keys).orderBy(F.col("_u").asc_nulls_last())
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = counts.withColumns({
-        "_d": F.col("_u") - F.lag("_u").over(order),
-        "_upto": F.sum("_n").over(upto),
-        "_dated": F.sum(F.when(F.col("_u").isNotNull(), F.col("_n"))).over(Window.partitionBy(*keys)),
-    })
+    # equal dates collapse to counts first; medians are read off running counts over ranges of dates
+    counts = written(media.groupBy(*keys, F.col(date).alias("_t")).agg(F.count("*").alias("_n")).withColumn("_ts", _us(F.col("_t"))), "dates")
+    rows, lower = _after_the_last(counts.filter("_ts is not null"), list(keys))
+    spot = [*keys, "_b"] if lower else list(keys)
+    rows = rows.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*spot).orderBy("_ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    if lower:
+        ahead = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        sums = rows.groupBy(*spot).agg(F.sum("_n").alias("_s")).select(*spot, F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_before"))
+        rows = _same(rows, sums, spot).withColumn("_upto", F.col("_upto") + F.col("_before")).drop("_before")
+    rows = rows.drop("_b").unionByName(counts.filter("_ts is null"), allowMissingColumns=True).withColumn("_u", F.col("_ts")).withColumn("_d", F.col("_ts") - F.col("_p"))
+    dated = counts.groupBy(*keys).agg(F.sum(F.when(F.col("_ts").isNotNull(), F.col("_n"))).alias("_dated"))
+    rows = _same(rows, dated, list(keys)) if keys else rows.withColumn("_dated", F.lit(dated.first()[0]))
     reached = lambda place: F.min(F.when(F.col("_u").isNotNull() & (F.col("_upto") > F.expr(place)), F.col("_u")))
     wide = F.coalesce(F.bool_or(F.col("_d") > micros(gap)), F.lit(False))
     mixed = (F.count_if(F.col("_u").isNull()) > 0) & (F.count("_u") > 0)

@@ -56,6 +56,11 @@ def conflicts(plan: DataFrame, taken: DataFrame) -> DataFrame:
     return plan.join(taken.select("dst").distinct(), "dst", "left_semi")
 
 
+def _make_folders(rows) -> None:
+    for r in rows:
+        os.makedirs(r.dst, exist_ok=True)
+
+
 def _carry_out(rows) -> None:
     for r in rows:
         if r.op == "copy":
@@ -73,6 +78,5 @@ def execute(plan: DataFrame) -> None:
     left alone.  Skips do nothing.
     """
     ship(plan.sparkSession)
-    for r in plan.filter("op = 'mkdir'").select("dst").toLocalIterator():
-        os.makedirs(r.dst, exist_ok=True)
+    plan.filter("op = 'mkdir'").select("dst").foreachPartition(_make_folders)
     plan.filter("op in ('copy', 'move')").foreachPartition(_carry_out)

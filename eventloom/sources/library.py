@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from eventloom.config import INI_NAME, Config
 from eventloom.functions.names import folder_type, parse_flag, relative_path
 from eventloom.operators.sessions import GAP, as_clusters, folder_stats
-from eventloom.runtime import ship
+from eventloom.runtime import ship, written
 from eventloom.schemas import CLUSTERS, empty
 from eventloom.sources.listing import listing
 from eventloom.sources.media import media_table
@@ -115,8 +115,12 @@ def clusters(spark: SparkSession, config: Config, gap=GAP) -> tuple[DataFrame, D
         events = folders(spark, list(config.libraries)).filter("folder_type = 'event'").select("path", "lib_idx")
         kept = read_ini(events).join(events, "path")
         fresh = kept.unionByName(fresh.join(kept.select("path"), "path", "left_anti"))
-    order = Window.orderBy("lib_idx", "path")
-    return as_clusters(fresh.withColumn("cluster_id", F.row_number().over(order) - 1)), bare
+    # sorted in ranges; each range is numbered by itself, after what stands in those before it (one row a range)
+    ranged = written(fresh.orderBy("lib_idx", "path").withColumn("_b", F.spark_partition_id()), "library-events")
+    before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    ahead = ranged.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", before.alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_b").orderBy("lib_idx", "path")) - 1
+    return as_clusters(ranged.withColumn("_i", number).join(ahead, "_b").withColumn("cluster_id", F.col("_i") + F.col("_before"))), bare
 
 
 def refresh(spark: SparkSession, libraries: list[str], config: Config, force: bool = True) -> DataFrame:

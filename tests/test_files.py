@@ -217,3 +217,13 @@ def test_schemas(spark):
     with pytest.raises(ValueError, match="unexpected column"):
         S.reject_others(df, ["cluster_id"])
     assert "target" in str(MissingTargetError())
+
+
+def test_config_items_and_older_names():
+    c = conf.get_development_config("posix")
+    c["seed"] = 5
+    assert c["seed"] == c.seed == 5 and conf.get_proper_mode_config(False) == conf.get_default_config()
+    with pytest.raises(KeyError):
+        c["nothing"] = 1
+    changed = conf.override_config_with_cli_params(c, inbox_dir="in", watch_dir_list=["a"], drop_duplicates=True, copy_mode=None)
+    assert (changed.inbox, changed.libraries, changed.skip_duplicates, changed.mode) == ("in", ("a",), True, c.mode)

@@ -138,3 +138,25 @@ def test_representatives(spark):
     one = naming.representative(df, method=Representative.RANDOM, seed=3).first()
     assert one == naming.representative(df.repartition(3), method=Representative.RANDOM, seed=3).first()
     assert naming.counts(df).first()[1:] == (4, 3, 7)
+
+
+def test_gaps_and_stats_over_ranges(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(f"f{i:04d}", datetime(2024, 1, 1) + timedelta(seconds=rnd.randrange(900) * 20) if rnd.random() < 0.95 else None, i % 5 == 0) for i in range(1500)]
+    df = spark.createDataFrame(rows, "file_name string, date timestamp_ntz, k boolean")
+    dated = sorted((d, n) for n, d, _ in rows if d)
+    want = {n: d - p for (d, n), (p, _) in zip(dated[1:], dated)} | {dated[0][1]: None} | {n: None for n, d, _ in rows if not d}
+    by_key = {k: sorted((d, n) for n, d, x in rows if d and x == k) for k in (True, False)}
+    keyed = {n: d - p for v in by_key.values() for (d, n), (p, _) in zip(v[1:], v)}
+    for limit in (sessions.SINGLE_WINDOW_ROWS, 90):
+        monkeypatch.setattr(sessions, "SINGLE_WINDOW_ROWS", limit)
+        assert {r.file_name: r.date_delta for r in sessions.gaps(df).collect()} == want
+        assert {r.file_name: r.date_delta for r in sessions.gaps(df, "k").collect() if r.date_delta is not None} == keyed
+        for r in sessions.folder_stats(df, "k").collect():
+            mine = [d for d, _ in by_key[r.k]]
+            n = len(mine)
+            assert r.median == mine[(n - 1) // 2] + (mine[n // 2] - mine[(n - 1) // 2]) // 2 and (r.date_start, r.date_stop) == (mine[0], mine[-1])
+            assert r.file_count == sum(x == r.k for *_, x in rows) and not r.is_time_consistent
+        assert sessions.folder_stats(df).first().file_count == 1500
