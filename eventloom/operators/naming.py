@@ -64,7 +64,8 @@ def resolved_names(media: DataFrame, restore: bool, taken: DataFrame | None = No
     rows = media.select("file_name", "target_path")
     if not restore:
         return rows.withColumn("dst_name", F.col("file_name"))
-    rows = rows.withColumn("_want", strip_copy_suffix(F.col("file_name"))).withColumn("_copy", F.col("_want") != F.col("file_name"))
+    rows = written(rows.withColumn("_want", strip_copy_suffix(F.col("file_name"))), "wanted-names")  # nested, the expression is too long to compile
+    rows = rows.withColumn("_copy", F.col("_want") != F.col("file_name"))
     key = ["target_path", F.lower("_want")]
     plain = rows
     first = F.row_number().over(Window.partitionBy(*key).orderBy("_copy", "file_name")) == 1
