@@ -106,6 +106,32 @@ def gap_delta(spark, sf_dir):
     return rows.select("event_id", F.expr("cast(date_delta as interval second)").cast("decimal(18,6)").alias("d")).select("event_id", (F.col("d") * 1_000_000).cast("long").alias("delta_us"))
 
 
+@query(f"SELECT event_id, CAST(coalesce(epoch_us(date) - lag(epoch_us(date)) OVER (ORDER BY date NULLS LAST, file_name), -1) AS BIGINT) AS delta_us FROM ({MEDIA})")
+def gap_delta_global(spark, sf_dir):
+    rows = sessions.gaps(_media(spark, sf_dir)).select("event_id", F.expr("cast(date_delta as interval second)").cast("decimal(18,6)").alias("d"))
+    return rows.select("event_id", F.coalesce((F.col("d") * 1_000_000).cast("long"), F.lit(-1)).alias("delta_us"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN year(make_timestamp((o_orderkey * 12345 - 2082844800) * 1000000)) >= 1990 THEN make_timestamp((o_orderkey * 12345 - 2082844800) * 1000000) END AS shot,
+CASE WHEN o_orderkey % 4 <> 3 THEN o_orderdate + INTERVAL 1 SECOND * (o_orderkey % 86400) END AS exif FROM (SELECT o_orderkey + 250000 AS o_orderkey, o_orderdate FROM orders)""")
+def media_timestamps(spark, sf_dir):
+    """QuickTime seconds and EXIF strings (every fourth one malformed) of orders."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("o_orderkey", (F.col("o_orderkey") + 250_000).cast("long"))
+    at = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("o_orderkey") % 86_400)
+    text = F.when(F.col("o_orderkey") % 4 == 3, F.date_format(at, "yyyy/MM/dd HH:mm")).otherwise(F.date_format(at, "yyyy:MM:dd HH:mm:ss"))
+    return o.select("o_orderkey", M.quicktime_timestamp(F.col("o_orderkey") * 12_345).alias("shot"), M.exif_timestamp(text).alias("exif"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN '/lib2/' || path ELSE path END AS relative, c_custkey % 2 = 0 AS flag FROM (
+SELECT c_custkey, '2019/' || replace(c_name, '#', '/') AS path FROM customer)""")
+def relative_paths(spark, sf_dir):
+    """Paths of two libraries below one of them, and flags in their written form."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    path = F.concat(F.when(F.col("c_custkey") % 3 == 2, "/lib2/").otherwise("/lib/"), F.lit("2019/"), F.replace("c_name", F.lit("#"), F.lit("/")))
+    flag = F.when(F.col("c_custkey") % 2 == 0, "True").otherwise("False")
+    return c.select("c_custkey", N.relative_path(path, F.lit("/lib//")).alias("relative"), N.parse_flag(flag).alias("flag"))
+
+
 @query(f"WITH {numbered()} SELECT event_id, cluster_id FROM n")
 def gap_cluster_assign(spark, sf_dir):
     return sessions.cluster(_media(spark, sf_dir), gap=GAP).select("event_id", "cluster_id")
@@ -161,8 +187,8 @@ def session_window_equiv(spark, sf_dir):
 
 
 def _library(spark, sf_dir):
-    """Library events: the users' folder statistics by day, ids from 0 by (user, day)."""
-    rows = _events(spark, sf_dir).filter("event_id % 7 = 0").groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("h")).agg(
+    """Library events: all events by hour, ids from 0 by hour."""
+    rows = _events(spark, sf_dir).groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("h")).agg(
         F.min("ts").alias("start_date"), F.max("ts").alias("end_date"), F.count("*").alias("file_count")
     )
     # an id a distinct hour: the hours of a timeline are few
@@ -178,7 +204,7 @@ def _library(spark, sf_dir):
 
 LIBRARY = """l AS (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS BIGINT) AS cluster_id, start_date, end_date, hour(h) % 5 <> 0 AS is_continuous,
 '/lib/2024/' || strftime(h, '[%Y_%m_%d]_%H') AS path, file_count FROM (
-SELECT date_trunc('hour', ts) AS h, min(ts) AS start_date, max(ts) AS end_date, count(*) AS file_count FROM events WHERE event_id % 7 = 0 GROUP BY 1))"""
+SELECT date_trunc('hour', ts) AS h, min(ts) AS start_date, max(ts) AS end_date, count(*) AS file_count FROM events GROUP BY 1))"""
 SMALL = timedelta(minutes=2)
 
 
@@ -293,11 +319,10 @@ def content_hash(spark, sf_dir):
     return d.select("doc_id", *[M.content_hash(text, a).alias(a) for a in ("sha1", "md5", "sha256")])
 
 
-@query("SELECT doc_id, md5(coalesce(text, '')[:64]) AS part FROM documents")
+@query("SELECT doc_id, md5(encode(coalesce(text, ''))[1:1048576]) AS part FROM documents")
 def partial_content_hash(spark, sf_dir):
-    """The first 64 characters, as bytes."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", M.partial_hash(F.left(F.coalesce("text", F.lit("")), F.lit(64))).alias("part"))
+    return d.select("doc_id", M.partial_hash(F.coalesce("text", F.lit(""))).alias("part"))
 
 
 @query(f"WITH {numbered(NOT_ERROR)}, {NAMED}, m2 AS ({MEDIA}) SELECT m2.event_id, n.cluster_id, target_path FROM m2 LEFT JOIN n USING (event_id) LEFT JOIN named ON n.cluster_id = named.cluster_id")
@@ -407,6 +432,13 @@ def plan_summary(spark, sf_dir):
     return file_plan.counters(_plan(spark, sf_dir))
 
 
+@query(f"WITH {PLANNED} SELECT op, src, dst FROM ops WHERE op = 'copy' AND regexp_extract(dst, '(\\d+)\\.jpg$', 1) LIKE '%7'")
+def plan_conflicts(spark, sf_dir):
+    """Operations of the plan whose destination is on disk: here the names that end with 7.jpg."""
+    plan = _plan(spark, sf_dir)
+    return file_plan.conflicts(plan, plan.filter("dst like '%7.jpg'").select("dst")).select("op", "src", "dst")
+
+
 @query(f"SELECT 'skip' AS op, '/in/' || file_name AS src, 'NOP mode' AS reason FROM ({MEDIA})")
 def plan_dry_run(spark, sf_dir):
     return file_plan.build(_media(spark, sf_dir), "/in", "/out", Mode.NOP).select("op", "src", "reason")
