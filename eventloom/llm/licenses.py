@@ -3,8 +3,8 @@
 A block matches a template when it holds at least ``THRESHOLD`` of the template's distinct
 words.  Blocks are lines, and for notices that are wrapped over lines all windows of ``REACH``
 times the template's words over the whole text, where the words must also stand in the
-template's order (longest common subsequence, at least ``THRESHOLD`` of it).  Template words are ordered by how many documents of the corpus hold them,
-rarest first.  A template of n words that needs o of them must share one of its first
+template's order (longest common subsequence, at least ``THRESHOLD`` of it).  Template words
+are ordered by how many documents of the corpus hold them, rarest first.  A template of n words that needs o of them must share one of its first
 n - o + 1 words with the block (prefix filter); the block must hold o template words (length
 filter); a shared word at places i and j leaves at most 1 + min(rest of either) words in
 common (positional filter).  What is left is verified exactly.  A window that matches holds a
@@ -31,7 +31,7 @@ REACH = 1.25
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose places are counted, with their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Templates: label and notice.
+#: Templates: label and notice, or the clauses that tell a whole license text from others (at most 63 words each).
 TEMPLATES = (
     ("apache", "licensed under the apache license version 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
@@ -44,6 +44,14 @@ TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
 )
 
 
