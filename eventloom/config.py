@@ -44,16 +44,16 @@ class Status(Enum):
     DUPLICATE = 3
 
 
-# File types, catalogue file name, default folders.
+# File types, catalogue file name.
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".dng", ".cr2", ".tif", ".tiff", ".heic")
 VIDEO_EXTENSIONS = (".mp4", ".3gp", "mov")
 INI_NAME = ".cluster.ini"
-#: (system, development?) to inbox, outbox, libraries.
+#: Default folders: (system, development?) to inbox, outbox, libraries.
 FOLDERS = {
-    ("nt", False): ("h:\\incomming\\inbox", "h:\\incomming\\outbox_clust", ("h:\\zdjecia\\",)),
-    ("nt", True): ("h:\\incomming\\set_1", "h:\\incomming\\inbox_clust_test", ("",)),
-    ("posix", False): ("/media/root/Foto/incomming/inbox", "/media/root/Foto/incomming/outbox_clust", ("/media/root/Foto/zdjecia/",)),
-    ("posix", True): ("./set_1", "./inbox_clust_test", ("zdjecia", "clusters")),
+    ("nt", False): ("C:\\Media\\inbox", "C:\\Media\\events", ("C:\\Media\\library",)),
+    ("nt", True): (".\\inbox", ".\\events", (".\\library",)),
+    ("posix", False): ("/srv/media/inbox", "/srv/media/events", ("/srv/media/library",)),
+    ("posix", True): ("./inbox", "./events", ("./library",)),
 }
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from eventloom.config import Config, Mode, Status
 from eventloom.functions import media as M, names as N
@@ -192,8 +192,6 @@ def _library(spark, sf_dir):
         F.min("ts").alias("start_date"), F.max("ts").alias("end_date"), F.count("*").alias("file_count")
     )
     # an id a distinct hour: the hours of a timeline are few
-    from pyspark.sql import Window
-
     cid = (F.row_number().over(Window.orderBy("h")) - 1).cast("long")
     path = F.concat(F.lit("/lib/2024/"), F.date_format("h", "'['yyyy_MM_dd']_'HH"))
     return rows.select(
@@ -225,8 +223,8 @@ def assign_existing_static(spark, sf_dir):
 #: Each file in order takes the lowest event that holds it, and widens it for the next ones: a
 #: recursion over files that carries the events' grown ends.
 EXPANDING = f"""WITH RECURSIVE {LIBRARY}, m AS ({MEDIA}),
-f AS (SELECT file_name, date, row_number() OVER (ORDER BY date, file_name) AS i FROM m WHERE event_type <> 'error' AND date IS NOT NULL),
-o AS (SELECT cluster_id, start_date AS s, end_date AS e FROM l WHERE is_continuous),
+f AS MATERIALIZED (SELECT file_name, date, row_number() OVER (ORDER BY date, file_name) AS i FROM m WHERE event_type <> 'error' AND date IS NOT NULL),
+o AS MATERIALIZED (SELECT cluster_id, start_date AS s, end_date AS e FROM l WHERE is_continuous),
 step(i, file_name, cluster_id, grown) AS (
   SELECT CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(MAP {{}} AS MAP(BIGINT, TIMESTAMP))
   UNION ALL

@@ -53,9 +53,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[context.applicationId]
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/eventloom/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/eventloom/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in this application's part of the shared folder."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -67,6 +71,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_scratch(spark: SparkSession) -> bool:
-    """Delete all tables that this library wrote to the shared folder; lazy results over them end with it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/eventloom")
+    """Delete all tables that this application wrote to the shared folder; lazy results over them end with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

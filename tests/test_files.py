@@ -177,7 +177,7 @@ def test_dry_run_and_empty_inbox(spark, world, tmp_path):
 def test_configuration(monkeypatch, tmp_path):
     for system in ("nt", "posix"):
         assert conf.load(True, system).mode is conf.Mode.COPY and conf.load(False, system).mode is conf.Mode.MOVE
-    assert conf.load(False, "nt").inbox.startswith("h:") and conf.load(True, "posix").libraries == ("zdjecia", "clusters")
+    assert conf.load(False, "nt").inbox.startswith("C:") and conf.load(True, "posix").libraries == ("./library",)
     base = conf.load(True)
     assert base.gap == timedelta(minutes=60) and base["mode"] is conf.Mode.COPY and not base.use_existing
     with pytest.raises(KeyError):
