@@ -11,6 +11,10 @@ A variant with more than ``BUCKET`` fingerprints isn't compared whole: its membe
 in quarters of 8, by the same argument, so that what is compared at the last level holds at
 most 2**11 distinct fingerprints.  Inside a bucket only a spanning forest of the verified
 links is returned, never all pairs.
+
+A text may have fingerprints of several families, whose shingle hashes are mixed differently.
+Texts are then linked by any family whose fingerprints are near: each one is as exact, and what
+bits of one family miss by chance another one may meet.
 """
 
 from __future__ import annotations
@@ -34,14 +38,33 @@ DISTANCE = 3
 BUCKET = 256
 #: Fingerprints whose variants are made in one task.
 EXPLODED = 20_000
+#: Families where near copies matter more than the work (the pipeline).
+FAMILIES = 8
+#: Hashes whose bits are counted at once (counts have 16 bits).
+_COUNTED = 1 << 15
 
 
-def fingerprint(data: bytes) -> int:
+def fingerprint(data: bytes, family: int = 0) -> int:
     """Fingerprint of one text (UTF-8); no words: 0."""
-    hashes = _hashes(data)
-    if not len(hashes):
-        return 0
-    counts = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return _majority(_mixed(_hashes(data), family))
+
+
+def _mixed(hashes: np.ndarray, family: int) -> np.ndarray:
+    """Hashes of a family: family 0 has them as they are, others by SplitMix64's finaliser."""
+    if not family:
+        return hashes
+    z = hashes + np.uint64(family * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; of no hash none."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), _COUNTED):
+        bits = np.unpackbits(hashes[i : i + _COUNTED].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        counts += bits.sum(axis=0, dtype=np.uint16)
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
@@ -59,43 +82,50 @@ def _hashes(data: bytes) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        values = np.fromiter(map(fingerprint, raw(batch.column("text"))), np.uint64, batch.num_rows)
-        columns = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
-        names = [name for name in batch.schema.names if name != "text"]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(values.view(np.int64))], names=[*names, "fp"])
+def fingerprints(docs: DataFrame, *keep: str, families: int = 1) -> DataFrame:
+    """Columns ``keep``, fp (the 64 bits as a long) and more (those of families 1 and on) of every row of ``docs``."""
+    ship(docs.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = np.zeros((batch.num_rows, families), np.uint64)
+            for row, data in zip(found, raw(batch.column("text"))):
+                hashes = _hashes(data)
+                row[:] = [_majority(_mixed(hashes, k)) for k in range(families)]
+            found = found.view(np.int64)
+            more = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (families - 1)), pa.array(found[:, 1:].ravel()))
+            names = [name for name in batch.schema.names if name != "text"]
+            columns = [batch.column(name) for name in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found[:, 0].copy()), more], names=[*names, "fp", "more"])
 
-def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
-    """Columns ``keep`` and fp (the 64 bits as a long) of every row of ``docs``."""
-    ship(docs.sparkSession)
     fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, f"{fields}, fp long")
+    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{fields}, fp long, more array<long>")
 
 
-def _variants(column, bits: int, shift: int, tag: int):
+def _variants(column, bits: int, shift: int, tag):
     """Array of ``bits`` keys of the segment at ``shift``: tag and position, then the segment without that bit."""
+    first = F.shiftleft(F.lit(tag).cast("long") * 32, 32)
     segment = F.shiftrightunsigned(column, shift).bitwiseAND(F.lit((1 << bits) - 1))
     return [
-        segment.bitwiseAND(F.lit(((1 << bits) - 1) ^ (1 << i))).bitwiseOR(F.lit((tag * 32 + i) << 32))
+        segment.bitwiseAND(F.lit(((1 << bits) - 1) ^ (1 << i))).bitwiseOR(first + F.lit(i << 32))
         for i in range(bits)
     ]
 
 
 def _first_keys(fps: DataFrame) -> DataFrame:
-    keys = _variants(F.col("fp"), 32, 0, 0) + _variants(F.col("fp"), 32, 32, 1)
+    """Keys of the two segments: a key's tag is twice the family, and one more for the upper segment."""
+    keys = _variants(F.col("fp"), 32, 0, F.col("family") * 2) + _variants(F.col("fp"), 32, 32, F.col("family") * 2 + 1)
     return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
 def _finer_keys(rows: DataFrame, level: int) -> DataFrame:
     """Rows (key, fp) of too large buckets under (key, sub, fp); the cut is of the bits not yet agreed in.
 
-    key's tag (key >> 37) names the segment that agrees: the other one is cut. At level 2,
+    key's tag (key >> 37; its parity) names the segment that agrees: the other one is cut. At level 2,
     sub's tag names the 16 bits of it that agree, and the other 16 are cut.
     """
     width = 16 if level == 1 else 8
-    open_bits = F.when(F.shiftrightunsigned("key", 37) == 0, F.shiftrightunsigned("fp", 32)).otherwise(
+    open_bits = F.when(F.shiftrightunsigned("key", 37) % 2 == 0, F.shiftrightunsigned("fp", 32)).otherwise(
         F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     )
     if level == 2:
@@ -136,14 +166,15 @@ def _compare(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that connect exactly those at DISTANCE or nearer.
+    """Links (a, b) between distinct fingerprints that connect exactly those of a family at DISTANCE or nearer.
 
-    fps: rows (fp), distinct. Pairs that share a variant are verified, directly or through a
+    fps: rows (fp), distinct, or (fp, family) of several families. Pairs that share a variant are verified, directly or through a
     chain of verified links inside the same bucket.
     """
     ship(fps.sparkSession)
     out = None
     keys = ["key"]
+    fps = fps if "family" in fps.columns else fps.withColumn("family", F.lit(0))
     fps = fps.repartition(max(1, -(-fps.count() // EXPLODED)), "fp")  # each row becomes 64
     rows = _first_keys(fps)
     for level in (1, 2, 3):
@@ -161,10 +192,22 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, *keep: str, bucket: int = BUCKET) -> DataFrame:
+def _links_of_families(rows: DataFrame, bucket: int) -> DataFrame:
+    """Links (a, b) of all families of ``rows`` (fp, more), and of a text's fingerprint with those of its others that lead anywhere."""
+    views = rows.select("fp", "more").distinct().select("fp", F.posexplode(F.concat(F.array("fp"), "more")).alias("family", "view"))
+    views = written(views.distinct(), "fingerprint-views")
+    found = written(links(views.select(F.col("view").alias("fp"), "family").distinct(), bucket), "links-of-families")
+    others = views.filter("family > 0").select("view", F.col("fp").alias("own"))
+    ends = found.select(F.explode(F.array("a", "b")).alias("view")).distinct().withColumn("_end", F.lit(True))
+    leading = written(others.groupBy("view").agg(F.count("*").alias("n")).join(ends, "view", "left").filter("n > 1 or _end").select("view", "n"), "leading-views")
+    own = join_one(that_may_be(others, slot_table(leading, "view", leading.count()), "view"), leading, "view", "n", others.count())
+    return found.unionByName(own.select(F.col("own").alias("a"), F.col("view").alias("b")))
+
+
+def near_duplicates(docs: DataFrame, *keep: str, bucket: int = BUCKET, families: int = 1) -> DataFrame:
     """Every row's ``keep`` columns (doc_id among them), fp, component (its smallest fp) and component_id.
 
-    component_id: the smallest doc_id that is reachable over links, the row's own included.
+    component_id: the smallest doc_id that is reachable over links (of any of ``families``), the row's own included.
     Null or empty texts have fingerprint 0 and are linked like any other; a null doc_id is
     never a component_id unless its whole component has none; repeated rows and ties stay, one
     row each; texts of any length count whole; other columns than ``keep`` are not looked at; an
@@ -172,9 +215,9 @@ def near_duplicates(docs: DataFrame, *keep: str, bucket: int = BUCKET) -> DataFr
     """
     if "doc_id" not in keep:
         keep = ("doc_id", *keep)
-    rows = written(fingerprints(docs, *keep), "fingerprints")
+    rows = written(fingerprints(docs, *keep, families=families), "fingerprints")
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fps")
-    joined = written(components(links(fps.select("fp"), bucket)), "components")
+    joined = written(components(links(fps.select("fp"), bucket) if families == 1 else _links_of_families(rows, bucket)), "components")
     own = fps.join(joined, fps.fp == joined.node, "left").select(
         "fp", "least", "n", F.coalesce("component", "fp").alias("component")
     )
@@ -184,10 +227,13 @@ def near_duplicates(docs: DataFrame, *keep: str, bucket: int = BUCKET) -> DataFr
     return join_one(rows, of, "fp", "n", rows.count()).select(*keep, "fp", "component", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: of each component the smallest doc_id (nulls last, ties by place)."""
+def one_of_each(docs: DataFrame, families: int = 1) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: of each component the smallest doc_id (nulls last, ties by place).
+
+    Links are those of ``families`` families.
+    """
     docs, at = located(docs)
-    rows = near_duplicates(docs.select("doc_id", "text", F.col(at).alias("_at")), "doc_id", "_at")
+    rows = near_duplicates(docs.select("doc_id", "text", F.col(at).alias("_at")), "doc_id", "_at", families=families)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_at"))
     stay = rows.groupBy("component").agg(first.alias("first")).select(F.col("first._at").alias(at))
     return docs.join(stay, at, "left_semi").drop(at)

@@ -93,6 +93,29 @@ def test_near_against_brute_force(spark):
     assert simhash.one_of_each(df).count() == len(least)
 
 
+def test_families_against_brute_force(spark):
+    rnd = random.Random(9)
+    base = [[f"w{rnd.randrange(900)}" for _ in range(150)] for _ in range(3)]
+    rows = [(i, " ".join(f"w{rnd.randrange(900)}" for _ in range(rnd.randrange(1, 60)))) for i in range(60)] + [(500, None), (501, " "), (502, "one"), (503, "One")]
+    for i in range(120):
+        w = list(base[i % 3])
+        for _ in range(rnd.randrange(1, 12)):
+            w[rnd.randrange(len(w))] = f"w{rnd.randrange(900)}"
+        rows.append((1000 - i, " ".join(w)))
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    linked = []
+    for k in range(4):
+        fps = np.array([simhash.fingerprint((t or "").encode(), k) for _, t in rows], np.uint64)
+        linked += [(i, i + 1 + int(j)) for i in range(len(rows)) for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps[i + 1 :]) <= 3)]
+    root, least = roots(len(rows), linked), {}
+    for (i, _), r in zip(rows, root):
+        least[r] = min(least.get(r, i), i)
+    got = simhash.near_duplicates(df, "doc_id", bucket=4, families=4)
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == sorted((i, least[r]) for (i, _), r in zip(rows, root))
+    assert sorted(r.doc_id for r in simhash.one_of_each(df, families=4).collect()) == sorted(least.values())
+    assert len(least) < simhash.one_of_each(df, families=1).count() and simhash.one_of_each(df.limit(0)).count() == 0
+
+
 def test_large_buckets_are_cut_exactly(spark):
     rnd = random.Random(1)
     centre, values = rnd.getrandbits(64), set()
