@@ -71,4 +71,4 @@ QUERIES = {
         op11_hard_negatives, op12_spelling_groups, op13_sentencepiece,
     )
 }
-ORACLES = {"op5_chat_format": chat.ORACLE, "op8_license_scan": licenses.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE}
+ORACLES = {"op5_chat_format": chat.ORACLE, "op8_license_scan": licenses.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_spelling_groups": spelling.ORACLE}

@@ -198,3 +198,19 @@ def group(docs: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
 def op12(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Contract columns word, form, root, n, n_near, form_n over whole ``docs``."""
     return group(docs)
+
+
+#: CRC-32 by a table made from its polynomial; near words by equal words without one letter.
+ORACLE = """WITH RECURSIVE k AS MATERIALIZED (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+w AS MATERIALIZED (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents WHERE text IS NOT NULL),
+c AS MATERIALIZED (SELECT d, w, count(*) AS n, flatten(list_transform(string_split(d || ':' || w, ''), lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [195, ord(x) - 64] END)) AS bytes FROM w WHERE length(w) >= 5 GROUP BY 1, 2),
+h AS MATERIALIZED (SELECT w, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM c, k),
+v AS MATERIALIZED (SELECT CASE WHEN h % 97 = 0 THEN substring(w, 1, CAST(h % length(w) AS INTEGER)) || substring(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS word, CAST(sum(n) AS BIGINT) AS n
+FROM h GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+x AS MATERIALIZED (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+UNION SELECT x.word, x.n, v.word, v.n FROM x JOIN v ON less = v.word UNION SELECT v.word, v.n, x.word, x.n FROM x JOIN v ON less = v.word),
+b AS MATERIALIZED (SELECT word, count(*) AS n_near, arg_min(struct_pack(near, near_n), struct_pack(m := -near_n, near)) AS best FROM p GROUP BY 1),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.near_n >= 2 * v.n THEN best.near END AS form, CASE WHEN best.near_n >= 2 * v.n THEN best.near_n END AS form_n FROM v LEFT JOIN b USING (word)),
+r AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON r.next = f.word)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word AND r.next IS NULL"""
