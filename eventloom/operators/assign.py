@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
 from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from eventloom import ranges
 from eventloom.config import Status
 from eventloom.functions.names import existing_target
-from eventloom.operators.sessions import GAP, SINGLE_WINDOW_ROWS, _us, micros
-from eventloom.runtime import ship
+from eventloom.operators.sessions import GAP, _us, after_the_last, micros
+from eventloom.runtime import written
 from eventloom.schemas import require_columns
 
 
@@ -28,91 +24,63 @@ def _files(media: DataFrame, date: str) -> DataFrame:
     return media.filter((F.col("status") != Status.DUPLICATE.name) & F.col(date).isNotNull()).select("file_name", _us(F.col(date)).alias("t"))
 
 
-def match_static(media: DataFrame, clusters: DataFrame, gap: timedelta = GAP, date: str = "date") -> DataFrame:
-    """(file_name, cluster_id): the lowest event whose bounds, widened by ``gap`` on both sides, hold the date.
+def _lowest(times: DataFrame, events: DataFrame, g: int) -> DataFrame:
+    """(t, cluster_id): the lowest event whose bounds, widened by ``g`` on both sides, hold a time; others have no row.
 
-    Bounds don't grow here.  Events are cut into time slots as wide as they are in the mean, so
-    the join is on equal slots and there are at most three rows an event, in the mean.
+    Events are cut into time slots as wide as they are in the mean, so the join is on equal slots
+    and there are at most three rows an event, in the mean.  times: t, distinct.
     """
-    g = micros(gap)
     low, high = F.col("s") - g, F.col("e") + g
-    events = _open_clusters(clusters).select("cluster_id", low.alias("low"), high.alias("high")).filter("low <= high")
+    events = events.select("cluster_id", low.alias("low"), high.alias("high")).filter("low <= high")
     width = max(1, int(events.agg(F.avg(F.col("high") - F.col("low"))).first()[0] or 1))
     slots = F.sequence(F.floor(F.col("low") / F.lit(width)), F.floor(F.col("high") / F.lit(width)))
     wide = events.withColumn("slot", F.explode(slots))
-    files = _files(media, date).withColumn("slot", F.floor(F.col("t") / F.lit(width)))
-    met = files.join(wide, "slot").filter("t >= low and t <= high")
-    return met.groupBy("file_name").agg(F.min("cluster_id").alias("cluster_id"))
+    met = times.select("t", F.floor(F.col("t") / F.lit(width)).alias("slot")).join(wide, "slot").filter("t >= low and t <= high")
+    return met.groupBy("t").agg(F.min("cluster_id").alias("cluster_id"))
 
 
-def _islands(points: DataFrame, g: int) -> DataFrame:
-    """(s, e, ...) with ``island``: a new one begins where s is more than ``g`` beyond every end before it.
+def match_static(media: DataFrame, clusters: DataFrame, gap: timedelta = GAP, date: str = "date") -> DataFrame:
+    """(file_name, cluster_id): the lowest event whose bounds, widened by ``gap`` on both sides, hold the date.
 
-    Running maxima over ranges of s; what ranges before hold comes as one row a range.
+    Bounds don't grow here.
     """
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = points.count()
-    lower = ranges.bounds(points, "s", min(parts, -(-n // SINGLE_WINDOW_ROWS)))
-    rows = points.withColumn("_b", ranges.bucket(F.col("s"), lower))
-    inside = Window.partitionBy("_b").orderBy("s", "e", "kind", "name", "cluster_id")
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    tops = rows.groupBy("_b").agg(F.max("e").alias("_m")).select("_b", F.max("_m").over(ahead).alias("_carry"))
-    rows = rows.withColumn("_p", F.max("e").over(before)).join(F.broadcast(tops), "_b")
-    reach = F.greatest("_p", "_carry")
-    rows = rows.withColumn("_h", F.when(reach.isNull() | (F.col("s") - reach > g), F.col("s")))
-    heads = rows.groupBy("_b").agg(F.max("_h").alias("_m")).select("_b", F.max("_m").over(ahead).alias("_hc"))
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_i", F.max("_h").over(upto)).join(F.broadcast(heads), "_b")
-    return rows.withColumn("island", F.coalesce("_i", "_hc")).drop("_b", "_p", "_carry", "_h", "_i", "_hc")
-
-
-def _fold(g: int):
-    """Streams rows sorted by (island, kind, ...), events of an island before its files in date order."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        island, waiting, live, ends = None, [], [], {}
-        for part in parts:
-            names, ids = [], []
-            for r in part.itertuples(index=False):
-                if r.island != island:
-                    island, waiting, live, ends = r.island, [], [], {}
-                if r.kind == 0:
-                    heapq.heappush(waiting, (r.s, int(r.cluster_id)))
-                    ends[int(r.cluster_id)] = max(r.e, ends.get(int(r.cluster_id), r.e))
-                    continue
-                while waiting and waiting[0][0] - g <= r.s:
-                    heapq.heappush(live, heapq.heappop(waiting)[1])
-                while live and ends[live[0]] + g < r.s:  # dates ascend: it can't take a file again
-                    heapq.heappop(live)
-                if live:
-                    ends[live[0]] = max(ends[live[0]], r.s)
-                    names.append(r.name)
-                    ids.append(live[0])
-            yield pd.DataFrame({"file_name": pd.Series(names, dtype="object"), "cluster_id": pd.Series(ids, dtype="int64")})
-
-    return run
+    files = _files(media, date)
+    return files.join(_lowest(files.select("t").distinct(), _open_clusters(clusters), micros(gap)), "t").select("file_name", "cluster_id")
 
 
 def match(media: DataFrame, clusters: DataFrame, gap: timedelta = GAP, date: str = "date") -> DataFrame:
     """(file_name, cluster_id): files attached in order of (date, file_name), each to the lowest event that holds it.
 
-    An attached file widens its event for the files after it.  A chain of attachments never
-    crosses an island (every step is at most ``gap``), so islands are folded on their own, and
-    only those with an event; a fold holds its island's events, not its files.
+    An attached file widens its event for the files after it.  That needs no fold over files.  Call
+    a run of files without a gap above ``gap`` a stretch.  An event that took a file holds the
+    next one of the stretch too, and so all that follow there; one that took files of an earlier
+    stretch reaches beyond them by its own end only.  So a file's event is the lowest
+    that holds, by its bounds as they were, any file of the stretch up to this one: a
+    running minimum, taken over ranges of time, with one row a range that carries the open
+    stretch's minimum into the next ranges.
     """
-    ship(media.sparkSession)
     g = micros(gap)
-    events = _open_clusters(clusters).select("s", "e", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("name"), "cluster_id")
-    files = _files(media, date).select(F.col("t").alias("s"), F.col("t").alias("e"), F.lit(1).alias("kind"), F.col("file_name").alias("name"), F.lit(None).cast("long").alias("cluster_id"))
-    points = _islands(events.unionByName(files), g)
-    inhabited = points.filter("kind = 0").select("island").distinct()
-    rows = points.join(inhabited, "island", "left_semi")
-    n = int(media.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = rows.repartition(n, "island").sortWithinPartitions("island", "kind", "s", "name")
-    return laid.select("island", "kind", "s", "e", "name", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id")).mapInPandas(
-        _fold(g), "file_name string, cluster_id long"
-    )
+    files = _files(media, date)
+    times = files.select(F.col("t").alias("_ts")).distinct()
+    found = _lowest(times.withColumnRenamed("_ts", "t"), _open_clusters(clusters), g)
+    held = written(times.join(found, times["_ts"] == found["t"], "left").select("_ts", "cluster_id"), "held-times")
+    rows, lower = after_the_last(held, [])
+    inside = Window.partitionBy("_b").orderBy("_ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fresh = F.col("_p").isNull() | (F.col("_ts") - F.col("_p") > g)
+    rows = rows.withColumn("_s", F.sum(fresh.cast("int")).over(inside))  # 0: the stretch began in a range before
+    stretch = Window.partitionBy("_b", "_s").orderBy("_ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_m", F.min("cluster_id").over(stretch))
+    if lower:
+        rows = written(rows, "stretches")
+        tails = rows.groupBy("_b").agg(F.max_by("_m", "_ts").alias("_tail"), F.max("_s").alias("_n"))
+        by_range = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # ranges with the same number of beginnings up to their end have one open stretch at their end
+        tails = tails.withColumn("_open", F.sum("_n").over(by_range))
+        out = F.min("_tail").over(Window.partitionBy("_open").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        carry = tails.withColumn("_out", out).select("_b", F.lag("_out").over(Window.orderBy("_b")).alias("_carry"))
+        rows = rows.join(F.broadcast(carry), "_b").withColumn("_m", F.when(F.col("_s") == 0, F.least("_m", "_carry")).otherwise(F.col("_m")))
+    of = rows.filter("_m is not null").select(F.col("_ts").alias("t"), F.col("_m").alias("cluster_id"))
+    return files.join(of, "t").select("file_name", "cluster_id")
 
 
 def attach(media: DataFrame, clusters: DataFrame, gap: timedelta = GAP, date: str = "date") -> tuple[DataFrame, DataFrame]:

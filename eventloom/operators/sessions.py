@@ -36,7 +36,7 @@ def gaps(media: DataFrame, *keys: str, date: str = "date", delta: str = "date_de
     free = F.col("cluster_id").isNull() if "cluster_id" in media.columns else F.lit(True)
     open_rows = media.filter(free & F.col(date).isNotNull())
     times = written(open_rows.groupBy(*keys, _us(F.col(date)).alias("_ts")).agg(F.min("file_name").alias("_first"), F.min(date).alias("_date")), "times")
-    rows, _ = _after_the_last(times, list(keys))
+    rows, _ = after_the_last(times, list(keys))
     before = rows.select(*keys, "_ts", "_first", "_date", F.timestamp_micros("_p").cast(media.schema[date].dataType).alias("_before"))
     out = _same(media.withColumn("_ts", F.when(free, _us(F.col(date)))), before, [*keys, "_ts"])
     same = Window.partitionBy(*keys, "_ts", "file_name").orderBy("file_name")  # one row, but for repeated names
@@ -45,13 +45,12 @@ def gaps(media: DataFrame, *keys: str, date: str = "date", delta: str = "date_de
     return out.withColumn(delta, F.when(F.col("_date").isNotNull(), since)).select(*media.columns, delta)
 
 
-def _after_the_last(times: DataFrame, keys: list[str]) -> tuple[DataFrame, list[int]]:
+def after_the_last(times: DataFrame, keys: list[str]) -> tuple[DataFrame, list[int]]:
     """Distinct times (keys, _ts, ...) with _b (range of the time) and _p (the key's time before); the ranges' bounds.
 
     A key's last time in a range comes to its next range as one row.
     """
-    parts = int(times.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lower = ranges.bounds(times, "_ts", min(parts, -(-times.count() // SINGLE_WINDOW_ROWS)))
+    lower = ranges.bounds(times, "_ts", -(-times.count() // SINGLE_WINDOW_ROWS))
     rows = times.withColumn("_b", ranges.bucket(F.col("_ts"), lower))
     spot = [*keys, "_b"] if lower else keys
     rows = rows.withColumn("_p", F.lag("_ts").over(Window.partitionBy(*spot).orderBy("_ts")))
@@ -133,7 +132,7 @@ def _numbers(free: DataFrame, keys: list[str], gap: timedelta, first_id: int, da
         F.min_by(unknown, F.col("file_name")).alias("first_unknown"), F.bool_or(unknown).alias("any_unknown")
     )
     times = written(times, "times")
-    rows, lower = _after_the_last(times.filter("_ts is not null"), keys)
+    rows, lower = after_the_last(times.filter("_ts is not null"), keys)
     spot = [*keys, "_b"] if lower else keys
     inside = Window.partitionBy(*spot).orderBy("_ts")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -197,7 +196,7 @@ def folder_stats(media: DataFrame, *keys: str, gap: timedelta = GAP, date: str =
     """
     # equal dates collapse to counts first; medians are read off running counts over ranges of dates
     counts = written(media.groupBy(*keys, F.col(date).alias("_t")).agg(F.count("*").alias("_n")).withColumn("_ts", _us(F.col("_t"))), "dates")
-    rows, lower = _after_the_last(counts.filter("_ts is not null"), list(keys))
+    rows, lower = after_the_last(counts.filter("_ts is not null"), list(keys))
     spot = [*keys, "_b"] if lower else list(keys)
     rows = rows.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*spot).orderBy("_ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     if lower:

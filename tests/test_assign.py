@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import assign, duplicates, naming
+from eventloom.operators import assign, duplicates, naming, sessions
 from eventloom.schemas import CLUSTERS
 from tests.test_sessions import EIGHT, MEDIA, at, table
 
@@ -58,22 +58,39 @@ def test_chain_overlap_and_limits(spark):
     assert got(assign.match(edge, one)) == {"a": 0}
 
 
-@pytest.mark.parametrize("single", [10**6, 30])
-def test_random_against_model(spark, single, monkeypatch):
-    monkeypatch.setattr(assign, "SINGLE_WINDOW_ROWS", single)
-    rnd = random.Random(single)
+@pytest.mark.parametrize("single,wide,far", [(10**6, 90, 6000), (30, 90, 6000), (7, 600, 1500), (7, 5, 9000), (25, 2, 2500)])
+def test_random_against_model(spark, single, wide, far, monkeypatch):
+    """Overlapping, chained and lone events; stretches within a range and over several."""
+    monkeypatch.setattr(sessions, "SINGLE_WINDOW_ROWS", single)
+    rnd = random.Random(single + wide)
     gap = timedelta(minutes=20)
     base = datetime(2020, 1, 1)
-    files = [(f"f{i:03d}", base + timedelta(minutes=rnd.randrange(6000))) for i in range(220)]
+    files = [(f"f{i:03d}", base + timedelta(minutes=rnd.randrange(far))) for i in range(220)]
     events = []
     for i in range(25):
-        s = base + timedelta(minutes=rnd.randrange(6000))
-        events.append((i, s, s + timedelta(minutes=rnd.randrange(90)), rnd.random() < 0.8))
+        s = base + timedelta(minutes=rnd.randrange(far))
+        events.append((i, s, s + timedelta(minutes=rnd.randrange(wide)), rnd.random() < 0.8))
     rnd.shuffle(events)
     found = got(assign.match(table(spark, files), library(spark, events), gap))
     assert found == model(files, events, gap)
 
 
+def test_one_stretch_over_many_ranges(spark, monkeypatch):
+    """No gap at all: the first event grows over everything until a lower one opens."""
+    monkeypatch.setattr(sessions, "SINGLE_WINDOW_ROWS", 100)
+    base = datetime(2020, 1, 1)
+    n = 20_000
+    files = spark.range(n).select(
+        F.format_string("f%06d", "id").alias("file_name"), (F.lit(base) + F.make_dt_interval(mins="id")).alias("date"), F.lit("UNKNOWN").alias("status")
+    )
+    at_minute = lambda m: base + timedelta(minutes=m)
+    lib = library(spark, [(5, at_minute(100), at_minute(101), True), (3, at_minute(15_000), at_minute(15_001), True), (9, at_minute(0), at_minute(n), True), (7, at_minute(50), at_minute(90), True)])
+    counts = {r.cluster_id: r.n for r in assign.match(files, lib, timedelta(minutes=2)).groupBy("cluster_id").agg(F.count("*").alias("n")).collect()}
+    assert counts == {9: 48, 7: 50, 5: 14_900, 3: 5_002}
+    plan = assign.match(files, lib, timedelta(minutes=2))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
 def test_missing_columns(spark):
     from eventloom.errors import MissingColumnError
 
