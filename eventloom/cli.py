@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("-c", "--use-existing-clusters", action="store_true", help="extend library events")
     i.add_argument("-r", "--restore-original-names", action="store_true", help="drop copy suffixes")
     i.add_argument("-g", "--gap-minutes", type=float, help="gap that separates events")
+    i.add_argument("--catalogue", help="folder of the table of library summaries, kept between imports")
     r = commands.add_parser("refresh", help="write libraries' event summaries")
     r.add_argument("-l", "--library", action="append", required=True, help="library folder (repeat for several)")
     r.add_argument("-f", "--force", action="store_true", help="also where a summary exists")
@@ -48,7 +49,7 @@ def configured(args: argparse.Namespace) -> conf.Config:
         no_operation=args.no_operation or None, copy=args.copy_mode or None, deep_scan=args.force_deep_scan or None,
         skip_duplicates=args.drop_duplicates or None, use_existing=args.use_existing_clusters or None,
         restore_names=args.restore_original_names or None,
-        gap=None if args.gap_minutes is None else timedelta(minutes=args.gap_minutes),
+        gap=None if args.gap_minutes is None else timedelta(minutes=args.gap_minutes), catalogue=args.catalogue,
     )
 
 

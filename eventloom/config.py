@@ -75,6 +75,8 @@ class Config:
     skip_duplicates: bool = False
     restore_names: bool = False
     seed: int = 0
+    #: Folder of the table of library summaries; None: ini files only.
+    catalogue: str | None = None
 
     @property
     def extensions(self) -> tuple[str, ...]:
@@ -137,6 +139,7 @@ _PARSERS = {
     "skip_duplicates": ("skip_duplicates", _flag),
     "restore_names": ("restore_names", _flag),
     "seed": ("seed", int),
+    "catalogue": ("catalogue", str),
 }
 
 

@@ -17,3 +17,11 @@ class MissingColumnError(KeyError):
 
     def __str__(self) -> str:
         return f"missing column: {self.column}"
+
+
+class CatalogueConflict(RuntimeError):
+    """Another writer has made this version of a catalogue meanwhile; read again and merge."""
+
+    def __init__(self, folder: str, version: int):
+        super().__init__(f"{folder}: version {version} exists already")
+        self.version = version

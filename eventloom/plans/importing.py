@@ -56,11 +56,12 @@ def run(spark: SparkSession, config: Config, execute: bool = True) -> Result:
 
     files = med.inbox(spark, config)
     media = written(files, "inbox")
-    known, bare = lib.clusters(spark, config)
+    tree = lib.scan(spark, list(config.libraries)) if config.libraries and (config.use_existing or config.skip_duplicates) else None
+    known, bare = lib.clusters(spark, config, tree=tree)
     known = written(known, "library")
     found = None
-    if config.skip_duplicates and config.libraries:
-        found = med.duplicates_of_files(media, lib.files(spark, list(config.libraries)))
+    if config.skip_duplicates and tree is not None:
+        found = med.duplicates_of_files(media, tree.files())
     done, every = organise(media.select(*MEDIA.names), known, config, found)
     done, every = written(done, "organised"), written(every, "clusters")
     taken = None

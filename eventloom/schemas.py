@@ -23,6 +23,10 @@ CLUSTERS = _struct(
     "cluster_id BIGINT, start_date TIMESTAMP_NTZ, end_date TIMESTAMP_NTZ, median TIMESTAMP_NTZ, is_continuous BOOLEAN, path STRING, "
     "target_path STRING, file_count BIGINT, new_file_count BIGINT"
 )
+CATALOGUE = _struct(
+    "root STRING, path STRING, signature STRING, start_date TIMESTAMP_NTZ, end_date TIMESTAMP_NTZ, median TIMESTAMP_NTZ, is_continuous BOOLEAN, "
+    "file_count BIGINT"
+)
 LISTING = _struct("path STRING, name STRING, parent STRING, size BIGINT, m_date TIMESTAMP_NTZ, c_date TIMESTAMP_NTZ, is_dir BOOLEAN, lib_idx INT")
 PLAN = _struct("seq BIGINT, op STRING, src STRING, dst STRING, reason STRING")
 

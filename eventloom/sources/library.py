@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import configparser
+import hashlib
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from eventloom.config import INI_NAME, Config
+from eventloom.config import INI_NAME, Config, Mode
+from eventloom.functions.media import is_supported
 from eventloom.functions.names import folder_type, parse_flag, relative_path
 from eventloom.operators.sessions import GAP, as_clusters, folder_stats
 from eventloom.runtime import ship, written
 from eventloom.schemas import CLUSTERS, empty
+from eventloom.sources.catalogue import Catalogue, signatures
 from eventloom.sources.listing import listing
 from eventloom.sources.media import media_table
 
@@ -21,17 +25,41 @@ SECTION = "Range"
 _KEYS = ("start_date", "end_date", "is_continuous", "median", "file_count")
 
 
-def folders(spark: SparkSession, libraries: list[str]) -> DataFrame:
-    """Every folder below the libraries: path, lib_idx, relative, folder_type."""
-    rows = listing(spark, libraries, recursive=True).filter("is_dir").select("path", "lib_idx")
+@dataclass(frozen=True)
+class Tree:
+    """What one listing of all libraries found: every file and folder below them, and the event folders (path, lib_idx)."""
+
+    rows: DataFrame
+    events: DataFrame
+    libraries: tuple[str, ...]
+
+    def files(self) -> DataFrame:
+        """Files whose name has a dot, of any type."""
+        return self.rows.filter("not is_dir and name like '%.%'")
+
+
+def scan(spark: SparkSession, libraries: list[str]) -> Tree:
+    """List all libraries once; imports hand this on to whatever looks at them."""
+    rows = listing(spark, libraries, recursive=True)
+    events = _labelled(spark, rows, libraries).filter("folder_type = 'event'").select("path", "lib_idx")
+    return Tree(rows, events, tuple(map(os.fspath, libraries)))
+
+
+def _labelled(spark: SparkSession, rows: DataFrame, libraries: list[str]) -> DataFrame:
     roots = spark.createDataFrame([(i, os.fspath(r)) for i, r in enumerate(libraries)], "lib_idx int, root string")
-    labelled = rows.join(F.broadcast(roots), "lib_idx").withColumn("relative", relative_path(F.col("path"), F.col("root"))).drop("root")
+    inner = rows.filter("is_dir").select("path", "lib_idx").join(F.broadcast(roots), "lib_idx")
+    labelled = inner.withColumn("relative", relative_path(F.col("path"), F.col("root"))).drop("root")
     return labelled.withColumn("folder_type", folder_type(F.col("relative")))
 
 
+def folders(spark: SparkSession, libraries: list[str]) -> DataFrame:
+    """Every folder below the libraries: path, lib_idx, relative, folder_type."""
+    return _labelled(spark, listing(spark, libraries, recursive=True), libraries)
+
+
 def files(spark: SparkSession, libraries: list[str]) -> DataFrame:
     """Every file below the libraries whose name has a dot, of any type."""
-    return listing(spark, libraries, recursive=True).filter("not is_dir and name like '%.%'")
+    return scan(spark, libraries).files()
 
 
 def _ini_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,51 +114,98 @@ def write_ini(summary: DataFrame) -> None:
     ini_values(summary).foreachPartition(_write)
 
 
-def summaries(spark: SparkSession, config: Config, gap=GAP) -> tuple[DataFrame, DataFrame]:
-    """(summaries of event folders with media, event folders without any file), all libraries in one scan."""
-    libraries = list(config.libraries)
-    events = folders(spark, libraries).filter("folder_type = 'event'").select("path", "lib_idx")
-    everything = listing(spark, libraries, recursive=True).filter("not is_dir")
-    inside = everything.join(events.select(F.col("path").alias("parent")), "parent", "left_semi")
-    media = media_table(inside, config)
-    stats = folder_stats(media, "parent", gap=gap).select(
+def decoded(tree: Tree, events: DataFrame, config: Config, gap=GAP) -> DataFrame:
+    """(path, start_date, end_date, median, is_continuous, file_count) of those of ``events`` (path) that hold media, from the files."""
+    inside = tree.rows.filter("not is_dir").join(events.select(F.col("path").alias("parent")), "parent", "left_semi")
+    return folder_stats(media_table(inside, config), "parent", gap=gap).select(
         F.col("parent").alias("path"), F.col("date_start").alias("start_date"), F.col("date_stop").alias("end_date"), "median",
         F.col("is_time_consistent").alias("is_continuous"), "file_count",
     )
-    bare = events.join(everything.filter(F.col("name") != INI_NAME).select(F.col("parent").alias("path")).distinct(), "path", "left_anti")
-    return stats.join(events, "path"), bare.select("path")
 
 
-def clusters(spark: SparkSession, config: Config, gap=GAP) -> tuple[DataFrame, DataFrame]:
+def bare(tree: Tree) -> DataFrame:
+    """(path) of event folders without any file but an ini file."""
+    held = tree.rows.filter(~F.col("is_dir") & (F.col("name") != INI_NAME)).select(F.col("parent").alias("path")).distinct()
+    return tree.events.join(held, "path", "left_anti").select("path")
+
+
+def stale(tree: Tree, inis: DataFrame, config: Config) -> DataFrame:
+    """(path) of ``inis`` (path, file_count) that don't fit their folder: a media file is younger, or their number differs."""
+    media = tree.rows.filter(~F.col("is_dir") & is_supported(F.col("name"), config.image_extensions, config.video_extensions))
+    own = tree.rows.filter(~F.col("is_dir") & (F.col("name") == INI_NAME)).select(F.col("parent").alias("path"), F.greatest("m_date", "c_date").alias("_made"))
+    held = media.groupBy(F.col("parent").alias("path")).agg(F.count("*").alias("_n"), F.max("m_date").alias("_last"))
+    seen = inis.select("path", "file_count").join(own, "path", "left").join(held, "path", "left")
+    differs = ~F.col("file_count").eqNullSafe(F.coalesce("_n", F.lit(0)))
+    return seen.filter(differs | F.coalesce(F.col("_last") > F.col("_made"), F.lit(False))).select("path")
+
+
+def summaries(tree: Tree, config: Config, gap=GAP) -> DataFrame:
+    """(path, lib_idx, start_date, end_date, median, is_continuous, file_count) of the libraries' event folders.
+
+    Files are opened of those folders only that nothing else tells about.  Without a catalogue, inis
+    are taken as they are; with one, its rows hold as long as a folder's names, sizes and times
+    are what they were, then inis that aren't stale, and what was found makes a new
+    version (not in a dry run).  ``deep_scan`` decodes everything.
+    """
+    spark = tree.rows.sparkSession
+    events = tree.events
+    columns = ("path", "start_date", "end_date", "median", "is_continuous", "file_count")
+    if config.catalogue is None:
+        if config.deep_scan:
+            return decoded(tree, events, config, gap).join(events, "path")
+        known = written(read_ini(events).select(*columns), "inis")
+        fresh = decoded(tree, events.join(known.select("path"), "path", "left_anti"), config, gap)
+        return known.unionByName(fresh.select(*columns)).join(events, "path")
+    table = Catalogue(spark, config.catalogue)
+    version = table.version()
+    held = table.read(version)
+    settings = hashlib.md5(repr((gap, config.image_extensions, config.video_extensions)).encode()).hexdigest()
+    signed = written(signatures(events, tree.rows.filter(~F.col("is_dir") & (F.col("name") != INI_NAME)), settings), "signed-folders")
+    hits = held.join(signed.select("path", "signature"), ["path", "signature"], "left_semi")
+    if config.deep_scan:
+        hits = hits.limit(0)
+    rest = signed.join(hits.select("path"), "path", "left_anti")
+    if config.deep_scan:
+        known = hits.select(*columns)
+    else:
+        inis = written(read_ini(rest).select(*columns), "inis")
+        known = inis.join(stale(tree, inis, config), "path", "left_anti")
+    fresh = decoded(tree, rest.join(known.select("path"), "path", "left_anti"), config, gap)
+    roots = spark.createDataFrame(list(enumerate(tree.libraries)), "lib_idx int, root string")
+    found = known.unionByName(fresh.select(*columns)).join(signed, "path").join(F.broadcast(roots), "lib_idx")
+    # folders of other libraries stay as they are; those that are gone here don't
+    others = held.join(F.broadcast(roots.select("root")), "root", "left_anti")
+    now = written(others.unionByName(hits).unionByName(found.select(*held.columns)), "catalogue")
+    if config.mode is not Mode.NOP and not now.exceptAll(held).unionByName(held.exceptAll(now)).isEmpty():
+        table.commit(now, version)
+    return now.join(events, "path").select(*columns, "lib_idx")
+
+
+def clusters(spark: SparkSession, config: Config, gap=GAP, tree: Tree | None = None) -> tuple[DataFrame, DataFrame]:
     """(cluster table of all libraries, empty event folders); ids ascend from 0 by library and path.
 
-    Ini files are taken as they are unless ``deep_scan``; nothing is written. Without libraries,
+    See ``summaries`` for where they come from; the libraries aren't written to.  Without libraries,
     or when neither duplicates nor existing events are asked for, both are empty.
     """
     none = empty(spark, CLUSTERS)
     if not config.libraries or not (config.use_existing or config.skip_duplicates):
         return none, none.select("path")
-    fresh, bare = summaries(spark, config, gap)
-    if not config.deep_scan:
-        events = folders(spark, list(config.libraries)).filter("folder_type = 'event'").select("path", "lib_idx")
-        kept = read_ini(events).join(events, "path")
-        fresh = kept.unionByName(fresh.join(kept.select("path"), "path", "left_anti"))
+    tree = tree or scan(spark, list(config.libraries))
     # sorted in ranges; each range is numbered by itself, after what stands in those before it (one row a range)
-    ranged = written(fresh.orderBy("lib_idx", "path").withColumn("_b", F.spark_partition_id()), "library-events")
+    ranged = written(summaries(tree, config, gap).orderBy("lib_idx", "path").withColumn("_b", F.spark_partition_id()), "library-events")
     before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
     ahead = ranged.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", before.alias("_before"))
     number = F.row_number().over(Window.partitionBy("_b").orderBy("lib_idx", "path")) - 1
-    return as_clusters(ranged.withColumn("_i", number).join(ahead, "_b").withColumn("cluster_id", F.col("_i") + F.col("_before"))), bare
+    return as_clusters(ranged.withColumn("_i", number).join(ahead, "_b").withColumn("cluster_id", F.col("_i") + F.col("_before"))), bare(tree)
 
 
 def refresh(spark: SparkSession, libraries: list[str], config: Config, force: bool = True) -> DataFrame:
     """Write the ini files of the libraries' event folders (those that lack one, unless ``force``); the summaries written."""
-    from dataclasses import replace
-
-    config = replace(config, libraries=tuple(libraries))
-    fresh, _ = summaries(spark, config)
-    if not force:
-        known = read_ini(fresh.select("path")).select("path")
-        fresh = fresh.join(known, "path", "left_anti")
+    config = replace(config, libraries=tuple(libraries), deep_scan=force, catalogue=None)
+    tree = scan(spark, libraries)
+    events = tree.events
+    if not force:  # folders with an ini aren't opened
+        events = events.join(written(read_ini(events).select("path"), "inis"), "path", "left_anti")
+    fresh = written(decoded(tree, events, config), "fresh-summaries")
     write_ini(fresh)
     return fresh

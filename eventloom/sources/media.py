@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from eventloom.config import Config, Status
 from eventloom.functions import decode
 from eventloom.functions.media import exif_timestamp, is_image, is_supported, quicktime_timestamp, resolve_date
-from eventloom.runtime import ship
+from eventloom.runtime import ship, written
 from eventloom.schemas import MEDIA
 from eventloom.sources.listing import listing
 
@@ -103,7 +103,7 @@ def duplicates_of_files(found: DataFrame, library: DataFrame) -> DataFrame:
 
     left = found.select("file_name", "path", "size").join(library.select("size").distinct(), "size", "left_semi")
     right = library.select("path", "size", "lib_idx").join(found.select("size").distinct(), "size", "left_semi")
-    left, right = (with_hash(x, "md5", PARTIAL_BYTES, "part") for x in (left, right))
+    left, right = (written(with_hash(x, "md5", PARTIAL_BYTES, "part"), "heads") for x in (left, right))  # both are needed twice, and read once
     near = ["size", "part"]
     left2 = with_hash(left.join(right.select(*near).distinct(), near, "left_semi"), out="full")
     right2 = with_hash(right.join(left.select(*near).distinct(), near, "left_semi"), out="full")

@@ -11,6 +11,7 @@ from eventloom import cli, config as conf
 from eventloom.functions import decode
 from eventloom.plans import importing
 from eventloom.sources import library as lib, media as med
+from eventloom.sources.catalogue import Catalogue
 from eventloom.sources.listing import listing
 
 
@@ -227,3 +228,80 @@ def test_config_items_and_older_names():
         c["nothing"] = 1
     changed = conf.override_config_with_cli_params(c, inbox_dir="in", watch_dir_list=["a"], drop_duplicates=True, copy_mode=None)
     assert (changed.inbox, changed.libraries, changed.skip_duplicates, changed.mode) == ("in", ("a",), True, c.mode)
+
+
+def disguised(path, data):
+    """Other bytes of the same length under the same times: what only a reader of the file would notice."""
+    old = os.stat(path)
+    assert len(data) == old.st_size
+    path.write_bytes(data)
+    os.utime(path, ns=(old.st_atime_ns, old.st_mtime_ns))
+
+
+def test_catalogue_spares_unchanged_folders(spark, world, tmp_path):
+    shelf = world[2]
+    put(shelf / "2020" / "[2020_05_05]_two" / "a.jpg", jpeg()[0], datetime(2020, 5, 5))
+    put(shelf / "2020" / "[2020_06_06]_three" / "b.jpg", jpeg()[0], datetime(2020, 6, 6))
+    config = configured(world, use_existing=True, catalogue=str(tmp_path / "table"))
+    seen = lambda c=config: {r.path.rsplit("_", 1)[1]: (r.start_date, r.file_count) for r in lib.clusters(spark, c)[0].collect()}
+    table = Catalogue(spark, config.catalogue)
+    assert table.version() == 0 and table.read().count() == 0
+    dry = conf.override(config, no_operation=True)
+    first = seen(dry)
+    assert table.version() == 0  # a dry run writes no version
+    assert first["two"] == first["three"] == (datetime(2018, 5, 6, 7, 8, 9), 1) and seen() == first and table.version() == 1
+    other = jpeg(b"2019:09:09 09:09:09\x00")[0]
+    disguised(shelf / "2020" / "[2020_05_05]_two" / "a.jpg", other)
+    disguised(shelf / "2020" / "[2020_06_06]_three" / "b.jpg", other)
+    assert seen() == first and table.version() == 1  # no file was opened, nothing was written
+    put(shelf / "2020" / "[2020_05_05]_two" / "c.jpg", jpeg()[0], datetime(2020, 5, 6))
+    now = seen()
+    assert now == first | {"two": (datetime(2018, 5, 6, 7, 8, 9), 2)} and table.version() == 2
+    rows = {r.path.rsplit("_", 1)[1]: r.end_date for r in table.read().collect()}
+    assert rows["two"].year == 2019 and rows["three"].year == 2018  # the changed folder was opened, the other one not
+    assert seen(conf.override(config, deep_scan=True))["three"] == (datetime(2019, 9, 9, 9, 9, 9), 1)
+    (shelf / "2020" / "[2020_05_05]_two" / "a.jpg").unlink()
+    (shelf / "2020" / "[2020_05_05]_two" / "c.jpg").unlink()
+    assert "two" not in seen() and table.versions() == [3, 4]
+
+
+def test_inis_with_a_catalogue(spark, world, tmp_path):
+    """An ini is taken where it fits its folder; a stale one is found."""
+    event = world[2] / "2020" / "[2020_01_10]_ev"
+    text = "[Range]\nstart_date = 2001-01-01 12:00:00\nend_date = 2001-01-02 12:00:00\nis_continuous = True\nmedian = 2001-01-01 18:00:00\nfile_count = {}\n"
+    years = lambda c: [r.start_date.year for r in lib.clusters(spark, c)[0].collect()]
+    plain = configured(world, use_existing=True)
+    (event / ".cluster.ini").write_text(text.format(7))
+    tree = lib.scan(spark, [str(world[2])])
+    assert lib.stale(tree, lib.read_ini(tree.events), plain).count() == 1
+    assert years(plain) == [2001]  # without a catalogue it holds as it is
+    assert years(conf.override(plain, catalogue=str(tmp_path / "a"))) == [2020]
+    (event / ".cluster.ini").write_text(text.format(2))
+    assert years(conf.override(plain, catalogue=str(tmp_path / "b"))) == [2001]
+    put(event / "a.jpg", b"first", datetime.now() + timedelta(days=1))
+    assert years(conf.override(plain, catalogue=str(tmp_path / "c"))) == [2020]
+
+
+def test_inis_spare_decoding(spark, world):
+    event = world[2] / "2020" / "[2020_01_10]_ev"
+    lib.refresh(spark, [str(world[2])], configured(world))
+    media = lib.decoded(lib.scan(spark, [str(world[2])]), spark.createDataFrame([], "path string"), configured(world))
+    assert media.count() == 0
+    disguised(event / "a.jpg", b"other")
+    assert lib.refresh(spark, [str(world[2])], configured(world), force=False).count() == 0
+    assert lib.refresh(spark, [str(world[2])], configured(world)).count() == 1
+
+
+def test_catalogue_of_several_writers(spark, tmp_path):
+    from eventloom.errors import CatalogueConflict
+    from eventloom.schemas import CATALOGUE
+
+    table = Catalogue(spark, str(tmp_path / "table"))
+    day = datetime(2020, 1, 1)
+    rows = lambda n: spark.createDataFrame([("/lib", f"/lib/{i}", "s", day, day, day, True, i) for i in range(n)], CATALOGUE)
+    assert table.commit(rows(1), 0) == 1 and table.commit(rows(2), 1) == 2
+    with pytest.raises(CatalogueConflict):
+        table.commit(rows(9), 1)  # made from a version that isn't the latest
+    assert table.read().count() == 2 and table.read(1).count() == 1
+    table.commit(rows(3), 2)
+    assert table.versions() == [2, 3] and sorted(p.name for p in (tmp_path / "table").iterdir()) == ["v0000000002", "v0000000003"]
