@@ -1,4 +1,4 @@
-"""A versioned table of folder summaries, so that unchanged folders are never decoded again.
+"""Versioned tables, and the one of folder summaries, so that unchanged folders are never decoded again.
 
 Each version is a Parquet snapshot in a folder of its own.  A new one is written beside the others
 and becomes visible by one rename that fails if somebody else took the number: readers see whole
@@ -12,6 +12,7 @@ import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from eventloom.errors import CatalogueConflict
 from eventloom.schemas import CATALOGUE, empty
@@ -19,11 +20,11 @@ from eventloom.schemas import CATALOGUE, empty
 _VERSION = re.compile(r"v(\d{10})")
 
 
-class Catalogue:
-    """Versions under ``folder``, a path of any file system that Spark writes to."""
+class Versions:
+    """Versions of a table under ``folder``, a path of any file system that Spark writes to."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType):
+        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
 
     def _path(self, *names: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *names]))
@@ -45,13 +46,13 @@ class Catalogue:
         """The latest version, or another one that is still kept; an empty table if there is none."""
         version = self.version() if version is None else version
         if not version:
-            return empty(self.spark, CATALOGUE)
-        return self.spark.read.schema(CATALOGUE).parquet(f"{self.folder}/v{version:010d}")
+            return empty(self.spark, self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{version:010d}")
 
     def commit(self, table: DataFrame, after: int, keep: int = 2) -> int:
         """Make ``table`` the version that follows ``after``; the number. Versions older than the last ``keep`` go."""
         name = f"_new-{uuid.uuid4().hex}"
-        table.select(*CATALOGUE.names).write.parquet(f"{self.folder}/{name}")
+        table.select(*self.schema.names).write.parquet(f"{self.folder}/{name}")
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path().toUri(), conf)
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
@@ -69,6 +70,13 @@ class Catalogue:
         return after + 1
 
 
+class Catalogue(Versions):
+    """Versions of the summaries of library folders."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__(spark, folder, CATALOGUE)
+
+
 def signatures(events: DataFrame, files: DataFrame, settings: str = "") -> DataFrame:
     """``events`` (path, ...) with ``signature``: of names, sizes and times (whole seconds) of the files right in each.
 

@@ -1,0 +1,98 @@
+"""Streams: clustering with state, incremental imports."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+
+from eventloom.config import load, override
+from eventloom.operators import sessions
+from eventloom.plans import importing
+from eventloom.schemas import MEDIA
+from eventloom.streaming import clustering
+from eventloom.streaming.imports import IncrementalImport
+
+BASE = datetime(2020, 1, 1)
+SCHEMA = "user_id long, file_name string, date timestamp, status string"
+
+
+def feed(spark, folder, number, rows, schema=SCHEMA):
+    """A file of a stream; later numbers are younger."""
+    import os
+
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/tmp-{number}")
+    part = next(p for p in os.listdir(f"{folder}/tmp-{number}") if p.endswith(".parquet"))
+    os.makedirs(f"{folder}/in", exist_ok=True)
+    os.rename(f"{folder}/tmp-{number}/{part}", f"{folder}/in/{number:04d}.parquet")
+    os.utime(f"{folder}/in/{number:04d}.parquet", (1_600_000_000 + number, 1_600_000_000 + number))
+
+
+@pytest.fixture
+def state_store(spark):
+    for k, v in clustering.STATE_STORE.items():
+        spark.conf.set(k, v)
+    yield
+    for k in clustering.STATE_STORE:
+        spark.conf.unset(k)
+
+
+def test_stream_gives_the_numbers_of_a_batch(spark, tmp_path, state_store):
+    """Late rows, duplicates that bridge or take a gap, equal times, no dates, a restart."""
+    rnd = random.Random(4)
+    rows = []
+    for i in range(160):
+        date = BASE + timedelta(minutes=rnd.randrange(3000)) if rnd.random() < 0.95 else None
+        rows.append((rnd.randrange(3), f"f{i:03d}", date, "DUPLICATE" if rnd.random() < 0.2 else "UNKNOWN"))
+    rows += [(7, "only", None, "UNKNOWN"), (8, "dup", BASE, "DUPLICATE"), (8, "dup2", None, "DUPLICATE")]
+    # a row comes up to 20 hours after younger ones
+    order = sorted(rows, key=lambda r: (r[2] or BASE) + timedelta(hours=20 * rnd.random()))
+    parts = [order[i : i + 30] for i in range(0, len(order), 30)]
+    far = [(99, "end", BASE + timedelta(days=300), "UNKNOWN")]
+    folder = str(tmp_path)
+
+    def run():
+        source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        stream = clustering.cluster(source, "user_id", gap=timedelta(minutes=20))
+        q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    for i, part in enumerate(parts[:3]):
+        feed(spark, folder, i, part)
+    run()
+    for i, part in enumerate([*parts[3:], far, [(99, "end2", BASE + timedelta(days=400), "UNKNOWN")]], 3):
+        feed(spark, folder, i, part)
+    run()  # from the checkpoint
+    got = {(r.user_id, r.file_name): (r.cluster_id, r.status) for r in spark.read.parquet(f"{folder}/out").collect() if r.user_id != 99}
+    batch = sessions.cluster(spark.createDataFrame(rows, SCHEMA), "user_id", gap=timedelta(minutes=20))
+    assert got == {(r.user_id, r.file_name): (r.cluster_id, r.status) for r in batch.collect()}
+    with pytest.raises(ValueError):
+        clustering.cluster(spark.createDataFrame(rows, SCHEMA))
+
+
+def _media(rows):
+    values = dict.fromkeys(MEDIA.names)
+    return [tuple((values | {"file_name": n, "date": d, "status": "UNKNOWN", "is_image": True}).values()) for n, d in rows]
+
+
+def test_batches_give_what_one_import_gives(spark, tmp_path):
+    rnd = random.Random(9)
+    files = sorted(((f"f{i:03d}.jpg", BASE + timedelta(minutes=rnd.randrange(1500))) for i in range(70)), key=lambda x: x[1])
+    config = override(load(True), outbox=str(tmp_path / "out"), libraries=["/lib"], use_existing=True, gap=timedelta(minutes=15))
+    whole, events = importing.organise(spark.createDataFrame(_media(files), MEDIA), importing.nothing(spark), config)
+    own = IncrementalImport(spark, str(tmp_path / "import"), config)
+    cuts = [0, 25, 26, 50, 70]
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(MEDIA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        feed(spark, str(tmp_path), i, _media(files[a:b]), MEDIA)
+        if i % 2:
+            own.start(source, availableNow=True).awaitTermination()
+    assert own.events.version() == 4
+    got = {r.file_name: r.cluster_id for r in own.media().collect()}
+    assert got == {r.file_name: r.cluster_id for r in whole.collect()}
+    shape = lambda df: sorted((r.cluster_id, r.start_date, r.end_date) for r in df.collect())
+    assert shape(own.clusters()) == shape(events)
+    assert sum(r.file_count for r in own.clusters().collect()) == 70
+    before = own.clusters().collect()
+    own.take(spark.createDataFrame(_media(files[50:]), MEDIA), 3)  # a batch that runs again
+    assert own.events.version() == 4 and own.clusters().collect() == before and own.media().count() == 70
