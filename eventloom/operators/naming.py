@@ -59,32 +59,46 @@ def resolved_names(media: DataFrame, restore: bool, taken: DataFrame | None = No
     Without ``restore`` every file keeps its name.  With it, a copy suffix is dropped where the
     plain name is free in the folder, case-insensitively: originals come first, then copies by
     name; names in ``taken`` (target_path, name: what is on disk) are not free.  A copy whose
-    plain name is, in the end, another file's kept name goes back to its own.
+    plain name is, in the end, another file's kept name keeps its own.  (What else is on disk
+    under a name that is kept is for the plan to see, which then leaves that file where it is.)
     """
     rows = media.select("file_name", "target_path")
     if not restore:
         return rows.withColumn("dst_name", F.col("file_name"))
     rows = written(rows.withColumn("_want", strip_copy_suffix(F.col("file_name"))), "wanted-names")  # nested, the expression is too long to compile
-    rows = rows.withColumn("_copy", F.col("_want") != F.col("file_name"))
-    key = ["target_path", F.lower("_want")]
-    plain = rows
-    first = F.row_number().over(Window.partitionBy(*key).orderBy("_copy", "file_name")) == 1
-    rows = rows.withColumn("_first", first)
+    rows = rows.withColumn("_copy", F.col("_want") != F.col("file_name")).withColumn("_key", F.lower("_want"))
+    first = F.row_number().over(Window.partitionBy("target_path", "_key").orderBy("_copy", "file_name")) == 1
+    rows = rows.withColumn("_may", F.col("_copy") & first)
     if taken is not None:
-        disk = taken.select(F.col("target_path").alias("_t"), F.lower("name").alias("_k")).distinct()
-        rows = rows.join(disk, (F.col("target_path") == F.col("_t")) & (F.lower("_want") == F.col("_k")), "left").withColumn("_free", F.col("_k").isNull())
-    else:
-        rows = rows.withColumn("_free", F.lit(True))
-    rows = rows.withColumn("dst_name", F.when(F.col("_copy") & F.col("_first") & F.col("_free"), F.col("_want")).otherwise(F.col("file_name")))
-    rows = rows.select("file_name", "target_path", "dst_name")
-    # only a plain name that has a copy suffix itself can be another copy's kept name
-    back = not plain.filter(strip_copy_suffix(F.col("_want")) != F.col("_want")).isEmpty()
-    while back:  # each step gives back one level of suffixes, until no restored name is taken
-        same = F.count("*").over(Window.partitionBy("target_path", F.lower("dst_name")))
-        rows = written(rows.withColumn("_back", (same > 1) & (F.col("dst_name") != F.col("file_name"))), "names")
-        back = not rows.filter("_back").isEmpty()
-        rows = rows.select("file_name", "target_path", F.when(F.col("_back"), F.col("file_name")).otherwise(F.col("dst_name")).alias("dst_name"))
-    return rows
+        disk = taken.select("target_path", F.lower("name").alias("_key")).distinct().withColumn("_held", F.lit(True))
+        rows = rows.join(disk, ["target_path", "_key"], "left").withColumn("_may", F.col("_may") & F.col("_held").isNull()).drop("_held")
+    rows = written(rows.withColumn("_id", F.monotonically_increasing_id()), "names")
+    kept = _kept(rows)
+    if kept is not None:
+        rows = rows.join(kept.withColumn("_keeps", F.lit(True)), "_id", "left").withColumn("_may", F.col("_may") & F.col("_keeps").isNull())
+    return rows.select("file_name", "target_path", F.when(F.col("_may"), F.col("_want")).otherwise(F.col("file_name")).alias("dst_name"))
+
+
+def _kept(rows: DataFrame) -> DataFrame | None:
+    """(_id) of the rows that may take their plain name (_may) but for another row that keeps that name; None: there is none.
+
+    A row's plain name can be the name of another row, which may lose it in turn: chains, at whose
+    end a row takes a name that nobody has, or one keeps its own.  A row takes its plain name if
+    all rows of its chain do.  Found by pointer doubling over those rows only.
+    """
+    names = rows.select("target_path", F.lower("file_name").alias("_key"), F.col("_id").alias("_to"), F.col("_may").alias("_moves"))
+    met = rows.filter("_may").select("_id", "target_path", "_key").join(names, ["target_path", "_key"]).filter("_id <> _to")
+    # of several rows of one name (but for case) one at most can move
+    links = written(met.groupBy("_id").agg(F.min("_to").alias("_to"), ((F.count("*") == 1) & F.bool_and("_moves")).alias("_ok")), "name-links")
+    if links.isEmpty():
+        return None
+    while True:
+        ahead = links.select(F.col("_id").alias("_to"), F.col("_to").alias("_next"), F.col("_ok").alias("_then"))
+        joined = links.filter("_ok and _to is not null").join(ahead, "_to", "left")
+        moved = joined.select("_id", F.col("_next").alias("_to"), F.coalesce("_then", F.lit(True)).alias("_ok"))
+        links = written(moved.unionByName(links.filter("not (_ok and _to is not null)")), "name-links")
+        if links.filter("_ok and _to is not null").isEmpty():
+            return links.filter("not _ok").select("_id")
 
 
 def one_per_group(items: DataFrame, group: str, name: Column, cap: int = 10, seed: int = 0) -> DataFrame:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import os
-import shutil
 
 from pyspark.sql import DataFrame, functions as F
 
 from eventloom.config import Mode
 from eventloom.errors import MissingTargetError
 from eventloom.operators.naming import resolved_names
+from eventloom.plans.file_sink import Outcome, carry_out
 from eventloom.runtime import ship
 
 SKIP_REASON = "NOP mode"
+TAKEN_REASON = "destination exists"
 
 
 def _joined(*parts):
@@ -23,7 +24,8 @@ def build(media: DataFrame, inbox: str, outbox: str, mode: Mode, restore: bool =
     """Rows (seq, op, src, dst, reason): mkdir of every target once, then one copy or move a file.
 
     A dry run has one skip a file and looks at no target.  A file without a target is an
-    error.  seq ascends in plan order and has holes: no task sees the whole plan.
+    error.  A file whose destination is on disk (``taken``: target_path, name; whatever the case) is
+    skipped with that reason: nothing that a folder holds is ever overwritten.  seq ascends in plan order and has holes: no task sees the whole plan.
     """
     none = F.lit(None).cast("string")
     source = _joined(F.lit(inbox), F.col("file_name"))
@@ -36,7 +38,13 @@ def build(media: DataFrame, inbox: str, outbox: str, mode: Mode, restore: bool =
         folder = _joined(F.lit(outbox), F.col("target_path"))
         made = media.select("target_path").distinct().select(F.lit("mkdir").alias("op"), none.alias("src"), folder.alias("dst"), none.alias("reason"), F.lit(0).alias("phase"), F.col("target_path").alias("k"))
         act = "copy" if mode is Mode.COPY else "move"
-        files = names.select(F.lit(act).alias("op"), source.alias("src"), F.concat_ws("/", folder, F.col("dst_name")).alias("dst"), none.alias("reason"), F.lit(1).alias("phase"), F.col("file_name").alias("k"))
+        held = F.lit(False)
+        if taken is not None:
+            disk = taken.select("target_path", F.lower("name").alias("_key")).distinct().withColumn("_held", F.lit(True))
+            names = names.withColumn("_key", F.lower("dst_name")).join(disk, ["target_path", "_key"], "left")
+            held = F.col("_held").isNotNull()
+        what, why = F.when(held, "skip").otherwise(act), F.when(held, TAKEN_REASON)
+        files = names.select(what.alias("op"), source.alias("src"), F.concat_ws("/", folder, F.col("dst_name")).alias("dst"), why.alias("reason"), F.lit(1).alias("phase"), F.col("file_name").alias("k"))
         rows = made.unionByName(files)
     return rows.orderBy("phase", "k", "dst").select(F.monotonically_increasing_id().alias("seq"), "op", "src", "dst", "reason")
 
@@ -61,22 +69,12 @@ def _make_folders(rows) -> None:
         os.makedirs(r.dst, exist_ok=True)
 
 
-def _carry_out(rows) -> None:
-    for r in rows:
-        if r.op == "copy":
-            part = f"{r.dst}.part-{os.getpid()}"
-            shutil.copy2(r.src, part)
-            os.replace(part, r.dst)
-        elif r.op == "move" and os.path.exists(r.src):  # a task that runs again finds it moved
-            shutil.move(r.src, r.dst)
-
-
-def execute(plan: DataFrame) -> None:
-    """Make the folders, then copy or move on the executors, which must see both folders.
+def execute(plan: DataFrame, outbox: str | None = None) -> Outcome:
+    """Make the folders, then copy or move on the executors, which must see both folders; skips do nothing.
 
-    Safe to run again: a copy replaces its destination by a rename, a file that has been moved is
-    left alone.  Skips do nothing.
+    Safe to run again and beside itself, see ``file_sink``; ``outbox`` holds the journal of a run
+    that is under way.
     """
     ship(plan.sparkSession)
     plan.filter("op = 'mkdir'").select("dst").foreachPartition(_make_folders)
-    plan.filter("op in ('copy', 'move')").foreachPartition(_carry_out)
+    return carry_out(plan.filter("op in ('copy', 'move')"), outbox)

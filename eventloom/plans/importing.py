@@ -11,6 +11,7 @@ from eventloom.operators import assign, duplicates, naming, sessions
 from eventloom.plans import file_plan
 from eventloom.runtime import written
 from eventloom.schemas import CLUSTERS, MEDIA, empty
+from eventloom.sources.listing import entries_of
 
 
 @dataclass(frozen=True)
@@ -64,23 +65,19 @@ def run(spark: SparkSession, config: Config, execute: bool = True) -> Result:
         found = med.duplicates_of_files(media, tree.files())
     done, every = organise(media.select(*MEDIA.names), known, config, found)
     done, every = written(done, "organised"), written(every, "clusters")
-    taken = None
-    if config.restore_names and config.mode is not Mode.NOP:
-        taken = _on_disk(spark, config, done)
+    taken = None if config.mode is Mode.NOP else _on_disk(config, done)
     plan = file_plan.build(done, config.inbox, config.outbox, config.mode, config.restore_names, taken)
     plan = written(plan, "plan")
     if execute and config.mode is not Mode.NOP:
-        file_plan.execute(plan)
+        file_plan.execute(plan, config.outbox)
     return Result(done, known, every, plan, bare)
 
 
-def _on_disk(spark: SparkSession, config: Config, media: DataFrame) -> DataFrame:
-    """(target_path, name) of files that the target folders hold already."""
-    from eventloom.sources.listing import listing
-
+def _on_disk(config: Config, media: DataFrame) -> DataFrame:
+    """(target_path, name) of what stands in the target folders of ``media`` already; no other folder is looked at."""
     root = config.outbox.rstrip("/") + "/"
-    held = listing(spark, [config.outbox], recursive=True).filter("not is_dir")
-    return held.select(F.substring(F.col("parent"), len(root) + 1, 1 << 30).alias("target_path"), "name")
+    targets = media.filter("target_path is not null").select(F.concat(F.lit(root), "target_path").alias("path"))
+    return written(entries_of(targets).select(F.substring(F.col("parent"), len(root) + 1, 1 << 30).alias("target_path"), "name"), "on-disk")
 
 
 def nothing(spark: SparkSession) -> DataFrame:

@@ -12,7 +12,7 @@ import os
 from datetime import datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BooleanType, StructField, StructType
 
@@ -50,7 +50,7 @@ def _entries(i: int, folder: str):
     """(row of LISTING, whether it is a folder to go down into) of every entry; what is gone meanwhile is left out."""
     try:
         entries = sorted(os.scandir(folder), key=lambda e: e.name)
-    except FileNotFoundError:
+    except (FileNotFoundError, NotADirectoryError):
         return
     for e in entries:
         try:
@@ -83,6 +83,14 @@ class ListingSource(DataSource):
         return _Reader(self.options)
 
 
+def entries_of(folders: DataFrame) -> DataFrame:
+    """Rows of LISTING of what is right in the ``folders`` (path), listed by tasks; missing ones give none."""
+    ship(folders.sparkSession)
+    schema = StructType([*LISTING.fields, StructField("down", BooleanType())])
+    rows = written(folders.select("path", F.lit(0).alias("lib_idx")).distinct(), "folders")
+    return rows.repartition(max(1, -(-rows.count() // FOLDERS_A_TASK))).mapInArrow(_level, schema).drop("down")
+
+
 def listing(spark: SparkSession, roots: list[str], recursive: bool = False) -> DataFrame:
     """Rows of LISTING for files and folders in ``roots`` (below them too, if recursive); missing roots give none."""
     ship(spark)
