@@ -17,7 +17,7 @@ def representative(media: DataFrame, *keys: str, method: Representative = Repres
     """
     group = [*keys, "cluster_id"]
     if method is Representative.RANDOM:
-        return media.groupBy(*group).agg(F.max_by(date, F.struct(F.xxhash64(F.lit(seed), "file_name"), "file_name")).alias("representative_date"))
+        return media.groupBy(*group).agg(F.max_by(date, F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), "file_name")), "file_name")).alias("representative_date"))
     counts = media.groupBy(*group, F.col(date).alias("_d")).agg(F.count("*").alias("_n"))
     order = Window.partitionBy(*group).orderBy(F.col("_d").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = counts.withColumn("_upto", F.sum("_n").over(order)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*group)))

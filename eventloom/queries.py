@@ -11,11 +11,12 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from eventloom.config import Config, Mode, Status
+from eventloom.config import Config, Mode, Representative, Status
 from eventloom.functions import media as M, names as N
 from eventloom.operators import assign, duplicates, naming, sessions
 from eventloom.plans import file_plan, importing, reports
 from eventloom.runtime import written
+from eventloom.sources import library
 from eventloom.streaming.sessions import session_bounds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,14 +113,15 @@ def gap_delta_global(spark, sf_dir):
     return rows.select("event_id", F.coalesce((F.col("d") * 1_000_000).cast("long"), F.lit(-1)).alias("delta_us"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN year(make_timestamp((o_orderkey * 12345 - 2082844800) * 1000000)) >= 1990 THEN make_timestamp((o_orderkey * 12345 - 2082844800) * 1000000) END AS shot,
-CASE WHEN o_orderkey % 4 <> 3 THEN o_orderdate + INTERVAL 1 SECOND * (o_orderkey % 86400) END AS exif FROM (SELECT o_orderkey + 250000 AS o_orderkey, o_orderdate FROM orders)""")
+@query("""SELECT o_orderkey, CASE WHEN year(made) >= 1990 THEN made END AS shot,
+CASE WHEN o_orderkey % 4 <> 3 THEN o_orderdate + INTERVAL 1 SECOND * (o_orderkey % 86400) END AS exif FROM (
+SELECT o_orderkey, o_orderdate, make_timestamp((o_orderkey * 300000 - 2082844800) * 1000000) AS made FROM orders)""")
 def media_timestamps(spark, sf_dir):
-    """QuickTime seconds and EXIF strings (every fourth one malformed) of orders."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("o_orderkey", (F.col("o_orderkey") + 250_000).cast("long"))
+    """QuickTime seconds, before 1990 and after, and EXIF strings (every fourth one malformed) of orders."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     at = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("o_orderkey") % 86_400)
     text = F.when(F.col("o_orderkey") % 4 == 3, F.date_format(at, "yyyy/MM/dd HH:mm")).otherwise(F.date_format(at, "yyyy:MM:dd HH:mm:ss"))
-    return o.select("o_orderkey", M.quicktime_timestamp(F.col("o_orderkey") * 12_345).alias("shot"), M.exif_timestamp(text).alias("exif"))
+    return o.select("o_orderkey", M.quicktime_timestamp(F.col("o_orderkey") * 300_000).alias("shot"), M.exif_timestamp(text).alias("exif"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN '/lib2/' || path ELSE path END AS relative, c_custkey % 2 = 0 AS flag FROM (
@@ -317,10 +319,14 @@ def content_hash(spark, sf_dir):
     return d.select("doc_id", *[M.content_hash(text, a).alias(a) for a in ("sha1", "md5", "sha256")])
 
 
-@query("SELECT doc_id, md5(encode(coalesce(text, ''))[1:1048576]) AS part FROM documents")
+@query("""SELECT doc_id, md5(encode(content)[1:1048576]) AS part, octet_length(encode(content)) > 1048576 AS is_cut FROM (SELECT doc_id,
+CASE WHEN doc_id % 250 = 1 AND strlen(text) > 0 THEN repeat(text, 1048576 // strlen(text) + 1) ELSE coalesce(text, '') END AS content FROM documents)""")
 def partial_content_hash(spark, sf_dir):
+    """Hashes of contents, some of which (texts that are repeated) are longer than the prefix."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", M.partial_hash(F.coalesce("text", F.lit(""))).alias("part"))
+    long = F.expr("repeat(text, cast(1048576 div octet_length(text) + 1 as int))")
+    d = d.withColumn("content", F.when((F.col("doc_id") % 250 == 1) & (F.octet_length("text") > 0), long).otherwise(F.coalesce("text", F.lit(""))))
+    return d.select("doc_id", M.partial_hash(F.col("content")).alias("part"), (F.octet_length("content") > M.PARTIAL_BYTES).alias("is_cut"))
 
 
 @query(f"WITH {numbered(NOT_ERROR)}, {NAMED}, m2 AS ({MEDIA}) SELECT m2.event_id, n.cluster_id, target_path FROM m2 LEFT JOIN n USING (event_id) LEFT JOIN named ON n.cluster_id = named.cluster_id")
@@ -430,11 +436,109 @@ def plan_summary(spark, sf_dir):
     return file_plan.counters(_plan(spark, sf_dir))
 
 
-@query(f"WITH {PLANNED} SELECT op, src, dst FROM ops WHERE op = 'copy' AND regexp_extract(dst, '(\\d+)\\.jpg$', 1) LIKE '%7'")
+#: What is on disk: a photo of every third customer, in the folder of their number.
+DISK = "disk AS (SELECT 'D' || c_custkey % 20 AS target_path, CASE WHEN c_custkey % 2 = 0 THEN 'IMG_' ELSE 'img_' END || c_custkey || '.jpg' AS name FROM customer WHERE c_custkey % 3 = 0)"
+
+
+def _disk(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 3 = 0")
+    k = F.col("c_custkey")
+    name = F.concat(F.when(k % 2 == 0, "IMG_").otherwise("img_"), k.cast("string"), F.lit(".jpg"))
+    return c.select(F.concat(F.lit("D"), (k % 20).cast("string")).alias("target_path"), name.alias("name"))
+
+
+@query(f"""WITH {NAMES}, {DISK}, u AS (SELECT DISTINCT file_name, target_path FROM v)
+SELECT 'copy' AS op, '/in/' || file_name AS src, '/out/' || target_path || '/' || file_name AS dst FROM u WHERE (target_path, file_name) IN (SELECT (target_path, name) FROM disk)""")
 def plan_conflicts(spark, sf_dir):
-    """Operations of the plan whose destination is on disk: here the names that end with 7.jpg."""
-    plan = _plan(spark, sf_dir)
-    return file_plan.conflicts(plan, plan.filter("dst like '%7.jpg'").select("dst")).select("op", "src", "dst")
+    """Operations of a plan whose destination is on disk, by what another table says is there."""
+    named = _named_orders(spark, sf_dir).select("file_name", "target_path").distinct()
+    held = _disk(spark, sf_dir).select(F.concat(F.lit("/out/"), "target_path", F.lit("/"), "name").alias("dst"))
+    return file_plan.conflicts(file_plan.build(named, "/in", "/out", Mode.COPY), held).select("op", "src", "dst")
+
+
+def _nested_orders(spark, sf_dir):
+    """Names with up to three copy suffixes."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    stem = F.concat(F.when(k % 7 == 0, "img_").otherwise("IMG_"), (c % 900).cast("string"))
+    name = F.concat(stem, F.expr("repeat(' (1)', cast(o_orderkey % 4 as int))"), F.when(k % 5 == 0, " (2)").otherwise(""), F.lit(".jpg"))
+    return o.select(F.concat(F.lit("D"), (c % 20).cast("string")).alias("target_path"), name.alias("file_name")).distinct()
+
+
+#: A copy may take its plain name (may) if it is the first of those that want it and the disk hasn't
+#: it; it keeps its own if a row that has that name keeps it, or another such row does.
+NESTED = f"""{DISK}, v AS (SELECT DISTINCT 'D' || o_custkey % 20 AS target_path, CASE WHEN o_orderkey % 7 = 0 THEN 'img_' ELSE 'IMG_' END || o_custkey % 900
+|| repeat(' (1)', o_orderkey % 4) || CASE WHEN o_orderkey % 5 = 0 THEN ' (2)' ELSE '' END || '.jpg' AS file_name FROM orders),
+w AS (SELECT *, regexp_replace(file_name, '\\s*\\(\\d+\\)\\.jpg$', '.jpg') AS want FROM v),
+c AS MATERIALIZED (SELECT *, want <> file_name AND row_number() OVER (PARTITION BY target_path, lower(want) ORDER BY want <> file_name, file_name) = 1
+AND (target_path, lower(want)) NOT IN (SELECT (target_path, lower(name)) FROM disk) AS may FROM w),
+l AS MATERIALIZED (SELECT a.target_path, a.file_name, min(b.file_name) AS other, count(*) = 1 AND bool_and(b.may) AS ok FROM c a JOIN c b
+ON a.may AND a.target_path = b.target_path AND lower(a.want) = lower(b.file_name) AND a.file_name <> b.file_name GROUP BY 1, 2),
+k AS (SELECT target_path, file_name FROM l WHERE NOT ok UNION SELECT l.target_path, l.file_name FROM l JOIN k ON l.target_path = k.target_path AND l.other = k.file_name),
+r AS (SELECT file_name, target_path, CASE WHEN may AND (target_path, file_name) NOT IN (SELECT (target_path, file_name) FROM k) THEN want ELSE file_name END AS dst_name FROM c)"""
+
+
+@query(f"WITH RECURSIVE {NESTED} SELECT file_name, target_path, dst_name FROM r")
+def resolve_names_on_disk(spark, sf_dir):
+    """Names with several copy suffixes, in folders that hold some names already."""
+    return naming.resolved_names(_nested_orders(spark, sf_dir), True, _disk(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {NESTED} SELECT 'mkdir' AS op, NULL AS src, '/out/' || target_path AS dst, NULL AS reason FROM r GROUP BY target_path
+UNION ALL SELECT CASE WHEN held THEN 'skip' ELSE 'move' END, '/in/' || file_name, '/out/' || target_path || '/' || dst_name, CASE WHEN held THEN 'destination exists' END
+FROM (SELECT *, (target_path, lower(dst_name)) IN (SELECT (target_path, lower(name)) FROM disk) AS held FROM r)""")
+def plan_beside_files(spark, sf_dir):
+    """A plan that restores names and overwrites nothing."""
+    return file_plan.build(_nested_orders(spark, sf_dir), "/in", "/out", Mode.MOVE, True, _disk(spark, sf_dir)).select("op", "src", "dst", "reason")
+
+
+@query(f"""WITH {numbered(NOT_ERROR)} SELECT cluster_id, arg_max(date, md5('5|' || file_name)) AS representative_date FROM n GROUP BY 1""")
+def random_representatives(spark, sf_dir):
+    media = sessions.cluster(_media(spark, sf_dir, "error"), gap=GAP).filter(F.col("status") == Status.NEW_CLUSTER.name)
+    return naming.representative(media, method=Representative.RANDOM, seed=5)
+
+
+@query("""WITH d AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS d FROM events)
+SELECT '/lib/2020/' || user_id AS path, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start_date, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS end_date,
+CASE WHEN coalesce(bool_or(d > 3600000000), false) THEN 'False' ELSE 'True' END AS is_continuous,
+strftime(make_timestamp(CAST(floor(median(epoch_us(ts))) AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS median, CAST(count(*) AS VARCHAR) AS file_count FROM d GROUP BY user_id""")
+def ini_texts(spark, sf_dir):
+    """What stands in the ini files of folders by user."""
+    stats = sessions.folder_stats(_media(spark, sf_dir), "user_id")
+    return library.ini_values(stats.select(
+        F.concat(F.lit("/lib/2020/"), F.col("user_id").cast("string")).alias("path"), F.col("date_start").alias("start_date"), F.col("date_stop").alias("end_date"),
+        F.col("is_time_consistent").alias("is_continuous"), "median", "file_count",
+    ))
+
+
+def _tree(spark, sf_dir):
+    """A listing of two libraries: a folder a customer, a file an order (some without a dot, some ini files)."""
+    c, o = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders"))
+    folder = lambda k: F.concat(F.lit("/lib"), (k % 2).cast("string"), F.lit("/"), (k % 30 + 1990).cast("string"), F.lit("/c"), k.cast("string"))
+    k = F.col("o_custkey")
+    name = F.when((F.col("o_orderkey") % 6 == 0) | (k % 9 == 4), ".cluster.ini").when(F.col("o_orderkey") % 11 == 0, F.concat(F.lit("note"), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.col("o_orderkey").cast("string"), F.lit(".jpg")))
+    columns = lambda path, name, parent, is_dir, k: [path.alias("path"), name.alias("name"), parent.alias("parent"), F.lit(is_dir).alias("is_dir"), (k % 2).cast("int").alias("lib_idx")]
+    own = F.col("c_custkey")
+    dirs = c.select(*columns(folder(own), F.concat(F.lit("c"), own.cast("string")), F.regexp_replace(folder(own), "/[^/]*$", ""), True, own))
+    files = o.select(*columns(F.concat(folder(k), F.lit("/"), name), name, folder(k), False, k))
+    events = dirs.select("path", "lib_idx")
+    return library.Tree(dirs.unionByName(files), events, ("/lib0", "/lib1"))
+
+
+TREE = """f AS (SELECT c_custkey, '/lib' || c_custkey % 2 || '/' || (c_custkey % 30 + 1990) || '/c' || c_custkey AS path FROM customer),
+o AS (SELECT o_custkey, CASE WHEN o_orderkey % 6 = 0 OR o_custkey % 9 = 4 THEN '.cluster.ini' WHEN o_orderkey % 11 = 0 THEN 'note' || o_orderkey ELSE o_orderkey || '.jpg' END AS name FROM orders)"""
+
+
+@query(f"WITH {TREE} SELECT path FROM f WHERE c_custkey NOT IN (SELECT o_custkey FROM o WHERE name <> '.cluster.ini')")
+def bare_folders(spark, sf_dir):
+    """Event folders of all libraries without a file."""
+    return library.bare(_tree(spark, sf_dir))
+
+
+@query(f"WITH {TREE} SELECT path || '/' || name AS path, name, c_custkey % 2 AS lib_idx FROM o JOIN f ON o_custkey = c_custkey WHERE name LIKE '%.%'")
+def listed_files(spark, sf_dir):
+    """Files of all libraries."""
+    return _tree(spark, sf_dir).files().select("path", "name", F.col("lib_idx").cast("long").alias("lib_idx"))
 
 
 @query(f"SELECT 'skip' AS op, '/in/' || file_name AS src, 'NOP mode' AS reason FROM ({MEDIA})")
