@@ -1,6 +1,7 @@
 """Operators in DataFrame functions: chat, licenses, personal data. Against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -47,15 +48,28 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = [0, *(old + 1 if x == y else None for old, y in zip(row, b))], row
+        new, old = row
+        for j in range(1, len(b) + 1):
+            new[j] = max(new[j] or 0, new[j - 1], old[j])
+        row = new
+    return row[-1]
+
+
 def license_model(text):
     w = words(text)
     hits = [(i, label) for p, label in licenses.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     met = []
-    for line in (text or "").split("\n"):
-        held = set(words(line))
-        for label, t in licenses.TEMPLATES:
-            share = len(set(t.split()) & held) / len(set(t.split()))
-            met += [(label, share)] if share >= licenses.THRESHOLD - 1e-9 else []
+    for label, t, key in licenses.TEMPLATES:
+        t, reach = t.split(), math.ceil(licenses.REACH * len(t.split()))
+        for i in range(len(w)):
+            block = w[i : i + reach]
+            share = len(set(t) & set(block)) / len(set(t))
+            if share >= licenses.THRESHOLD - 1e-9 and set(key.split()) <= set(block) and lcs(t, block) >= licenses.THRESHOLD * len(t) - 1e-9:
+                met.append((label, share))
     base = sorted({x for _, x in hits})
     every = sorted(set(base) | {x for x, _ in met})
     places = [i for i, _ in hits]
@@ -65,12 +79,22 @@ def license_model(text):
 def test_licenses(spark):
     rnd = random.Random(4)
     texts = ["MIT license mit LICENSE cc by cc by", None, "", "BK mit\nlicense", "\x00mit\x7flicense", "İmit license", "x" * 50_000 + " apache license", " \n\n"]
-    pool = sorted({w for _, t in licenses.TEMPLATES for w in t.split()}) + ["foo", "É", "\n", "the", "of"]
-    for _, t in licenses.TEMPLATES:
+    pool = sorted({w for _, t, _ in licenses.TEMPLATES for w in t.split()}) + ["foo", "É", "\n", "the", "of"]
+    for _, t, _ in licenses.TEMPLATES:
         for _ in range(12):
-            w = [x for x in t.split() if rnd.random() > 0.15] + rnd.sample(pool, 3)
-            rnd.shuffle(w)
-            texts.append(" ".join(w))
+            w = [x for x in t.split() if rnd.random() > 0.12]
+            for x in rnd.sample(pool, rnd.randrange(4)):
+                w.insert(rnd.randrange(len(w) + 1), x)
+            if rnd.random() < 0.3:
+                i = rnd.randrange(len(w))
+                w = w[i:] + w[:i]
+            texts.append(rnd.choice(["", "foo " * 30]) + rnd.choice([" ", "\n * "]).join(w) + rnd.choice(["", " foo" * 30]))
+    texts.append(" ".join(rnd.choices(pool, k=3000)))
+    prose = ["the song was released under a driving license", "released under the driving license", "this library is free software licensed under the gnu general public license"]
+    prose.append(" ".join(("filler " * 1200).join(["released ", "under ", "the ", "license "]).split()))
+    assert [license_model(t)[5] for t in prose] == ["", "", "gpl", ""]
+    assert sum(license_model(t)[5] != license_model(t)[4] for t in texts) > 100  # what the method adds
+    texts += prose
     rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])]
     got = licenses.op8(spark, spark.createDataFrame(rows, DOCS).withColumn("labels", F.lit("clash"))).collect()
     assert len(got) == len(rows)
@@ -87,7 +111,7 @@ def test_wrapped_licenses(spark, lead):
     wrap = lambda t, n: "\n".join(lead + x for x in textwrap.wrap(t, n - len(lead)))
     prose = "some other words stand here and say nothing of it\n" * 40
     rows, want = [], {}
-    for label, t in licenses.TEMPLATES:
+    for label, t, _ in licenses.TEMPLATES:
         for width in (40, 72):
             want[len(rows)] = label
             rows.append((len(rows), prose + wrap(t.capitalize(), width) + "\n" + prose))
