@@ -7,7 +7,9 @@ along the curve, so that a sequence holds neighbouring documents; sequences are
 ``LENGTH`` ids, and only the very last one is not full.
 
 Ranges of about even numbers of ids are bounded by keys, which end with 15 bits of a hash of
-the row's doc_id and place, so that a group of equal documents of any size is spread over ranges.  Ids are encoded once and moved once; a
+the row's doc_id and place, so that a group of equal documents of any size is spread over ranges.  Rows
+of one document that follow one another (a mix that takes it again) can be laid in passes of their
+own, so that they don't meet in a sequence.  Ids are encoded once and moved once; a
 task streams its range and holds one batch.
 """
 
@@ -33,6 +35,8 @@ SEED = 6
 #: Ids that a range holds, about.
 RANGE_IDS = 8_000_000
 SALT_BITS = 15
+#: Bits of the number of a pass, where copies are laid apart.
+PASS_BITS = 3
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -74,9 +78,19 @@ def curve_keys(flat: np.ndarray, offsets: np.ndarray, vocabulary_size: int) -> n
     return hilbert(cells)
 
 
-def _encode(vocabulary: str, end_id: int):
+def _passes(docs: list[int | None], last: tuple[int | None, int]) -> list[int]:
+    """For each row the number of rows of the same document right before it. last: doc_id and number of the row before."""
+    out = []
+    for doc in docs:
+        last = doc, last[1] + 1 if doc is not None and doc == last[0] else 0
+        out.append(last[1])
+    return out
+
+
+def _encode(vocabulary: str, end_id: int, apart: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
+        last = None, 0
         size = max(coder.tokenizer.get_vocab_size(), end_id + 1)
         kind = "<u2" if size <= 1 << 16 else "<u4"
         for batch in slices(batches):
@@ -85,6 +99,11 @@ def _encode(vocabulary: str, end_id: int):
             flat = np.insert(flat, offsets[1:], end_id).astype(kind)
             offsets = offsets + np.arange(len(offsets))
             salted = keys << SALT_BITS | batch.column("salt").to_numpy(zero_copy_only=False)
+            if apart:
+                docs = batch.column("doc_id").to_pylist()
+                passes = np.array(_passes(docs, last), np.int64)
+                last = docs[-1], int(passes[-1])
+                salted = np.minimum(passes, (1 << PASS_BITS) - 1) << (63 - PASS_BITS) | salted >> PASS_BITS
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(salted), pa.array(np.diff(offsets)), flat_binary(flat, offsets)],
                 names=["doc_id", "key", "n", "ids"],
@@ -119,19 +138,20 @@ def _lay(bases: dict[int, int], length: int, wide: bool):
 _COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, length: int = LENGTH, range_ids: int = RANGE_IDS) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, length: int = LENGTH, range_ids: int = RANGE_IDS, apart: bool = False) -> DataFrame:
     """Rows _COLUMNS (long): the pieces of every document's ids, each id in exactly one.
 
     A null text is empty and has the end id only; texts of any length are packed whole; repeated
     rows and ties are documents of their own, in the order of their rows; an empty table gives no
-    piece; columns other than doc_id and text, whatever their names, are not looked at.
+    piece; columns other than doc_id and text, whatever their names, are not looked at.  With ``apart`` rows
+    of one doc_id that follow one another lie in different passes along the curve (up to 2**PASS_BITS).
     """
     spark = docs.sparkSession
     ship(spark)
     size = encoder(vocabulary).tokenizer.get_vocab_size()
     salt = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", F.monotonically_increasing_id()), F.lit(1 << SALT_BITS))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("salt", salt)
-    coded = written(rows.mapInArrow(_encode(vocabulary, end_id), "doc_id long, key long, n long, ids binary"), "coded")
+    coded = written(rows.mapInArrow(_encode(vocabulary, end_id, apart), "doc_id long, key long, n long, ids binary"), "coded")
     total = coded.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // range_ids))
     lower = ranges.even_bounds(coded, "key", "n", parts)

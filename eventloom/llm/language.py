@@ -193,10 +193,16 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], label: str = "
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is known, all columns; without any learned language all rows."""
+    """The rows of ``docs`` whose language is known, all columns; ``lang`` is the predicted one where it was null.
+
+    Without any learned language all rows stay as they are.
+    """
     model = learn(docs.select("doc_id", "text", "lang"))
+    if not model[0]:
+        return docs
     label, score = free_name(docs.columns, "lang_pred"), free_name(docs.columns, "score")
-    return docs if not model[0] else predict(docs, model, label, score).filter(F.col(label) != UNKNOWN).drop(label, score)
+    found = predict(docs, model, label, score).filter(F.col(label) != UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", label)).drop(label, score)
 
 
 def op3(spark: SparkSession, docs: DataFrame) -> DataFrame:

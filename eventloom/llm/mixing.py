@@ -276,7 +276,8 @@ class Mix:
         """The mix: documents' columns and shard, order; a document taken again is a row again.
 
         Where documents have such columns, the names get underscores after them.  The document at a source's
-        last block's end is cut after its last taken word (its n_chars follows).
+        last block's end is cut after its last taken word (its n_chars follows).  The rows of one document
+        follow one another.
         """
         docs, names = self.docs, list(self.docs.columns)
         own = {}
@@ -284,12 +285,16 @@ class Mix:
             own[c] = free_name(names, c)
             names.append(own[c])
         words, size = F.col(own["words"]), F.col(own["size"])
-        taken = self.pieces().select(F.col("_at").alias(self.at), *[F.col(c).alias(n) for c, n in own.items()])
+        draw, some = free_name(names, "draw"), free_name(names, "draws")
+        taken = self.rows.filter(F.size("draws") > 0).select(F.col("_at").alias(self.at), F.col("size").alias(own["size"]), F.struct("ix", "place", "draws").alias(some))
         text = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 0), 1, words.cast("int")), "")
         changed = {"text": F.when(words < size, text).otherwise(F.col("text"))}
         if "n_chars" in docs.columns:
             changed["n_chars"] = F.when(words < size, F.char_length(text)).otherwise(F.col("n_chars"))
-        return docs.join(taken, self.at).withColumns(changed).drop(self.at, own["words"], own["size"])
+        rows = docs.join(taken, self.at).withColumn(draw, F.explode(F.col(some)["draws"]))
+        order = F.xxhash64(F.lit(self.seed), F.col(draw)["shard"], F.col(some)["ix"], F.col(draw)["round"], F.col(some)["place"])
+        rows = rows.withColumns({own["shard"]: F.col(draw)["shard"], own["order"]: order, own["words"]: F.col(draw)["words"]})
+        return rows.withColumns(changed).drop(self.at, own["words"], own["size"], draw, some)
 
 
 def op1(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from eventloom.llm import components, exact_dedup, rows, simhash
-from eventloom.runtime import scratch
+from eventloom.runtime import scratch, written
 
 DOCS = "doc_id long, text string"
 
@@ -181,3 +181,19 @@ def test_slots_keep_every_key(spark, monkeypatch):
         met = rows.that_may_be(df, rows.slot_table(some, "id", 100), "id")
         assert met.columns == df.columns and met.filter("id % 50 = 0").count() == 100 and met.count() < (200 if most > 1024 else 1500)
     assert rows.that_may_be(df, rows.slot_table(df.limit(0), "id", 0), "id").count() == 0
+
+
+def test_pipeline_fills_in_languages_and_lays_copies_apart(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    n_null = docs.filter("lang is null and text rlike '[a-z]'").count()
+    some = docs.withColumn("lang", F.when(F.col("doc_id") % 5 > 0, F.col("lang")))
+    found = corpus_pipeline.language_id(spark, some, "")
+    assert found.filter("lang is null").count() == 0 and n_null < found.count() == docs.filter(r"text rlike '\\p{L}'").count()
+    both = found.select("doc_id", F.col("lang").alias("now")).join(docs.filter("lang is not null and doc_id % 5 = 0"), "doc_id")
+    assert both.filter("now = lang").count() > 0.9 * both.count() > 0
+    mixed = written(corpus_pipeline.mix(spark, docs, ""), "mixed")
+    again = mixed.groupBy("doc_id").count().filter("count > 1")
+    assert again.count() > 50
+    pieces = written(corpus_pipeline.packing(spark, mixed, ""), "pieces")
+    assert pieces.agg(F.sum("length")).first()[0] == pieces.filter("start = 0").agg(F.sum("doc_tokens")).first()[0]
+    assert pieces.groupBy("sequence_id", "doc_id", "start", "ids_crc32").count().filter("count > 1").count() == 0
