@@ -16,7 +16,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identified language (null or letterless texts) go."""
+    """Documents without an identified language (null or letterless texts) go; a lang that is null is filled in."""
     return language.identified(docs.select(*COLUMNS))
 
 
@@ -31,7 +31,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: a document taken again is a row again, one taken in part is cut.
+    """What the mix takes: a document taken again is a row again (right after it), one taken in part is cut.
 
     Rows aren't laid out by shard here, since the next stage orders them along its curve.
     """
@@ -39,8 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences, in curve order."""
-    return curve_packing.pack(docs.select("doc_id", "text"))
+    """Pieces of sequences, in curve order; what the mix takes again comes in a pass of its own."""
+    return curve_packing.pack(docs.select("doc_id", "text"), apart=True)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("mix_sources", mix), ("packing", packing)]
