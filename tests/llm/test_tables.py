@@ -36,7 +36,7 @@ def test_mix_meets_its_targets(spark):
 @pytest.mark.parametrize("name", sorted(q.ORACLES))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     got = q.QUERIES[name](spark, FOLDER)
     columns = sorted(got.columns)
