@@ -21,7 +21,7 @@ def test_entry(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["gap_cluster_dup_bridge", "cluster_names", "assign_existing_expanding", "dup_detect_staged", "resolve_names", "plan_ops", "full_import"])
+@pytest.mark.parametrize("name", ["gap_cluster_dup_bridge", "cluster_names", "assign_existing_expanding", "dup_detect_staged", "resolve_names", "plan_ops", "full_import", "resolve_names_on_disk", "plan_beside_files", "random_representatives", "ini_texts", "bare_folders"])
 def test_queries_match_sql(spark, name):
     import duckdb
 
