@@ -56,8 +56,17 @@ def configured(args: argparse.Namespace) -> conf.Config:
 def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
+    from eventloom import runtime
+
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("eventloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    try:
+        return _carry_out(spark, args)
+    finally:
+        runtime.drop_scratch(spark)
+
+
+def _carry_out(spark, args: argparse.Namespace) -> int:
     if args.command == "refresh":
         from eventloom.sources.library import refresh
 

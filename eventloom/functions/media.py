@@ -74,3 +74,8 @@ def partial_hash(content: Column, n: int = PARTIAL_BYTES) -> Column:
 def missing_dates(df: DataFrame) -> DataFrame:
     """One row: how many files have no date (n_missing) of how many (n_files)."""
     return df.agg(F.count_if(F.col("date").isNull()).alias("n_missing"), F.count("*").alias("n_files"))
+
+
+def image_tag(jpeg: Column) -> Column:
+    """An HTML image element with the bytes as a data URI; null stays null."""
+    return F.concat(F.lit('<img src="data:image/jpeg;base64,'), F.translate(F.base64(jpeg), "\r\n", ""), F.lit('">'))  # without line breaks

@@ -319,6 +319,13 @@ def content_hash(spark, sf_dir):
     return d.select("doc_id", *[M.content_hash(text, a).alias(a) for a in ("sha1", "md5", "sha256")])
 
 
+@query("""SELECT doc_id, '<img src="data:image/jpeg;base64,' || base64(encode(text)) || '">' AS image_tag FROM documents""")
+def image_tags(spark, sf_dir):
+    """Whole texts stand for the bytes of thumbnails."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", M.image_tag(F.col("text").cast("binary")).alias("image_tag"))
+
+
 @query("""SELECT doc_id, md5(encode(content)[1:1048576]) AS part, octet_length(encode(content)) > 1048576 AS is_cut FROM (SELECT doc_id,
 CASE WHEN doc_id % 250 = 1 AND strlen(text) > 0 THEN repeat(text, 1048576 // strlen(text) + 1) ELSE coalesce(text, '') END AS content FROM documents)""")
 def partial_content_hash(spark, sf_dir):

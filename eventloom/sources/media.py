@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from eventloom.config import Config, Status
 from eventloom.functions import decode
-from eventloom.functions.media import exif_timestamp, is_image, is_supported, quicktime_timestamp, resolve_date
+from eventloom.functions.media import exif_timestamp, image_tag, is_image, is_supported, quicktime_timestamp, resolve_date
 from eventloom.runtime import ship, written
 from eventloom.schemas import MEDIA
 from eventloom.sources.listing import listing
@@ -72,6 +74,36 @@ def with_hash(files: DataFrame, algorithm: str = "sha1", limit: int | None = Non
     return kept.mapInPandas(_hashed(algorithm, limit, out), f"{fields}, {out} string")
 
 
+def _thumbnailed(make: Callable[[bytes, int], bytes | None], side: int, out: str):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for k, path in enumerate(part.column("path").to_pylist()):  # one row at a time: images are large, batches are long
+                try:
+                    with open(path, "rb") as f:
+                        image = make(f.read(), side)
+                except OSError:
+                    image = None
+                row = part.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([image], pa.binary())], names=[*row.schema.names, out])
+
+    return run
+
+
+def with_thumbnails(files: DataFrame, side: int = 150, out: str = "thumbnail", make: Callable[[bytes, int], bytes | None] = decode.thumbnail) -> DataFrame:
+    """``files`` (path, ...) with a JPEG of at most ``side`` squared made by tasks; what isn't an image, or can't be read, has none.
+
+    A column named like ``out`` is replaced. ``make`` is (content, side) to JPEG or None; without an imaging library all are null.
+    """
+    ship(files.sparkSession)
+    kept = files.drop(out)
+    return kept.mapInArrow(_thumbnailed(make, side, out), StructType([*kept.schema.fields, StructField(out, BinaryType())]))
+
+
+def with_image_tags(files: DataFrame, thumbnail: str = "thumbnail", out: str = "image_tag") -> DataFrame:
+    """``files`` with an HTML image element of each thumbnail, as data URI; null where there is none."""
+    return files.withColumn(out, image_tag(F.col(thumbnail)))
+
+
 def media_table(files: DataFrame, config: Config, rule: str = "m_date", hashes: bool = False) -> DataFrame:
     """Supported files of a listing as rows of MEDIA (raw dates kept), and their path and parent."""
     rows = with_dates(files.filter(~F.col("is_dir") & is_supported(F.col("name"), config.image_extensions, config.video_extensions)))
