@@ -8,17 +8,19 @@ state row and no hot task.  Stopped streams go on from their checkpoint, and fol
 more files are taken up by the next run.
 
 A digest that was met more than once is a hit, and hits are checked on their full bytes:
-texts are grouped by (digest, whole normalised text); should one digest ever hold two
-different texts, each of them becomes a group of its own.
+their texts are fetched by the rows' locators (no other text leaves its scan) and grouped by
+(digest, whole normalised text); should one digest ever hold two different texts, each of
+them becomes a group of its own.
 """
 
 from __future__ import annotations
 
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from eventloom.llm.rows import join_one, located, slot_table, that_may_be
+from eventloom.llm.rows import fetched, join_one, located
 from eventloom.runtime import scratch, written
 
 #: Settings under which the stateful query runs.
@@ -114,17 +116,19 @@ def _deduplicate(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     if rows.isEmpty():
         return rows.select("doc_id", "_at", "sha", F.lit(None).cast("long").alias("keep_id"), F.lit(None).cast("string").alias("keep_at"), F.lit(None).cast("long").alias("group_size"))
     state = written(StreamingDeduplicator(spark, folder, scratch(spark, "dedup-state")).run(), "dedup-groups")
-    contents = written(_contents(docs, state.filter("n > 1").select("digest"), digest_bytes), "contents-of-hits")
     total = rows.count()
-    several = contents.groupBy("digest").agg(F.count("*").alias("k")).filter("k > 1").select("digest")
     whole = join_one(rows, state, "digest", "n", total).select(
         "doc_id", "_at", "sha", "digest", "keep_id", "keep_at", F.col("n").alias("group_size")
     )
+    whole = written(whole, "dedup-rows")
+    several = written(_several(docs, whole.filter("group_size > 1").select("_at"), digest_bytes), "collisions")
     if several.isEmpty():
         return whole.drop("digest")
-    own = contents.join(several, "digest", "left_semi")  # one digest, different bytes: by the bytes
-    texts = _with_digest(docs, digest_bytes).join(several, "digest", "left_semi").select("_at", "digest", "norm")
-    split = texts.join(own, ["digest", "norm"]).select(
+    # one digest, different bytes: by the bytes
+    texts = _with_digest(docs, digest_bytes).join(several, "digest", "left_semi")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_at"))
+    own = texts.groupBy("digest", "norm").agg(first.alias("first"), F.count("*").alias("n"))
+    split = texts.select("_at", "digest", "norm").join(own, ["digest", "norm"]).select(
         "_at", F.col("first.doc_id").alias("id2"), F.col("first._at").alias("at2"), F.col("n").alias("n2")
     )
     return whole.join(split, "_at", "left").select(
@@ -141,16 +145,15 @@ def _with_digest(docs: DataFrame, digest_bytes: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "_at", norm.alias("norm"), F.substring(sha, 1, digest_bytes).alias("digest"))
 
 
-def _contents(docs: DataFrame, hits: DataFrame, digest_bytes: int) -> DataFrame:
-    """Rows (digest, norm, first, n) of every distinct full text under a digest that was hit.
-
-    Texts without a hit are kept out before anything is sent, by a slot table that grows with the
-    hits (see rows.slot_table); copies within a task meet before they are sent.
-    """
-    texts = that_may_be(_with_digest(docs, digest_bytes), slot_table(hits, "digest", hits.count()), "digest")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_at"))
-    grouped = texts.groupBy("digest", "norm").agg(first.alias("first"), F.count("*").alias("n"))
-    return grouped.join(hits, "digest", "left_semi")
+def _several(docs: DataFrame, hits: DataFrame, digest_bytes: int) -> DataFrame:
+    """(digest) of digests under which rows at ``hits`` (_at) hold different bytes; copies within a task meet before they are sent."""
+    contents = fetched(docs, "_at", hits, lambda rows: _with_digest(rows, digest_bytes).groupBy("digest", "norm").agg(F.count("*").alias("n")))
+    if not contents:
+        return hits.limit(0).select(F.col("_at").cast("binary").alias("digest"))
+    texts = reduce(DataFrame.unionByName, contents)
+    if len(contents) > 1:
+        texts = texts.groupBy("digest", "norm").agg(F.sum("n").alias("n"))
+    return texts.groupBy("digest").agg(F.count("*").alias("k")).filter("k > 1").select("digest")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:

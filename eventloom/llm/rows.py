@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventloom.runtime import written
@@ -10,6 +12,8 @@ from eventloom.runtime import written
 HOT_KEYS, HOT_ROWS = 20_000, 256
 #: Bits of a slot table: so many a key, and in all at most.
 SLOTS_A_KEY, MOST_SLOTS = 64, 1 << 25
+#: Words of 64 row places each that are broadcast at a time.
+MOST_WORDS = 1 << 20
 
 
 def free_name(columns, name: str) -> str:
@@ -66,3 +70,43 @@ def that_may_be(rows: DataFrame, table: tuple[DataFrame, int], column: str) -> D
     met = rows.withColumn(s, _slot(column, slots)).withColumn(w, F.shiftright(s, 6))
     met = met.join(F.broadcast(words.select(F.col("w").alias(w), F.col("bits").alias(b))), w)
     return met.filter(F.expr(f"shiftright(`{b}`, cast(`{s}` & 63 as int)) & 1 = 1")).drop(s, w, b)
+
+
+def _place(at: str) -> tuple[Column, Column]:
+    """File and row index of a place as ``located`` writes it."""
+    row = F.substring_index(at, "#", -1)
+    return F.expr(f"left(`{at}`, length(`{at}`) - length(substring_index(`{at}`, '#', -1)) - 1)"), row.cast("long")
+
+
+def fetched(docs: DataFrame, at: str, places: DataFrame, then: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+    """``then`` of exactly those rows of ``docs`` (see located) that stand at ``places`` (column ``at``); a table a range of files.
+
+    Nothing of any other row leaves its scan, whatever the number of places.  They are bits, in words of
+    64 rows of a file; ranges of files with up to MOST_WORDS words are read one after the other,
+    each file in its range only, with the range's words broadcast.  One row a file (name, words) goes to the driver.
+    """
+    file, row = _place(at)
+    bits = places.select(file.alias("file"), F.shiftright(row, 6).alias("w"), F.expr(f"shiftleft(1L, cast(substring_index(`{at}`, '#', -1) as bigint) & 63)").alias("bit"))
+    words = written(bits.groupBy("file", "w").agg(F.bit_or("bit").alias("bits")), "places")
+    pieces = words.groupBy("file", F.expr(f"w div {MOST_WORDS}").alias("piece")).agg(F.count("*").alias("n")).orderBy("file", "piece").collect()
+    runs, held = [], MOST_WORDS
+    for p in pieces:
+        if held + p.n > MOST_WORDS:
+            runs.append([])
+            held = 0
+        runs[-1].append((p.file, p.piece))
+        held += p.n
+    key, word, bit = (free_name(docs.columns, x) for x in ("_key", "_bits", "_bit"))
+    found = []
+    for run in runs:
+        (low, first), (high, last) = run[0], run[-1]
+        order, inside = F.struct("file", F.expr(f"w div {MOST_WORDS}")), docs
+        own = words.filter((order >= F.struct(F.lit(low), F.lit(first).cast("long"))) & (order <= F.struct(F.lit(high), F.lit(last).cast("long"))))
+        own = own.groupBy(F.xxhash64("file", "w").alias(key)).agg(F.bit_or("bits").alias(word))
+        if len(runs) > 1:
+            path = docs.metadataColumn("_metadata")["file_path"]
+            inside = docs.filter((path >= low) & (path <= high))
+        met = inside.withColumns({key: F.xxhash64(file, F.shiftright(row, 6)), bit: row.bitwiseAND(F.lit(63)).cast("int")}).join(F.broadcast(own), key)
+        rows = then(met.filter(F.expr(f"shiftright(`{word}`, `{bit}`) & 1 = 1")).drop(key, word, bit))
+        found.append(rows if len(runs) == 1 else written(rows, "fetched"))
+    return found

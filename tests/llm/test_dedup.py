@@ -43,6 +43,29 @@ def test_exact_and_collisions(spark):
     assert exact_dedup.op9(spark, df.limit(0)).count() == 0
 
 
+def test_hits_alone_are_fetched(spark, monkeypatch):
+    texts = [(i, f"text {i % 500}" if i < 700 else f"own {i}") for i in range(2000)]
+    docs, at = rows.located(written(spark.createDataFrame(texts, DOCS).repartition(7), "spread"))
+    all_of_them = {r.doc_id: r._at for r in docs.collect()}
+    hits = {i for i in range(700) if i < 200 or i >= 500}
+    places = spark.createDataFrame([(all_of_them[i],) for i in sorted(hits)], "_at string")
+    for words, tables in ((1 << 20, 1), (3, 7), (1, None)):  # ranges of files; then pieces of files
+        monkeypatch.setattr(rows, "MOST_WORDS", words)
+        got = rows.fetched(docs, at, places, lambda x: x.select("doc_id", "text"))
+        assert len(got) == tables if words == 1 << 20 else len(got) >= 7
+        assert sorted(r.doc_id for df in got for r in df.collect()) == sorted(hits)
+    monkeypatch.setattr(rows, "MOST_WORDS", 2)
+    done = exact_dedup.deduplicate(written(spark.createDataFrame(texts, DOCS).repartition(5), "spread")).collect()
+    assert all((r.keep_id, r.group_size) == ((r.doc_id % 500, 2) if r.doc_id in hits else (r.doc_id, 1)) for r in done) and len(done) == 2000
+    assert rows.fetched(docs, at, places.limit(0), lambda x: x) == []
+
+
+def test_collisions_over_ranges_of_files(spark, monkeypatch):
+    monkeypatch.setattr(rows, "MOST_WORDS", 2)
+    df = written(spark.createDataFrame([(i, f"text {i % 300}") for i in range(900)], DOCS).repartition(5), "spread")
+    assert {(r.doc_id % 300 == r.keep_id, r.group_size) for r in exact_dedup.deduplicate(df, 1).collect()} == {(True, 3)}
+
+
 def test_stream_goes_on_with_new_files(spark):
     folder, state = scratch(spark, "in"), scratch(spark, "state")
 
