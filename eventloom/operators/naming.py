@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventloom.config import Representative
 from eventloom.functions.names import event_name, existing_target, new_target, strip_copy_suffix
+from eventloom.operators import sessions
+from eventloom.operators.order_stats import kth
 from eventloom.runtime import written
 
 
@@ -13,16 +15,31 @@ def representative(media: DataFrame, *keys: str, method: Representative = Repres
     """Rows (keys, cluster_id, representative_date).
 
     MEDIAN: the member at 0-based place n // 2 by date, nulls last; RANDOM: a member drawn by
-    a seeded hash of its name.  Equal dates collapse to counts before they are ordered.
+    a seeded hash of its name.  Equal dates collapse to counts before they are ordered; large events'
+    are not ordered at all.
     """
     group = [*keys, "cluster_id"]
     if method is Representative.RANDOM:
         return media.groupBy(*group).agg(F.max_by(date, F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), "file_name")), "file_name")).alias("representative_date"))
-    counts = media.groupBy(*group, F.col(date).alias("_d")).agg(F.count("*").alias("_n"))
+    counts = written(media.groupBy(*group, F.col(date).alias("_d")).agg(F.count("*").alias("_n")), "dates")
+    sizes = counts.groupBy(*group).agg(F.count("*").alias("_k"), F.sum("_n").alias("_all"), F.sum(F.when(F.col("_d").isNotNull(), F.col("_n"))).alias("_dated"))
+    hot = written(sizes.filter(F.col("_k") > sessions.SINGLE_WINDOW_ROWS), "large-events")
+    large = None if hot.isEmpty() else _middle_of_large(sessions._same(counts, hot.select(*group), group, "left_semi"), hot, group)
+    if large is not None:
+        counts = sessions._same(counts, hot.select(*group), group, "left_anti")
     order = Window.partitionBy(*group).orderBy(F.col("_d").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = counts.withColumn("_upto", F.sum("_n").over(order)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*group)))
     middle = F.floor(F.col("_all") / 2)
-    return placed.filter((F.col("_upto") > middle) & (F.col("_upto") - F.col("_n") <= middle)).select(*group, F.col("_d").alias("representative_date"))
+    rest = placed.filter((F.col("_upto") > middle) & (F.col("_upto") - F.col("_n") <= middle)).select(*group, F.col("_d").alias("representative_date"))
+    return rest if large is None else rest.unionByName(large)
+
+
+def _middle_of_large(counts: DataFrame, sizes: DataFrame, group: list[str]) -> DataFrame:
+    """Representative dates of events with more dates than one window should hold, see order_stats."""
+    values = counts.select(*group, F.unix_micros(F.col("_d").cast("timestamp")).alias("value"), F.col("_n").alias("n"))
+    found = kth(values, group, sizes.select(*group, F.expr("_all div 2").alias("rank")))
+    every = sessions._same(sizes.select(*group), found, group)  # no row: the middle has no date
+    return every.select(*group, F.timestamp_micros("value").cast(counts.schema["_d"].dataType).alias("representative_date"))
 
 
 def counts(media: DataFrame, *keys: str) -> DataFrame:

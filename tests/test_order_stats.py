@@ -1,0 +1,45 @@
+"""Order statistics by narrowing histograms, against sorted lists."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+
+from eventloom.operators import naming, order_stats, sessions
+
+
+@pytest.mark.parametrize("digit", [3, 12])
+def test_kth_against_sorted_lists(spark, monkeypatch, digit):
+    monkeypatch.setattr(order_stats, "DIGIT", digit)
+    rnd = random.Random(digit)
+    groups = {
+        "one": [7], "same": [5] * 9, "wide": [-(1 << 58), 0, 1 << 58, 3, 3], None: [rnd.randrange(-50, 50) for _ in range(60)],
+        "long": [rnd.randrange(1 << rnd.choice((4, 20, 30))) for _ in range(300)], "ends": [0, 0, 0, 1 << 24, 1 << 24],
+    }
+    rows = [(g, v, 1) for g, vs in groups.items() for v in vs] + [("long", None, 5), ("nothing", None, 1)]
+    counts = spark.createDataFrame(rows, "g string, value long, n long")
+    asked = [(g, k) for g, vs in groups.items() for k in {0, len(vs) // 2, (len(vs) - 1) // 2, len(vs) - 1, len(vs), -1}] + [("nothing", 0), ("unknown", 0)]
+    found = order_stats.kth(counts, ["g"], spark.createDataFrame(asked, "g string, rank long"))
+    want = sorted((str(g), k, sorted(groups[g])[k]) for g, k in asked if g in groups and 0 <= k < len(groups[g]))
+    assert sorted((str(r.g), r.rank, r.value) for r in found.collect()) == want
+    assert order_stats.kth(counts.limit(0), ["g"], spark.createDataFrame([("one", 0)], "g string, rank long")).count() == 0
+    both = spark.createDataFrame([(3, 2), (1, 5), (9, 1)], "value long, n long")
+    got = order_stats.kth(both, [], spark.createDataFrame([(k,) for k in range(9)], "rank long"))
+    assert [r.value for r in got.orderBy("rank").collect()] == [1, 1, 1, 1, 1, 3, 3, 9]
+
+
+def test_large_events_have_the_same_representative(spark, monkeypatch):
+    rnd = random.Random(4)
+    base = datetime(2020, 1, 1)
+    rows = [(f"f{i}", rnd.choice((1, 1, 1, 2, 3, None)), None if rnd.random() < 0.2 else base + timedelta(microseconds=rnd.randrange(10**11))) for i in range(400)]
+    rows += [(f"u{i}", 8, None if i % 3 else base + timedelta(hours=i)) for i in range(30)] + [("single", 9, base), ("undated", 10, None)]
+    media = spark.createDataFrame(rows, "file_name string, cluster_id long, date timestamp_ntz")
+    want = sorted(map(repr, naming.representative(media).collect()))
+    held = {}
+    for _, c, d in rows:
+        held.setdefault(c, []).append(d)
+    middle = {c: sorted(ds, key=lambda d: (d is None, d or base))[len(ds) // 2] for c, ds in held.items()}
+    assert {r.cluster_id: r.representative_date for r in naming.representative(media).collect()} == middle
+    for most in (0, 9, 100):
+        monkeypatch.setattr(sessions, "SINGLE_WINDOW_ROWS", most)
+        assert sorted(map(repr, naming.representative(media).collect())) == want
