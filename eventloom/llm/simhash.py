@@ -15,6 +15,11 @@ links is returned, never all pairs.
 A text may have fingerprints of several families, whose shingle hashes are mixed differently.
 Texts are then linked by any family whose fingerprints are near: each one is as exact, and what
 bits of one family miss by chance another one may meet.
+
+Edits of a text change few of its words but many of its shingles: texts that share 80 % of their
+five-word shingles differ in about one of eight bits of a shingle fingerprint, and are seldom at
+three bits or nearer. ``loose`` fingerprints are of a text's distinct words (the lower ``WORD_BITS``)
+and of its pairs of neighbouring words (the others), of which such texts differ in one of sixteen.
 """
 
 from __future__ import annotations
@@ -38,15 +43,26 @@ DISTANCE = 3
 BUCKET = 256
 #: Fingerprints whose variants are made in one task.
 EXPLODED = 20_000
-#: Families where near copies matter more than the work (the pipeline).
-FAMILIES = 8
+#: Families of loose fingerprints where near copies matter more than the work (the pipeline).
+FAMILIES = 4
+#: Bits of a loose fingerprint that are of distinct words.
+WORD_BITS = 48
 #: Hashes whose bits are counted at once (counts have 16 bits).
 _COUNTED = 1 << 15
 
 
-def fingerprint(data: bytes, family: int = 0) -> int:
+def fingerprint(data: bytes, family: int = 0, loose: bool = False) -> int:
     """Fingerprint of one text (UTF-8); no words: 0."""
-    return _majority(_mixed(_hashes(data), family))
+    return _fingerprint(_parts(data) if loose else (_hashes(data),), family)
+
+
+def _fingerprint(parts: tuple[np.ndarray, ...], family: int) -> int:
+    """A family's bits of all shingles, or the loose ones of words and pairs."""
+    bits = [_majority(_mixed(hashes, family)) for hashes in parts]
+    if len(bits) == 1:
+        return bits[0]
+    low = (1 << WORD_BITS) - 1
+    return bits[0] & low | bits[1] & ~low
 
 
 def _mixed(hashes: np.ndarray, family: int) -> np.ndarray:
@@ -68,13 +84,20 @@ def _majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
-def _hashes(data: bytes) -> np.ndarray:
+def _parts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of the distinct words, and of every pair of neighbours (of one word: the word)."""
+    distinct = set(data.lower().split())
+    words = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in distinct), np.uint64, len(distinct))
+    return words, _hashes(data, 2)
+
+
+def _hashes(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """XXH64 of every shingle, repeats included. bytes.split() cuts at the six ASCII spaces."""
     words = data.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    n = max(1, len(words) - SHINGLE + 1)
+    n = max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate([[0], ends[:-1]])[:n].tolist()
     stops = (ends[-n:] - 1).tolist()
@@ -82,7 +105,7 @@ def _hashes(data: bytes) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
 
 
-def fingerprints(docs: DataFrame, *keep: str, families: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, *keep: str, families: int = 1, loose: bool = False) -> DataFrame:
     """Columns ``keep``, fp (the 64 bits as a long) and more (those of families 1 and on) of every row of ``docs``."""
     ship(docs.sparkSession)
 
@@ -90,8 +113,8 @@ def fingerprints(docs: DataFrame, *keep: str, families: int = 1) -> DataFrame:
         for batch in slices(batches):
             found = np.zeros((batch.num_rows, families), np.uint64)
             for row, data in zip(found, raw(batch.column("text"))):
-                hashes = _hashes(data)
-                row[:] = [_majority(_mixed(hashes, k)) for k in range(families)]
+                parts = _parts(data) if loose else (_hashes(data),)
+                row[:] = [_fingerprint(parts, k) for k in range(families)]
             found = found.view(np.int64)
             more = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (families - 1)), pa.array(found[:, 1:].ravel()))
             names = [name for name in batch.schema.names if name != "text"]
@@ -204,10 +227,11 @@ def _links_of_families(rows: DataFrame, bucket: int) -> DataFrame:
     return found.unionByName(own.select(F.col("own").alias("a"), F.col("view").alias("b")))
 
 
-def near_duplicates(docs: DataFrame, *keep: str, bucket: int = BUCKET, families: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, *keep: str, bucket: int = BUCKET, families: int = 1, loose: bool = False) -> DataFrame:
     """Every row's ``keep`` columns (doc_id among them), fp, component (its smallest fp) and component_id.
 
-    component_id: the smallest doc_id that is reachable over links (of any of ``families``), the row's own included.
+    component_id: the smallest doc_id that is reachable over links (of any of ``families``, which are ``loose`` or of
+    shingles), the row's own included.
     Null or empty texts have fingerprint 0 and are linked like any other; a null doc_id is
     never a component_id unless its whole component has none; repeated rows and ties stay, one
     row each; texts of any length count whole; other columns than ``keep`` are not looked at; an
@@ -215,7 +239,7 @@ def near_duplicates(docs: DataFrame, *keep: str, bucket: int = BUCKET, families:
     """
     if "doc_id" not in keep:
         keep = ("doc_id", *keep)
-    rows = written(fingerprints(docs, *keep, families=families), "fingerprints")
+    rows = written(fingerprints(docs, *keep, families=families, loose=loose), "fingerprints")
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fps")
     joined = written(components(links(fps.select("fp"), bucket) if families == 1 else _links_of_families(rows, bucket)), "components")
     own = fps.join(joined, fps.fp == joined.node, "left").select(
@@ -227,13 +251,13 @@ def near_duplicates(docs: DataFrame, *keep: str, bucket: int = BUCKET, families:
     return join_one(rows, of, "fp", "n", rows.count()).select(*keep, "fp", "component", "component_id")
 
 
-def one_of_each(docs: DataFrame, families: int = 1) -> DataFrame:
+def one_of_each(docs: DataFrame, families: int = 1, loose: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: of each component the smallest doc_id (nulls last, ties by place).
 
-    Links are those of ``families`` families.
+    Links are those of ``families`` families, ``loose`` ones or of shingles.
     """
     docs, at = located(docs)
-    rows = near_duplicates(docs.select("doc_id", "text", F.col(at).alias("_at")), "doc_id", "_at", families=families)
+    rows = near_duplicates(docs.select("doc_id", "text", F.col(at).alias("_at")), "doc_id", "_at", families=families, loose=loose)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_at"))
     stay = rows.groupBy("component").agg(first.alias("first")).select(F.col("first._at").alias(at))
     return docs.join(stay, at, "left_semi").drop(at)

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -116,27 +117,66 @@ def test_near_against_brute_force(spark):
     assert simhash.one_of_each(df).count() == len(least)
 
 
-def test_families_against_brute_force(spark):
+@pytest.mark.parametrize("loose", [False, True])
+def test_families_against_brute_force(spark, loose):
     rnd = random.Random(9)
     base = [[f"w{rnd.randrange(900)}" for _ in range(150)] for _ in range(3)]
     rows = [(i, " ".join(f"w{rnd.randrange(900)}" for _ in range(rnd.randrange(1, 60)))) for i in range(60)] + [(500, None), (501, " "), (502, "one"), (503, "One")]
     for i in range(120):
         w = list(base[i % 3])
-        for _ in range(rnd.randrange(1, 12)):
+        for _ in range(rnd.randrange(1, 12 if not loose else 40)):
             w[rnd.randrange(len(w))] = f"w{rnd.randrange(900)}"
         rows.append((1000 - i, " ".join(w)))
     df = spark.createDataFrame(rows, DOCS).repartition(3)
     linked = []
     for k in range(4):
-        fps = np.array([simhash.fingerprint((t or "").encode(), k) for _, t in rows], np.uint64)
+        fps = np.array([simhash.fingerprint((t or "").encode(), k, loose) for _, t in rows], np.uint64)
         linked += [(i, i + 1 + int(j)) for i in range(len(rows)) for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps[i + 1 :]) <= 3)]
     root, least = roots(len(rows), linked), {}
     for (i, _), r in zip(rows, root):
         least[r] = min(least.get(r, i), i)
-    got = simhash.near_duplicates(df, "doc_id", bucket=4, families=4)
+    got = simhash.near_duplicates(df, "doc_id", bucket=4, families=4, loose=loose)
     assert sorted((r.doc_id, r.component_id) for r in got.collect()) == sorted((i, least[r]) for (i, _), r in zip(rows, root))
-    assert sorted(r.doc_id for r in simhash.one_of_each(df, families=4).collect()) == sorted(least.values())
-    assert len(least) < simhash.one_of_each(df, families=1).count() and simhash.one_of_each(df.limit(0)).count() == 0
+    assert sorted(r.doc_id for r in simhash.one_of_each(df, families=4, loose=loose).collect()) == sorted(least.values())
+    assert len(least) < simhash.one_of_each(df, families=1, loose=loose).count() and simhash.one_of_each(df.limit(0)).count() == 0
+
+
+def test_loose_fingerprints():
+    def model(text, family):
+        words = text.lower().split()
+        pairs = [" ".join(words[i : i + 2]) for i in range(max(1, len(words) - 1))] if words else []
+        out = 0
+        for things, bits in ((sorted(set(words)), range(simhash.WORD_BITS)), (pairs, range(simhash.WORD_BITS, 64))):
+            h = simhash._mixed(np.array([xxhash.xxh64_intdigest(x, 42) for x in things], np.uint64), family).tolist()
+            out |= sum(1 << b for b in bits if 2 * sum(x >> b & 1 for x in h) > len(h))
+        return out
+
+    rnd = random.Random(2)
+    for text in ["", " ", "One", "a a a a", *(" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(20))) for _ in range(60))]:
+        assert [simhash.fingerprint(text.encode(), k, True) for k in range(3)] == [model(text, k) for k in range(3)], text
+
+
+def test_near_copies_are_found_and_clean_documents_stay(spark):
+    """Of copies with 80 % or more of their five-word shingles in common, at least nine in ten go; other documents stay."""
+    rnd = random.Random(12)
+    word = lambda: f"w{int(rnd.paretovariate(0.7)) % 5000}"
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, copies = [], []
+    for i in range(300):
+        first = [word() for _ in range(rnd.randrange(120, 500))]
+        rows.append((i, " ".join(first)))
+        while i % 2 == 0 and (not copies or copies[-1] != 1000 + i):
+            w = list(first)
+            for _ in range(max(1, len(w) // 60)):
+                at = rnd.randrange(len(w))
+                w[at : at + 1] = rnd.choice([[], [word()], [w[at], word()]])
+            a, b = shingles(first), shingles(w)
+            if 0.8 <= len(a & b) / len(a | b) < 1:
+                copies.append(1000 + i)
+                rows.append((1000 + i, " ".join(w)))
+    df = spark.createDataFrame(rows, DOCS)
+    kept = {r.doc_id for r in simhash.one_of_each(df, families=simhash.FAMILIES, loose=True).collect()}
+    assert set(range(300)) <= kept and sum(i not in kept for i in copies) >= 0.9 * len(copies)
 
 
 def test_large_buckets_are_cut_exactly(spark):
