@@ -26,8 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-equal fingerprints, the smallest doc_id stays."""
-    return simhash.one_of_each(docs.select(*COLUMNS))
+    """Of each component of near-equal fingerprints (loose ones, of several families), the smallest doc_id stays."""
+    return simhash.one_of_each(docs.select(*COLUMNS), families=simhash.FAMILIES, loose=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
