@@ -465,13 +465,22 @@ def _disk(spark, sf_dir):
     return c.select(F.concat(F.lit("D"), (k % 20).cast("string")).alias("target_path"), name.alias("name"))
 
 
-@query(f"""WITH {NAMES}, {DISK}, u AS (SELECT DISTINCT file_name, target_path FROM v)
-SELECT 'copy' AS op, '/in/' || file_name AS src, '/out/' || target_path || '/' || file_name AS dst FROM u WHERE (target_path, file_name) IN (SELECT (target_path, name) FROM disk)""")
+#: One plan of all events' and orders' files; on disk are the photos of DISK, and in the events' folders
+#: those that bear the numbers of orders.
+@query(f"""WITH {numbered()}, {NAMED}, {NAMES}, {DISK}, e AS (SELECT event_id, file_name, target_path FROM n JOIN named USING (cluster_id)),
+u AS (SELECT file_name, target_path FROM e UNION ALL SELECT DISTINCT file_name, target_path FROM v),
+h AS (SELECT target_path, name FROM disk UNION ALL SELECT target_path, 'IMG_' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') || '.jpg' FROM orders JOIN e ON event_id = o_orderkey)
+SELECT 'copy' AS op, '/in/' || file_name AS src, '/out/' || target_path || '/' || file_name AS dst FROM u WHERE (target_path, file_name) IN (SELECT (target_path, name) FROM h)""")
 def plan_conflicts(spark, sf_dir):
-    """Operations of a plan whose destination is on disk, by what another table says is there."""
-    named = _named_orders(spark, sf_dir).select("file_name", "target_path").distinct()
-    held = _disk(spark, sf_dir).select(F.concat(F.lit("/out/"), "target_path", F.lit("/"), "name").alias("dst"))
-    return file_plan.conflicts(file_plan.build(named, "/in", "/out", Mode.COPY), held).select("op", "src", "dst")
+    """Operations of a plan whose destination is on disk, by what other tables say is there."""
+    media, named = _clustered(spark, sf_dir, None)
+    events = written(naming.with_targets(media, named).select("event_id", "file_name", "target_path"), "events")
+    orders = _named_orders(spark, sf_dir)
+    files = events.drop("event_id").unionByName(orders.select("file_name", "target_path").distinct())
+    photo = F.concat(F.lit("IMG_"), F.lpad(F.col("event_id").cast("string"), 9, "0"), F.lit(".jpg"))
+    photos = events.join(orders.select(F.col("o_orderkey").alias("event_id")), "event_id", "left_semi").select("target_path", photo.alias("name"))
+    held = _disk(spark, sf_dir).unionByName(photos).select(F.concat(F.lit("/out/"), "target_path", F.lit("/"), "name").alias("dst"))
+    return file_plan.conflicts(file_plan.build(files, "/in", "/out", Mode.COPY), held).select("op", "src", "dst")
 
 
 def _nested_orders(spark, sf_dir):

@@ -3,6 +3,7 @@
 import os
 import subprocess
 import sys
+from collections import Counter
 
 import pytest
 
@@ -38,6 +39,23 @@ def test_queries_match_sql(spark, name):
     assert rows(tuple(r[c] for c in columns) for r in got.collect()) == rows(con.sql(f"SELECT {', '.join(columns)} FROM ({q.ORACLES[name]})").fetchall())
 
 
+@needs_data
+def test_plan_conflicts_takes_the_whole_plans(spark):
+    """All events and all orders are planned: what either plan alone would meet is there, and rows are those of the SQL."""
+    import duckdb
+
+    from eventloom import queries as q
+
+    con = duckdb.connect()
+    for f in os.listdir(SMALL):
+        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SMALL}/{f}'")
+    got = Counter((r.op, r.src, r.dst) for r in q.QUERIES["plan_conflicts"](spark, SMALL).select("op", "src", "dst").collect())
+    assert got == Counter(con.sql(q.ORACLES["plan_conflicts"]).fetchall())
+    events = con.sql(f"WITH {q.PLANNED} SELECT op, src, dst FROM ops WHERE op = 'copy' AND dst LIKE '%7.jpg'").fetchall()
+    orders = con.sql(f"WITH {q.NAMES}, {q.DISK} SELECT DISTINCT 'copy', '/in/' || file_name, '/out/' || v.target_path || '/' || file_name FROM v JOIN disk ON v.target_path = disk.target_path AND file_name = name").fetchall()
+    assert events and orders and set(events) | set(orders) <= set(got)
+
+
 def test_imports_without_the_optional_part():
     code = """
 import importlib.abc, sys
