@@ -65,9 +65,17 @@ def with_existing_targets(clusters: DataFrame) -> DataFrame:
 def with_targets(media: DataFrame, clusters: DataFrame) -> DataFrame:
     """Left join of the events' targets; a file without an event has none.
 
-    Spark picks the physical join by the size of the event side.
+    No task gathers a large event's files (or those without one): they stay where they are and its target is
+    broadcast. Of the others Spark picks the physical join by the size of the event side.
     """
-    return media.drop("target_path").join(clusters.select("cluster_id", "target_path"), "cluster_id", "left")
+    media, targets = media.drop("target_path"), clusters.select("cluster_id", "target_path")
+    hot = sessions._hot_keys(media, ["cluster_id"])
+    if hot is None:
+        return media.join(targets, "cluster_id", "left")
+    hot = written(hot.join(targets, "cluster_id", "left"), "large-targets")
+    large = sessions._same(media, F.broadcast(hot), ["cluster_id"], "inner")
+    rest = sessions._same(media, F.broadcast(hot.select("cluster_id")), ["cluster_id"], "left_anti").join(targets, "cluster_id", "left")
+    return rest.unionByName(large)
 
 
 def resolved_names(media: DataFrame, restore: bool, taken: DataFrame | None = None) -> DataFrame:

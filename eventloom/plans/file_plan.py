@@ -10,14 +10,14 @@ from eventloom.config import Mode
 from eventloom.errors import MissingTargetError
 from eventloom.operators.naming import resolved_names
 from eventloom.plans.file_sink import Outcome, carry_out
-from eventloom.runtime import ship
+from eventloom.runtime import ship, written
 
 SKIP_REASON = "NOP mode"
 TAKEN_REASON = "destination exists"
 
 
 def _joined(*parts):
-    return F.concat_ws("/", *[F.regexp_replace(p, r"/+$", "") for p in parts])
+    return F.concat_ws("/", *[F.rtrim(p, F.lit("/")) for p in parts])
 
 
 def build(media: DataFrame, inbox: str, outbox: str, mode: Mode, restore: bool = False, taken: DataFrame | None = None) -> DataFrame:
@@ -30,23 +30,30 @@ def build(media: DataFrame, inbox: str, outbox: str, mode: Mode, restore: bool =
     none = F.lit(None).cast("string")
     source = _joined(F.lit(inbox), F.col("file_name"))
     if mode is Mode.NOP:
-        rows = media.select(F.lit("skip").alias("op"), source.alias("src"), none.alias("dst"), F.lit(SKIP_REASON).alias("reason"), F.lit(1).alias("phase"), F.col("file_name").alias("k"))
-    else:
-        if not media.filter("target_path is null").isEmpty():
-            raise MissingTargetError()
-        names = resolved_names(media, restore, taken)
-        folder = _joined(F.lit(outbox), F.col("target_path"))
-        made = media.select("target_path").distinct().select(F.lit("mkdir").alias("op"), none.alias("src"), folder.alias("dst"), none.alias("reason"), F.lit(0).alias("phase"), F.col("target_path").alias("k"))
-        act = "copy" if mode is Mode.COPY else "move"
-        held = F.lit(False)
-        if taken is not None:
-            disk = taken.select("target_path", F.lower("name").alias("_key")).distinct().withColumn("_held", F.lit(True))
-            names = names.withColumn("_key", F.lower("dst_name")).join(disk, ["target_path", "_key"], "left")
-            held = F.col("_held").isNotNull()
-        what, why = F.when(held, "skip").otherwise(act), F.when(held, TAKEN_REASON)
-        files = names.select(what.alias("op"), source.alias("src"), F.concat_ws("/", folder, F.col("dst_name")).alias("dst"), why.alias("reason"), F.lit(1).alias("phase"), F.col("file_name").alias("k"))
-        rows = made.unionByName(files)
-    return rows.orderBy("phase", "k", "dst").select(F.monotonically_increasing_id().alias("seq"), "op", "src", "dst", "reason")
+        rows = media.select(F.lit("skip").alias("op"), source.alias("src"), none.alias("dst"), F.lit(SKIP_REASON).alias("reason"), F.col("file_name").alias("k"))
+        return rows.orderBy("k").select(F.monotonically_increasing_id().alias("seq"), "op", "src", "dst", "reason")
+    # read for targets, names, folders and the bounds of the order: what leads to it is computed once
+    media = written(media.select("file_name", "target_path"), "placed")
+    if not media.filter("target_path is null").isEmpty():
+        raise MissingTargetError()
+    names = resolved_names(media, restore, taken)
+    act = "copy" if mode is Mode.COPY else "move"
+    held = F.lit(False)
+    if taken is not None:
+        disk = taken.select("target_path", F.lower("name").alias("_key")).distinct().withColumn("_held", F.lit(True))
+        names = names.withColumn("_key", F.lower("dst_name")).join(disk, ["target_path", "_key"], "left")
+        held = F.col("_held").isNotNull()
+    made = media.select("target_path").distinct().select(none.alias("file_name"), "target_path", none.alias("dst_name"), F.lit(False).alias("held"))
+    rows = made.unionByName(names.select("file_name", "target_path", "dst_name", held.alias("held")))
+    # short rows are ordered, paths are put together afterwards
+    folder = _joined(F.lit(outbox), F.col("target_path"))
+    dst = F.concat_ws("/", folder, "dst_name")
+    mkdir = F.col("file_name").isNull()
+    what = F.when(mkdir, "mkdir").when(F.col("held"), "skip").otherwise(act)
+    rows = rows.orderBy(F.col("file_name").asc_nulls_first(), "target_path", "dst_name")
+    return rows.select(
+        F.monotonically_increasing_id().alias("seq"), what.alias("op"), F.when(~mkdir, source).alias("src"), dst.alias("dst"), F.when(F.col("held"), TAKEN_REASON).alias("reason")
+    )
 
 
 def counters(plan: DataFrame) -> DataFrame:

@@ -120,3 +120,39 @@ def test_streaming_sessions_match_batch(spark, tmp_path):
     q.awaitTermination()
     done = spark.table("sessions_test").collect()
     assert sorted((r.user_id, r.file_count) for r in done) == [(1, 1), (1, 3), (2, 1)]  # the last ones wait for the watermark
+
+
+def test_targets_leave_large_events_where_they_are(spark, monkeypatch):
+    """Files of a large event, and files without one, aren't gathered; targets are those of the plain join."""
+    from eventloom.operators import sessions
+
+    monkeypatch.setattr(sessions, "SINGLE_WINDOW_ROWS", 100)
+    event = F.when(F.col("id") % 10 < 5, 1).when(F.col("id") % 10 < 8, None).otherwise(F.col("id")).cast("long")
+    media = spark.range(0, 2000, 1, 8).select(F.concat(F.lit("f"), "id").alias("file_name"), event.alias("cluster_id"), F.lit("old").alias("target_path"))
+    clusters = spark.range(0, 1500).select(F.col("id").alias("cluster_id"), F.concat(F.lit("new/"), "id").alias("target_path"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = naming.with_targets(media, clusters).withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    number = lambda i: 1 if i % 10 < 5 else None if i % 10 < 8 else i
+    want = [(f"f{i}", number(i), f"new/{number(i)}" if number(i) is not None and number(i) < 1500 else None) for i in range(2000)]
+    assert sorted((r.file_name, repr(r.cluster_id), r.target_path) for r in rows) == sorted((f, repr(c), t) for f, c, t in want)
+    for large in (1, None):
+        assert len({r.p for r in rows if r.cluster_id == large}) == 8
+
+
+def test_a_plan_computes_its_media_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(name):
+        seen.add(1)
+        return name
+
+    media = spark.range(60).select(F.udf(told)(F.concat(F.lit("f"), "id")).alias("file_name"), F.concat(F.lit("t"), F.col("id") % 3).alias("target_path"))
+    plan = file_plan.build(media, "/in/", "/out//", Mode.COPY)
+    assert sorted((r.op, r.src or "", r.dst) for r in plan.collect()) == sorted(
+        [("mkdir", "", f"/out/t{i}") for i in range(3)] + [("copy", f"/in/f{i}", f"/out/t{i % 3}/f{i}") for i in range(60)]
+    )
+    assert seen.value == 60
