@@ -10,6 +10,7 @@ Runs on executors: one encoder per Python worker, of bounded size.
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -46,6 +47,15 @@ IRREGULAR = (
     r"[\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
     r"|[ \n][ \n]|^[ \n]|[ \n]$"
 )
+#: Where a vocabulary lower-cases and takes runs of letters and runs of symbols for words (WORDS), a chunk
+#: of composed letters, then symbols without an apostrophe, is two words, whatever its case.
+LETTERS, SYMBOLS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+PLAIN = f"^[{LETTERS}]*[{SYMBOLS}]*$"
+WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+)
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 #: Chunks of one call of the library; they are joined by a separator that is a token of its own.
 JOINED = 400
 
@@ -55,7 +65,8 @@ class ChunkEncoder:
 
     Cutting rule, by pre-tokeniser:
 
-    * white space dropped (``Split`` with inverted removal): cut at ASCII white space;
+    * white space dropped (``Split`` with inverted removal): cut at ASCII white space, and, where all else
+      is as in WORDS, between composed letters and the symbols that end a chunk;
     * byte level with its own pattern: cut before a single inner space, and around a single
       inner newline.  Texts with any other white space are encoded whole.
     """
@@ -71,10 +82,21 @@ class ChunkEncoder:
         self.separator = " \x01 " if self.drops_space else "\n"
         mark = self._ids([self.separator])[0]
         self.mark = int(mark[0]) if len(mark) == 1 else None
+        self.plain = self._plain()
         self._clear()
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def _plain(self):
+        """The same merges for words that need no normaliser and no pattern; None where words aren't WORDS."""
+        from tokenizers import Tokenizer
+
+        spec = json.loads(self.tokenizer.to_str())
+        if self.mark is None or spec["normalizer"] != WORDS[0] or spec["pre_tokenizer"] != {"type": "Sequence", "pretokenizers": [WORDS[1], BYTES]}:
+            return None
+        split = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, BYTES]}
+        return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": split}))
+
+    def _ids(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        coded = (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, np.uint32) for x in coded]
 
     def _clear(self) -> None:
@@ -93,7 +115,7 @@ class ChunkEncoder:
         self.known = self.known.take(pa.array(keep))
         self.start, self.length, self.uses = at, length, self.uses[keep] // 2
 
-    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_chunks(self, chunks: list[str], tokenizer=None) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and lengths of chunks without white space; a leading newline counts as one."""
         if not chunks:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -107,7 +129,7 @@ class ChunkEncoder:
         else:
             runs = [self.separator.join(plain[i : i + JOINED]) for i in range(0, len(plain), JOINED)]
             parts = []
-            for ids in self._ids(runs):
+            for ids in self._ids(runs, tokenizer):
                 cuts = np.flatnonzero(ids == self.mark)
                 parts.append((ids, cuts))
             flat = np.concatenate([ids for ids, _ in parts])
@@ -133,7 +155,14 @@ class ChunkEncoder:
         missing = np.flatnonzero(places < 0)
         if len(missing):
             new = distinct.take(pa.array(missing))
-            flat, lengths = self._encode_chunks(new.to_pylist())
+            if self.plain is not None:  # words first, then the chunks that need the whole tokenizer
+                easy = pc.match_substring_regex(new, PLAIN).to_numpy(zero_copy_only=False)
+                order = np.argsort(~easy, kind="stable")
+                missing, new, n = missing[order], new.take(pa.array(order)), int(easy.sum())
+                done = [self._encode_chunks(new[:n].to_pylist(), self.plain), self._encode_chunks(new[n:].to_pylist())]
+                flat, lengths = (np.concatenate(x) for x in zip(*done))
+            else:
+                flat, lengths = self._encode_chunks(new.to_pylist())
             places[missing] = len(self.start) + np.arange(len(missing))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
             self.length = np.concatenate([self.length, lengths])
@@ -142,6 +171,23 @@ class ChunkEncoder:
             self.uses = np.concatenate([self.uses, np.zeros(len(missing), np.int64)])
         return places
 
+    def _words(self, distinct: pa.Array, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids of distinct chunks, with the start and length of each, put together from their words."""
+        easy = pc.match_substring_regex(distinct, PLAIN)
+        cut = pc.replace_substring_regex(distinct, f"^([{LETTERS}]+)([{SYMBOLS}]+)$", r"\1 \2")
+        words = pc.split_pattern(pc.if_else(easy, pc.utf8_lower(cut), distinct), pattern=" ")
+        sizes = np.diff(words.offsets.to_numpy())
+        coded = words.flatten().dictionary_encode()
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        places = self._places(coded.dictionary)
+        self.uses += np.bincount(places, np.bincount(index, np.repeat(times, sizes), len(places)), len(self.uses)).astype(np.int64)
+        places = places[index]
+        start, length = self.start[places], self.length[places]
+        ends = np.cumsum(length)
+        flat = self.flat[np.repeat(start - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[words.offsets.to_numpy()]
+        return flat, bounds[:-1], np.diff(bounds)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and ``len(texts) + 1`` offsets. Null: no id."""
         if isinstance(texts, pa.ChunkedArray):
@@ -164,10 +210,15 @@ class ChunkEncoder:
             pieces = pc.split_pattern(pc.replace_substring_regex(marked, r"^", "\n", max_replacements=1), pattern=" ")
         bounds = pieces.offsets.to_numpy().astype(np.int64)
         coded = pieces.flatten().dictionary_encode()
-        places = self._places(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
-        self.uses += np.bincount(places, minlength=len(self.uses))
-        start, length = self.start[places], self.length[places]
-        flat = self.flat
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        if self.plain is not None:
+            flat, start, length = self._words(coded.dictionary, np.bincount(index, minlength=len(coded.dictionary)))
+            start, length = start[index], length[index]
+        else:
+            places = self._places(coded.dictionary)[index]
+            self.uses += np.bincount(places, minlength=len(self.uses))
+            start, length = self.start[places], self.length[places]
+            flat = self.flat
         if not self.drops_space:
             first = bounds[:-1]
             start[first] += 1

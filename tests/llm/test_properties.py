@@ -69,3 +69,31 @@ def test_fingerprint_depends_on_words_only(text):
     data = text.encode()
     again = b"  " + b"\n".join(data.split()) + b"\t"
     assert simhash.fingerprint(data) == simhash.fingerprint(again) == simhash.fingerprint(data.upper() if data.isascii() else data)
+
+
+def test_words_of_plain_chunks_equal_the_whole_tokenizer():
+    """Case, composed letters and symbols at the end of a chunk leave few words to encode, and the ids as they are."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from eventloom.llm.tokenise import ChunkEncoder
+
+    coder = ChunkEncoder("word_bpe_49k.json")
+    want = lambda text: coder.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def same(texts):
+        flat, offsets = coder.encode(pa.array(texts))
+        assert [flat[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [want(t or "") for t in texts]
+
+    names = ["Éclair", "éclair", "ÉCLAIR", "éCLAIR"]
+    same([n + end for n in names for end in ("", ",", ".", "!!", "&&&", ")")])
+    assert len(coder.known) == 6  # the word and five ends
+    odd = ["don't", "DON'T.", "x'", "'S", "a.b", "a1.", "1a,", "H̱.", "Å,", "İ.", "İ!", "ß?", "ÿ;", "×.", "a×", "µ,", "ª.", "Σας.", "ΟΔΟΣ", "<|endoftext|>",
+           "<|startoftext|>.", "a b.", "x\x01", "\x01", "...", "a,b,", "`~", "\\", "[^]", "Ǆ.", "é.", "...́", "a.́", "日本語。", "日本.", ""]
+    same([*odd, None, " ".join(odd), "\t" + "  ".join(odd) + "\n"])
+    rnd = random.Random(7)
+    signs = "abzABZéÉßÿ×÷µ'’.,!&-_0189 \n\t́̇İıΣſK \x01<|>"
+    same(["".join(rnd.choices(signs, k=rnd.randint(0, 40))) for _ in range(3000)])
+    assert int(coder.uses.sum()) > 0 and np.all(coder.uses >= 0)
