@@ -86,7 +86,7 @@ class PieceEncoder(ChunkEncoder):
         self.digits = _digits(n)
         # a model that only escapes spaces and puts one before the text needs no call for each text
         plain = "".join(map(chr, (*range(1, 0xD800), *range(0xE000, 0x10000))))
-        self.plain = model.normalize(plain) == self._escaped(plain) and model.normalize("  a  ") == self._escaped("  a  ")
+        self.escapes = model.normalize(plain) == self._escaped(plain) and model.normalize("  a  ") == self._escaped("  a  ")
         self._clear()
 
     def merged(self, text: str) -> list[str]:
@@ -211,7 +211,7 @@ class PieceEncoder(ChunkEncoder):
 
         Texts are cut between characters that no piece holds side by side, and at their ends.
         """
-        escaped = list(map(self._escaped if self.plain else self.model.normalize, texts))
+        escaped = list(map(self._escaped if self.escapes else self.model.normalize, texts))
         sizes = np.fromiter(map(len, escaped), np.int64, len(escaped))
         starts = np.concatenate([[0], np.cumsum(sizes)])
         if not starts[-1]:

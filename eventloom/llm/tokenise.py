@@ -71,6 +71,9 @@ class ChunkEncoder:
       inner newline.  Texts with any other white space are encoded whole.
     """
 
+    #: A tokenizer for chunks that match PLAIN; encoders without one take every chunk the same way.
+    plain = None
+
     def __init__(self, name: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
